@@ -1,9 +1,10 @@
 """Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
 
-from tidewrack.llm import language, mixing
+from tidewrack.llm import language, mixing, simhash
 
 QUERIES = {
     "op4_pareto_mix": mixing.op4_pareto_mix,
+    "op8_simhash_trie": simhash.op8_simhash_trie,
     "op9_cross_parsing": language.op9_cross_parsing,
 }
 SQL = {
