@@ -82,7 +82,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ranked = sized.join(lookup(goal), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     u = uniform(F.col("doc_id"), seed)
     rank = F.when(F.col("p") > 0, u / (1 - u) * (1 - F.col("p")) / F.col("p"))
-    ranked = ranked.withColumn("rank", rank).withColumn("slice", F.floor(F.col("rank") / (1 + F.col("rank")) * slices).cast("long"))
+    # Within a source the rank grows with u alone, so slices of u are slices of the rank.
+    ranked = ranked.withColumn("rank", rank).withColumn("slice", F.floor(u * slices).cast("long"))
     sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), F.coalesce(F.sum("slice_size").over(along), F.lit(0)).alias("before"))
