@@ -1,14 +1,16 @@
 """Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
 
-from tidewrack.llm import language, mixing, simhash
+from tidewrack.llm import balltree, language, mixing, simhash
 
 QUERIES = {
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op8_simhash_trie": simhash.op8_simhash_trie,
     "op9_cross_parsing": language.op9_cross_parsing,
+    "op10_ball_tree": balltree.op10_ball_tree,
 }
 SQL = {
     "op4_pareto_mix": mixing.OP4_SQL,
+    "op10_ball_tree": balltree.OP10_SQL,
 }
 
 
