@@ -1,9 +1,10 @@
 """Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
 
-from tidewrack.llm import balltree, language, mixing, secrets, simhash
+from tidewrack.llm import balltree, editprint, language, mixing, secrets, simhash
 
 QUERIES = {
     "op1_grammar_secrets": secrets.op1_grammar_secrets,
+    "op2_edit_embedding": editprint.op2_edit_embedding,
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op8_simhash_trie": simhash.op8_simhash_trie,
     "op9_cross_parsing": language.op9_cross_parsing,
