@@ -1,12 +1,13 @@
 """Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
 
-from tidewrack.llm import balltree, editprint, language, mixing, packing, secrets, simhash
+from tidewrack.llm import balltree, editprint, htmltext, language, mixing, packing, secrets, simhash
 
 QUERIES = {
     "op1_grammar_secrets": secrets.op1_grammar_secrets,
     "op2_edit_embedding": editprint.op2_edit_embedding,
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op6_linear_grouping": packing.op6_linear_grouping,
+    "op7_text_blocks": htmltext.op7_text_blocks,
     "op8_simhash_trie": simhash.op8_simhash_trie,
     "op9_cross_parsing": language.op9_cross_parsing,
     "op10_ball_tree": balltree.op10_ball_tree,
