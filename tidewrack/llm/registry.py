@@ -1,10 +1,11 @@
 """Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
 
-from tidewrack.llm import balltree, editprint, htmltext, language, mixing, packing, secrets, simhash
+from tidewrack.llm import balltree, editprint, htmltext, language, mixing, packing, secrets, simhash, templates
 
 QUERIES = {
     "op1_grammar_secrets": secrets.op1_grammar_secrets,
     "op2_edit_embedding": editprint.op2_edit_embedding,
+    "op3_template_tree": templates.op3_template_tree,
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op6_linear_grouping": packing.op6_linear_grouping,
     "op7_text_blocks": htmltext.op7_text_blocks,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_ball_tree": balltree.op10_ball_tree,
 }
 SQL = {
+    "op3_template_tree": templates.OP3_SQL,
     "op4_pareto_mix": mixing.OP4_SQL,
     "op10_ball_tree": balltree.OP10_SQL,
 }
