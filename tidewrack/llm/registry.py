@@ -1,12 +1,13 @@
 """Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
 
-from tidewrack.llm import balltree, editprint, htmltext, language, mixing, packing, secrets, simhash, templates
+from tidewrack.llm import balltree, editprint, htmltext, language, mixing, packing, secrets, simhash, suffixes, templates
 
 QUERIES = {
     "op1_grammar_secrets": secrets.op1_grammar_secrets,
     "op2_edit_embedding": editprint.op2_edit_embedding,
     "op3_template_tree": templates.op3_template_tree,
     "op4_pareto_mix": mixing.op4_pareto_mix,
+    "op5_suffix_arrays": suffixes.op5_suffix_arrays,
     "op6_linear_grouping": packing.op6_linear_grouping,
     "op7_text_blocks": htmltext.op7_text_blocks,
     "op8_simhash_trie": simhash.op8_simhash_trie,
