@@ -1,11 +1,70 @@
-"""The corpus pipeline: stages that each apply one training-data operator to what the one before kept."""
+"""The corpus pipeline: stages that each apply one training-data operator to what the stage before kept.
 
-STAGES = []
+``run`` applies STAGES to the documents table; every stage's result is a table of its own in the shared folder before the
+next begins, so a lost executor repeats part of one stage. All but the last stage return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewrack.llm import language, mixing, packing, simhash, templates
+from tidewrack.session import stored, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows of ``docs`` and drops texts of no language: null ones and those without a letter."""
+    return language.identify(docs).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops recurring lines but for their first place; n_chars follows the text. Every document stays, if with less text."""
+    kept = templates.drop_recurring(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none, once or twice."""
+    keyed = docs.withColumn("digest_", F.xxhash64("text"))
+    times = mixing.mix(keyed, keep=("digest_",)).groupBy("doc_id", "digest_").agg(F.sum("copies").alias("copies_"))
+    times = times.filter("copies_ > 0").withColumnsRenamed({"doc_id": "t_id_", "digest_": "t_digest_"})
+    taken = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("t_id_")) & F.col("digest_").eqNullSafe(F.col("t_digest_")))
+    # Rows equal in id and text have been counted together: one of them stands for all.
+    one = taken.withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id", "digest_").orderBy("source"))).filter("nth_ = 1")
+    return one.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("pack", pack),
+]
+
+#: SQL can express neither the automata nor the tokenizer; tests hold run() against the operators applied one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
     return docs
