@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.session import cut
+from tidewrack.session import stored
 
 LEAD = 3
 LEAST = 3
@@ -32,37 +32,45 @@ _DIGITS = rf"(?<![^{WHITE}])[^{WHITE}0-9]*[0-9][^{WHITE}]*"
 
 
 def masked(line: Column) -> Column:
-    """Tokens separated by one space, those with a digit as fields."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, _DIGITS, FIELD), rf"[{WHITE}]+", " "))
+    """Tokens separated by one space, those with a digit as fields. Lines without digits or odd white space, most of all,
+    are only looked through."""
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
+    odd = fields.contains("  ")
+    for c in "\t\n\x0b\x0c\r":
+        odd = odd | fields.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(fields, rf"[{WHITE}]+", " ")).otherwise(fields))
 
 
 def candidate_lines(keyed: DataFrame) -> DataFrame:
     """doc_id, digest, pos, leaf, line, chunks: the lines that may be templates, as hashes."""
-    lines = keyed.select("doc_id", "digest", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "raw"))
-    lines = lines.select("doc_id", "digest", "pos", masked(F.col("raw")).alias("m"))
-    tokens = F.split(F.col("m"), " ", -1)
-    lines = lines.withColumn("n", F.size(tokens)).filter(F.col("n") >= LEAST)
-    parts = F.least(F.col("n"), F.lit(CHUNKS))
+    # All of a line is worked out inside the generator, and lambdas bind the masked line and its tokens, so each is made once.
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    parsed = lambda t, m: F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), F.substring_index(m, " ", LEAD)).alias("leaf"), F.xxhash64(m).alias("line"), _chunks(t).alias("chunks"))
+    each = F.transform(F.split(F.col("text"), "\n", -1), lambda x: once(masked(x), lambda m: once(F.split(m, " ", -1), lambda t: parsed(t, m))))
+    lines = keyed.select("doc_id", "digest", F.posexplode(each).alias("pos", "p")).filter(F.col("p.n") >= LEAST)
+    return lines.select("doc_id", "digest", "pos", "p.leaf", "p.line", "p.chunks")
 
-    def edge(j: Column) -> Column:
-        return F.floor(j * F.col("n") / parts).cast("int")
 
-    chunks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.hash(F.slice(F.col("t"), edge(j) + 1, edge(j + 1) - edge(j))))
-    lines = lines.withColumn("t", tokens)
-    return lines.select("doc_id", "digest", "pos", F.xxhash64("n", F.substring_index("m", " ", LEAD)).alias("leaf"), F.xxhash64("m").alias("line"), chunks.alias("chunks"))
+def _chunks(t: Column) -> Column:
+    """Hashes of up to CHUNKS chunks of the tokens ``t``."""
+    n = F.size(t)
+    parts = F.least(n, F.lit(CHUNKS))
+    edge = lambda j: F.floor(j * n / parts).cast("int")
+    return F.when(n >= LEAST, F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.hash(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j)))))
 
 
 def recurring(lines: DataFrame) -> DataFrame:
     """leaf, line, first: the lines whose template recurs, and the template's first place (doc_id, digest, pos)."""
     place = F.struct("doc_id", "digest", "pos")
     document = F.struct("doc_id", "digest")
-    distinct = cut(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(document).alias("last"), F.min("chunks").alias("chunks")))
+    distinct = stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(document).alias("last")))
     varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    parts = distinct.join(varied, "leaf").select("leaf", "line", F.size("chunks").alias("parts"), F.posexplode("chunks").alias("at", "chunk"))
+    different = lines.join(varied, "leaf").select("leaf", "line", "chunks").distinct()
+    parts = stored(different.select("leaf", "line", F.size("chunks").alias("parts"), F.posexplode("chunks").alias("at", "chunk")))
     literal = parts.groupBy("leaf", "at", "chunk").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "at", "chunk")
     found = parts.join(literal, ["leaf", "at", "chunk"]).groupBy("leaf", "line").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("literal"))
     general = found.filter(F.size("literal") >= F.col("parts") * ALIKE).select("leaf", "line", F.xxhash64("leaf", "literal").alias("template"))
-    named = cut(distinct.drop("chunks").join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line"))))
+    named = distinct.join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
     templates = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     again = templates.filter((F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))) == F.lit(False)).select("template", "first")
     return named.select("leaf", "line", "template").join(again, "template").select("leaf", "line", "first")
@@ -72,7 +80,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines gone from text, and n_lines, n_dropped (replaced if there)."""
     docs = docs.drop("n_lines", "n_dropped", "digest")
     keyed = docs.withColumn("digest", F.xxhash64("text"))
-    lines = cut(candidate_lines(keyed.select("doc_id", "text", "digest")))
+    lines = stored(candidate_lines(keyed.select("doc_id", "text", "digest")))
     gone = lines.drop("chunks").join(recurring(lines), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     by_document = gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "gone")
     joined = keyed.join(by_document, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest")), "left")
