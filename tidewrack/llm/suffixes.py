@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.session import cut
+from tidewrack.session import stored
 
 LENGTH = 400
 GRAM = 32
@@ -34,7 +34,7 @@ HOT = 256
 #: Strings of a hot gram for each part of its windows.
 PART = 32
 STRETCH = 1 << 20
-SHARD = 1 << 20
+SHARD = 1 << 19
 _BYTE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 WINDOW = np.dtype([("s1", "<i8"), ("s2", "<i8"), ("n", "<i8"), ("off", "<i8"), ("w1", "<u8"), ("w2", "<u8")])
 
@@ -68,7 +68,7 @@ def strings(texts: list[bytes], length: int = LENGTH):
     out = []
     while stretches:
         size, k = 0, 0
-        while k < len(stretches) and (k == 0 or size + len(stretches[k][2]) <= 4 * STRETCH):
+        while k < len(stretches) and (k == 0 or size + len(stretches[k][2]) <= 2 * STRETCH):
             size += len(stretches[k][2])
             k += 1
         part, stretches = stretches[:k], stretches[k:]
@@ -292,15 +292,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, digest, found (start of a string, its spans): one row a document that has repeated windows. ``docs`` has
     doc_id, digest of the text, text."""
     own = ["gram", "s1", "s2"]
-    every = cut(_strings_of(docs, length))
+    every = stored(_strings_of(docs, length))
     distinct = every.groupBy(*own).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "start", "count")).alias("f"))
-    distinct = cut(distinct.select(*own, "n", "f.doc_id", "f.digest", "f.start", "f.count"))
+    distinct = stored(distinct.select(*own, "n", "f.doc_id", "f.digest", "f.start", "f.count"))
     grams = distinct.groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("total")).filter("total > 1").select("gram", "k")
-    shared = cut(distinct.join(grams, "gram"))
+    shared = stored(distinct.join(grams, "gram"))
     alone = shared.filter("k = 1").select(*own, F.lit(None).cast("binary").alias("spans"))
     parts = F.when(F.col("k") > HOT, F.ceil(F.col("k") / PART)).otherwise(0).cast("long")
     resolved = _resolved(_dealt(docs, shared.filter("k > 1").withColumn("parts", parts), length), length)
-    spans = cut(alone.union(resolved))
+    spans = stored(alone.union(resolved))
     found = every.join(spans, own).select("doc_id", "digest", F.struct("start", "count", "spans").alias("s"))
     return found.groupBy("doc_id", "digest").agg(F.collect_list("s").alias("found"))
 
