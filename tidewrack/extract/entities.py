@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.extract import lexicon as L
@@ -52,6 +52,7 @@ _NO_CODE_AFTER = _rx(r"(?i)[$#]\s*$|\b(n|p)\s*=\s*$|\bphase\s*$|\bQ\s*$|\bgrade\
 _STEMS = [(re.compile(f"(?:{ends})$"), name, least) for ends, name, least in L.STEMS]
 _SYMBOL = _rx(r"\b([A-Z][A-Z0-9]{1,7}(?:-[A-Z0-9]{1,4})?)\b")
 _SUFFIXED = _rx(rf"\b([A-Z][A-Za-z0-9&.'-]+(?:\s+[A-Z][A-Za-z0-9&.'-]+){{0,3}})\s+({L.SUFFIXES})\b")
+_SUFFIX = re.compile(L.SUFFIXES)
 _MERGER = _rx(r"(?i)\b(acquir\w+|to buy|buyout|merge[sr]?\w*|takeover|tender offer)\b")
 _ALIASES = sorted(((a, c) for c in L.COMPANIES for a in c.aliases), key=lambda x: -len(x[0]))
 _ALIASES = [(a, c, _rx(rf"\b{re.escape(a)}\b")) for a, c in _ALIASES]
@@ -74,7 +75,7 @@ def companies(title: str, text: str) -> list[dict]:
             if alias.lower() in L.AMBIGUOUS and not c.ticker and not _CORPORATE.search(around(text, m.start(), m.end(), 80)):
                 continue
             found.add(c.id, alias, "dictionary", m.start(), c.name, c.ticker)
-    for m in _SUFFIXED.finditer(text):
+    for m in _SUFFIXED.finditer(text) if _SUFFIX.search(text) else ():
         if not any(x["text"] in m[0] for x in found.by.values()):
             found.add(re.sub("[^a-z0-9]+", "-", m[0].lower()), m[0], "contextual", m.start(), m[0])
     ranked = found.ranked("companies")
@@ -119,10 +120,13 @@ def drugs(title: str, text: str, company_words: set[str]) -> list[dict]:
 def indications(title: str, text: str) -> list[dict]:
     """The first synonym that occurs, else an abbreviation, in its case, where what it requires occurs too."""
     found = Found(title, text)
+    low = text.lower()
     for i, synonyms, short, requires in _INDICATIONS:
-        hit = next(((s, m, "dictionary", p) for s, p in synonyms if (m := p.search(text))), None)
-        if hit is None and (requires is None or requires.search(text)):
-            hit = next(((a, m, "contextual", _bounded(a)) for a, p in short if (m := p.search(text))), None)
+        hit = next(((s, m, "dictionary", p) for s, p in synonyms if s.lower() in low and (m := p.search(text))), None)
+        if hit is None and short:
+            hit = next(((a, m, "contextual", _bounded(a)) for a, p in short if a in text and (m := p.search(text))), None)
+            if hit and requires and not requires.search(text):
+                hit = None
         if hit:
             shown, m, confidence, pattern = hit
             found.add(i.canonical, shown, confidence, m.start())
@@ -161,14 +165,18 @@ def entities_of(title: str | None, body: str | None) -> dict[str, list[dict]]:
     return {"drugs": drugs(title, text, words), "companies": named, "indications": indications(title, text), "modalities": modalities(title, text), "targets": targets(title, text)}
 
 
-@F.pandas_udf(SCHEMA)
-def entities(titles: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+def _entities(titles: pd.Series, bodies: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([entities_of(t, b) for t, b in zip(titles, bodies, strict=True)], columns=list(LIMITS))
 
 
+def entities(title: Column, body: Column) -> Column:
+    """struct of the five lists."""
+    return F.pandas_udf(_entities, SCHEMA)(title, body)
+
+
 def extract(items: DataFrame) -> DataFrame:
     """Adds drugs, companies, indications, modalities and targets to ``items`` (title, body), entity_text, keys and has_company."""
-    out = items.withColumn("e_", entities("title", "body"))
+    out = items.withColumn("e_", entities(F.col("title"), F.col("body")))
     out = out.select(*[c for c in out.columns if c != "e_"], "e_.*")
     shown = lambda c: F.filter(c, lambda m: m["confidence"] != "stem-only")
     pick = lambda c, f: F.transform(F.col(c), lambda m: m[f])

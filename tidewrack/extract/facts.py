@@ -147,12 +147,16 @@ def deal(text: str, has_company: bool) -> dict | None:
     return {"type": kind, "upfront_usd_m": upfront, "total_usd_m": total, "round": name, "currency": currency, "verbatim": sentence_at(text, anchor.start())}
 
 
-@F.pandas_udf(MEASURES)
-def measures(texts: pd.Series, has_company: pd.Series) -> pd.DataFrame:
+def _measured(texts: pd.Series, has_company: pd.Series) -> pd.DataFrame:
     rows = [{"results": trial_results(t or ""), "deal": deal(t or "", bool(h))} for t, h in zip(texts, has_company, strict=True)]
     return pd.DataFrame(rows, columns=["results", "deal"])
 
 
+def measures(text: Column, has_company: Column) -> Column:
+    """struct(results, deal) of a text."""
+    return F.pandas_udf(_measured, MEASURES)(text, has_company)
+
+
 def events(text: Column, facts: dict[str, Column], major_journal: Column, preprint: Column) -> Column:
     """Event names of an item, distinct. ``facts``: regulatory, outcome, phase, deal."""
     action = F.transform(facts["regulatory"], lambda f: F.when(f["action"] == "approval", "approval").when(f["action"].contains("complete response"), "crl").when(f["action"].startswith("filing"), "filing").otherwise("designation"))
@@ -178,7 +182,7 @@ def events(text: Column, facts: dict[str, Column], major_journal: Column, prepri
 def extract(items: DataFrame) -> DataFrame:
     """Adds the facts to ``items``: title, body, nct_ids, has_company, canonical_url, doi, source_kind."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("body", F.lit("")))
-    out = items.withColumn("text_", text).withColumn("m_", measures("text_", "has_company"))
+    out = items.withColumn("text_", text).withColumn("m_", measures(F.col("text_"), F.col("has_company")))
     t = F.col("text_")
     out = out.withColumns({"phase": phase(t), "enrollment": enrollment(t), "outcome": outcome(t), "regulatory": regulatory(t), "evidence_level": evidence_level(t), "non_mammalian": non_mammalian(t)})
     out = out.withColumns({"nct": nct_ids(t, F.col("nct_ids")), "results": F.col("m_.results"), "deal": F.col("m_.deal"), "article_class": article_class(F.col("title"), F.col("canonical_url"), F.col("doi"))})

@@ -35,7 +35,7 @@ def parse_feed_date(raw: Column, zone: Column | None = None, now: Column | None
     for name, hours in names.items():
         minutes = minutes.when(mark == name, hours * 60)
     shifted = F.timestamp_micros(F.unix_micros(F.try_to_timestamp(seconds, F.lit("d MMM yyyy HH:mm:ss"))) - minutes.cast("long") * 60_000_000)
-    date = F.when(iso, F.try_to_timestamp(text)).when(day, plain).when(text.rlike(clock), local).when(text.rlike(bare), named).when(text.rlike(rfc), shifted)
+    date = F.when(iso, F.try_to_timestamp(F.regexp_replace(text, r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2"))).when(day, plain).when(text.rlike(clock), local).when(text.rlike(bare), named).when(text.rlike(rfc), shifted)
     precision = (
         F.when(date.isNull(), "unknown")
         .when(iso, F.when(text.rlike(r":\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$") & text.rlike(r"T\d{2}:\d{2}:\d{2}"), "second").otherwise("minute"))

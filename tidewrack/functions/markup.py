@@ -56,11 +56,15 @@ def decode_text(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
-def decode_references(texts: pd.Series) -> pd.Series:
+def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or "&" not in t else decode_text(t))
 
 
+def decode_references(c: Column) -> Column:
+    """Two passes of named and numeric references, which no built-in decodes."""
+    return F.pandas_udf(_decoded, "string")(c)
+
+
 def html_to_text(c: Column, decode=decode_references) -> Column:
     """Escaped markup is decoded first; dropped elements go with their content, separating tags become spaces."""
     c = F.when(c.contains("&lt;") | c.contains("&gt;"), decode(c)).otherwise(c)

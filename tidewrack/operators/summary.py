@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewrack import config
@@ -115,7 +116,11 @@ def summarize(title: str | None, body: str | None, provenance: str | None, lane:
     return out or [truncated(usable[0], chars)], "extractive"
 
 
-@F.pandas_udf("digest array<string>, source string")
-def summary(title: pd.Series, body: pd.Series, provenance: pd.Series, lane: pd.Series, entities: pd.Series, subject: pd.Series) -> pd.DataFrame:
+def _summaries(title: pd.Series, body: pd.Series, provenance: pd.Series, lane: pd.Series, entities: pd.Series, subject: pd.Series) -> pd.DataFrame:
     rows = [summarize(t, b, p, n, [x for x in (e if e is not None else ())], s) for t, b, p, n, e, s in zip(title, body, provenance, lane, entities, subject, strict=True)]
     return pd.DataFrame(rows, columns=["digest", "source"])
+
+
+def summary(title: Column, body: Column, provenance: Column, lane: Column, entities: Column, subject: Column) -> Column:
+    """struct(digest, source). ``entities``: lower-cased names; ``subject``: what may stand for a pronoun, or null."""
+    return F.pandas_udf(_summaries, "digest array<string>, source string")(title, body, provenance, lane, entities, subject)

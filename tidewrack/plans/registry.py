@@ -1,13 +1,19 @@
 """All queries of the library and their SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from tidewrack.plans import digest, flows, state, text
 
+MODULES = (text, digest, state, flows)
 
-def queries():
-    return {}
 
+def flagship(spark, sf_dir: str):
+    return digest.round_robin(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
