@@ -53,8 +53,9 @@ def sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> list[tuple[
 def automaton(symbols: list[int], width: int) -> np.ndarray:
     """Transitions of the suffix automaton of ``symbols`` as one flat table.
 
-    Entry ``state * width + symbol`` holds ``2 * width * next + ended``. Where a state has no such transition, a phrase
-    has ended (1) and the symbol starts the next one from the root.
+    Entry ``state * width + symbol`` holds ``4 * width * next + ended``. Where a state has no such transition, a phrase
+    has ended (1) and the symbol starts the next one from the root; a symbol that the sample lacks is a phrase of its own
+    (1 more, or 1 at the root) and leaves the parse at the root.
     """
     link, length, moves, last = [-1], [0], [{}], 0
     for s in symbols:
@@ -80,14 +81,14 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    root = np.zeros(width, np.int64)
+    root = np.full(width, 2, np.int64)
     for s, to in moves[0].items():
-        root[s] = to
-    flat = np.tile(root * (2 * width) + 1, len(moves)).reshape(len(moves), width)
+        root[s] = to * (4 * width) + 1
+    flat = np.tile(root, len(moves)).reshape(len(moves), width)
+    flat[0] = 1
     for state, out in enumerate(moves):
         for s, to in out.items():
-            flat[state, s] = to * (2 * width)
-    # From the root, a symbol that fits starts a phrase without ending one; one that never occurs is a phrase of its own.
+            flat[state, s] = to * (4 * width)
     return flat.astype(np.int32).ravel()
 
 
@@ -128,9 +129,9 @@ def phrases(stretches: list[np.ndarray], flat: np.ndarray, grid: np.ndarray, ali
     for step in range(grid.shape[0]):
         n = alive[step]
         v = flat.take(state[:n] + grid[step, :n])
-        ended[:n] += v & 1
-        state[:n] = v >> 1
-    return ended + 1
+        ended[:n] += v & 3
+        state[:n] = v >> 2
+    return ended + (state != 0)
 
 
 def parse(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
