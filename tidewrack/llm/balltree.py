@@ -116,7 +116,12 @@ def _key(t: pa.Table) -> np.ndarray:
     return key
 
 
+NAMES = ["q_row", "query_id", "row_id", "vec_id", "score"]
+
+
 def _answer(shard: pa.Table, asked: pa.Table, bound: list, skip: list[int], k: int) -> pa.Table:
+    if not len(shard) or not len(asked):
+        return pa.Table.from_arrays([pa.array([], pa.int64())] * 5, NAMES)
     x, q = _matrix(shard), _matrix(asked)
     most = max(float(np.abs(x).max(initial=0)), float(np.abs(q).max(initial=0)))
     found = search(Tree(x), x, most * most * x.shape[1] < 2**53, q, bound, skip, k, _key(shard))
@@ -124,8 +129,7 @@ def _answer(shard: pa.Table, asked: pa.Table, bound: list, skip: list[int], k: i
     q_rows, q_ids = asked.column("row_id").to_pylist(), asked.column("vec_id").to_pylist()
     flat = [(q_rows[i], q_ids[i], rows[p], ids[p], s) for i, best in enumerate(found) for s, p in best]
     columns = zip(*flat, strict=True) if flat else [[]] * 5
-    names = ["q_row", "query_id", "row_id", "vec_id", "score"]
-    return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+    return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in columns], NAMES)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -156,8 +160,6 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, shard: int = SHARD
     dealt = rows.select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "row_id", "vec_id", "v")
 
     def others(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(candidates) or not len(queries):
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 5, ["q_row", "query_id", "row_id", "vec_id", "score"])
         return _answer(candidates, queries, queries.column("bound").to_pylist(), [-1] * len(queries), k)
 
     keys = ["dim", "shard", "block"]
