@@ -63,14 +63,13 @@ def recurring(lines: DataFrame) -> DataFrame:
     """leaf, line, first: the lines whose template recurs, and the template's first place (doc_id, digest, pos)."""
     place = F.struct("doc_id", "digest", "pos")
     document = F.struct("doc_id", "digest")
-    distinct = stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(document).alias("last")))
+    distinct = stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(document).alias("last"), F.min("chunks").alias("chunks")))
     varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    different = lines.join(varied, "leaf").select("leaf", "line", "chunks").distinct()
-    parts = stored(different.select("leaf", "line", F.size("chunks").alias("parts"), F.posexplode("chunks").alias("at", "chunk")))
+    parts = stored(distinct.join(varied, "leaf").select("leaf", "line", F.size("chunks").alias("parts"), F.posexplode("chunks").alias("at", "chunk")))
     literal = parts.groupBy("leaf", "at", "chunk").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "at", "chunk")
     found = parts.join(literal, ["leaf", "at", "chunk"]).groupBy("leaf", "line").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("literal"))
     general = found.filter(F.size("literal") >= F.col("parts") * ALIKE).select("leaf", "line", F.xxhash64("leaf", "literal").alias("template"))
-    named = distinct.join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
+    named = distinct.drop("chunks").join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
     templates = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     again = templates.filter((F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))) == F.lit(False)).select("template", "first")
     return named.select("leaf", "line", "template").join(again, "template").select("leaf", "line", "first")
