@@ -136,7 +136,10 @@ def indications(title: str, text: str) -> list[dict]:
 
 def modalities(title: str, text: str) -> list[dict]:
     found = Found(title, text)
+    low = text.lower()
     for name, pattern in _MODALITIES.items():
+        if not any(hint in low for hint in L.MODALITY_HINTS[name].split()):
+            continue
         for m in pattern.finditer(text):
             found.add(name, m[0], "dictionary", m.start())
         if name in found.by:

@@ -437,13 +437,13 @@ def siblings(spark, sf_dir: str) -> DataFrame:
     """Other members of an item's cluster, and clusters that keep a member."""
     d = items(spark, sf_dir)
     groups = d.groupBy((F.col("doc_id") % 300).alias("c")).agg(F.collect_list("item_id").alias("member_ids")).select(F.col("c").cast("string").alias("cluster_id"), "member_ids")
-    kept = d.filter("doc_id % 5 = 0").select("item_id")
+    kept = d.filter("source_kind = 'journal'").select("item_id")
     pairs = digest.siblings(digest.kept_clusters(groups, kept), kept)
     number = d.select("item_id", "doc_id")
     return pairs.join(number, "item_id").join(number.toDF("sibling_id", "sibling"), "sibling_id").select("doc_id", "sibling")
 
 
-SIBLINGS = f"WITH {ITEMS_SQL} SELECT a.doc_id, b.doc_id AS sibling FROM items a JOIN items b ON a.doc_id % 300 = b.doc_id % 300 AND a.doc_id <> b.doc_id WHERE a.doc_id % 5 = 0"
+SIBLINGS = f"WITH {ITEMS_SQL} SELECT a.doc_id, b.doc_id AS sibling FROM items a JOIN items b ON a.doc_id % 300 = b.doc_id % 300 AND a.doc_id <> b.doc_id WHERE a.source_kind = 'journal'"
 
 QUERIES = {
     "lane_scores": lane_scores, "scored_items": scored_items, "age_gate": age_gate, "round_robin": round_robin, "lane_lists": lane_lists, "capped_selection": capped_selection,

@@ -17,15 +17,14 @@ SOURCES = [registry.Source(f"src{i}", f"Source {i}", "https://example.com/{start
 
 
 def _landed(spark, sf_dir: str, entry, head: str, foot: str) -> DataFrame:
-    """A body for each source: entries of its items, ten at most."""
-    d = items(spark, sf_dir).filter("doc_id < 2000")
-    rows = d.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("es"))
-    body = F.concat(F.lit(head), F.array_join(F.transform(F.slice("es", 1, 10), lambda x: x["e"]), "," if head.startswith("{") else ""), F.lit(foot))
+    """All items as bodies: one for each source and 200 ids in a row."""
+    rows = items(spark, sf_dir).groupBy("source_id", F.floor(F.col("doc_id") / 200)).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("es"))
+    body = F.concat(F.lit(head), F.array_join(F.transform("es", lambda x: x["e"]), "," if head.startswith("{") else ""), F.lit(foot))
     return rows.select("source_id", body.alias("body"), F.lit(9).alias("max_items"))
 
 
 def feed_items(spark, sf_dir: str) -> DataFrame:
-    """Feeds made of items, landed, parsed and normalised: nine entries a source, then filters."""
+    """Feeds made of items, landed, parsed and normalised: nine entries a body, then filters."""
     clean = F.regexp_replace("title", "[<>&]", "")
     date = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     link = F.concat(F.lit("http://Example.com/"), F.when(F.col("doc_id") % 3 == 0, "skip/").otherwise("a/"), F.col("doc_id").cast("string"), F.lit("/?utm_source=x&amp;b=2&amp;a=1#f"))
@@ -36,7 +35,7 @@ def feed_items(spark, sf_dir: str) -> DataFrame:
 
 
 FEED_ITEMS = rf"""
-WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1 AS pos, trim(regexp_replace(regexp_replace(title, '[<>&]', '', 'g'), '\s+', ' ', 'g')) AS t FROM items WHERE doc_id < 2000)
+WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 200 ORDER BY doc_id) - 1 AS pos, trim(regexp_replace(regexp_replace(title, '[<>&]', '', 'g'), '\s+', ' ', 'g')) AS t FROM items)
 SELECT source_id, pos, t AS title, 'http://example.com/' || CASE WHEN doc_id % 3 = 0 THEN 'skip/' ELSE 'a/' END || doc_id || '?a=1&b=2' AS canonical_url, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at,
        t AS body, CASE WHEN length(t) >= 400 THEN 'description' WHEN length(t) > 0 THEN 'dek' ELSE 'none' END AS body_provenance, TRUE AS paywalled
 FROM n WHERE pos < 9 AND NOT (doc_id % 3 = 0 AND substr(source_id, 4)::INT % 2 = 1)
@@ -55,7 +54,7 @@ def literature_items(spark, sf_dir: str) -> DataFrame:
 
 
 LITERATURE_ITEMS = f"""
-WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1 AS pos FROM items WHERE doc_id < 2000)
+WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 200 ORDER BY doc_id) - 1 AS pos FROM items)
 SELECT source_id, pos, CASE WHEN doc_id % 2 = 0 THEN 'https://doi.org/10.1000/x' || doc_id ELSE 'https://europepmc.org/article/MED/' || item_id END AS url, strftime(published_at, '%Y-%m-%d 12:00') AS published_at,
        'day' AS date_precision, CASE WHEN doc_id % 2 = 0 THEN '10.1000/x' || doc_id END AS doi FROM n WHERE pos < 9
 """
@@ -75,7 +74,7 @@ def trial_items(spark, sf_dir: str) -> DataFrame:
 
 
 TRIAL_ITEMS = f"""
-WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1 AS pos FROM items WHERE doc_id < 2000)
+WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 200 ORDER BY doc_id) - 1 AS pos FROM items)
 SELECT source_id, pos, 'https://clinicaltrials.gov/study/NCT' || lpad(doc_id::VARCHAR, 8, '0') AS url, 'What it is about. Phase: Phase 3. Conditions: Asthma, COPD. Enrollment: ' || doc_id || '.' AS body,
        strftime(published_at, '%Y-%m-%d') AS published_at FROM n WHERE pos < 9
 """
@@ -107,26 +106,26 @@ SELECT id, 'https://example.com/2026-08-01/2026-08-04' AS url, count(doc_id) AS
 
 def partition_overwrite(spark, sf_dir: str) -> DataFrame:
     """Days written as partitions; one day written again replaces that day alone."""
-    d = items(spark, sf_dir).select("doc_id", F.col("day").cast("string").alias("day"))
+    d = items(spark, sf_dir).select("doc_id", "source_kind", F.col("day").cast("string").alias("day"))
     path = f"{shared_folder(spark)}/digest-{uuid.uuid4().hex}"
     sinks.write_partitions(d, path, "day")
-    sinks.write_partitions(d.filter("day = '2026-08-03' AND doc_id % 2 = 0"), path, "day")
-    back = spark.read.schema("doc_id long, day string").parquet(path)
+    sinks.write_partitions(d.filter("day = '2026-08-03' AND source_kind = 'news'"), path, "day")
+    back = spark.read.schema("doc_id long, source_kind string, day string").parquet(path)
     return back.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-PARTITION_OVERWRITE = f"WITH {ITEMS_SQL} SELECT day::VARCHAR AS day, count(*) AS n FROM items WHERE day <> DATE '2026-08-03' OR doc_id % 2 = 0 GROUP BY 1"
+PARTITION_OVERWRITE = f"WITH {ITEMS_SQL} SELECT day::VARCHAR AS day, count(*) AS n FROM items WHERE day <> DATE '2026-08-03' OR source_kind = 'news' GROUP BY 1"
 
 
 def digest_violations(spark, sf_dir: str) -> DataFrame:
-    d = items(spark, sf_dir).select("item_id", F.when(F.col("doc_id") % 40 != 0, F.col("title")).alias("title"), (F.col("doc_id") % 110).cast("double").alias("score"), F.when(F.col("doc_id") % 31 == 0, "ftp://x").otherwise(F.col("canonical_url")).alias("url"), "doc_id")
-    groups = d.filter("doc_id % 9 > 0").groupBy((F.col("doc_id") % 50).alias("c")).agg(F.collect_list("item_id").alias("member_ids"))
+    d = items(spark, sf_dir).select("item_id", F.when(F.col("doc_id") % 40 != 0, F.col("title")).alias("title"), (F.col("doc_id") % 110).cast("double").alias("score"), F.when(F.col("doc_id") % 31 == 0, "ftp://x").otherwise(F.col("canonical_url")).alias("url"), "doc_id", "source_kind")
+    groups = d.filter("source_kind <> 'trade'").groupBy((F.col("doc_id") % 50).alias("c")).agg(F.collect_list("item_id").alias("member_ids"))
     return sinks.violations(d, groups)
 
 
 DIGEST_VIOLATIONS = f"""
 WITH {ITEMS_SQL} SELECT 'no title' AS rule, count(*) AS n FROM items WHERE doc_id % 40 = 0 OR title = '' UNION ALL SELECT 'score out of range', count(*) FROM items WHERE doc_id % 110 > 100
-UNION ALL SELECT 'repeated id', (count(*) - count(DISTINCT item_id))::BIGINT FROM items UNION ALL SELECT 'item without cluster', count(*) FROM items WHERE doc_id % 9 = 0 UNION ALL SELECT 'unsafe url', count(*) FROM items WHERE doc_id % 31 = 0
+UNION ALL SELECT 'repeated id', (count(*) - count(DISTINCT item_id))::BIGINT FROM items UNION ALL SELECT 'item without cluster', count(*) FROM items WHERE source_kind = 'trade' UNION ALL SELECT 'unsafe url', count(*) FROM items WHERE doc_id % 31 = 0
 """
 
 

@@ -271,7 +271,7 @@ FIRST_DAY = f"WITH {ITEMS_SQL} SELECT date_trunc('week', day)::DATE::VARCHAR AS
 def set_operations(spark, sf_dir: str) -> DataFrame:
     """Union with repeats, union, intersection, difference and bag difference of two days' sources, counted."""
     d = items(spark, sf_dir)
-    a, b = d.filter("doc_id % 7 < 4").select("source_id"), d.filter("doc_id % 7 > 2 AND source_id <> 'src3'").select("source_id")
+    a, b = d.filter("source_kind <> 'trade'").select("source_id"), d.filter("source_kind <> 'journal' AND source_id <> 'src3'").select("source_id")
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("operation"), "n")
     parts = [count("union all", a.unionByName(b)), count("union", a.union(b).distinct()), count("intersect", a.intersect(b)), count("except", a.distinct().subtract(b)), count("except all", a.exceptAll(b))]
     out = parts[0]
@@ -281,7 +281,7 @@ def set_operations(spark, sf_dir: str) -> DataFrame:
 
 
 SET_OPERATIONS = f"""
-WITH {ITEMS_SQL}, a AS (SELECT source_id FROM items WHERE doc_id % 7 < 4), b AS (SELECT source_id FROM items WHERE doc_id % 7 > 2 AND source_id <> 'src3')
+WITH {ITEMS_SQL}, a AS (SELECT source_id FROM items WHERE source_kind <> 'trade'), b AS (SELECT source_id FROM items WHERE source_kind <> 'journal' AND source_id <> 'src3')
 SELECT 'union all' AS operation, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)
 UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT 'except all', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
@@ -304,7 +304,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 
 def join_shapes(spark, sf_dir: str) -> DataFrame:
     """Semi, anti, left, full and range joins of customers and orders, counted."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     on = F.col("c_custkey") == F.col("o_custkey")
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("shape"), "n")
     small = o.filter("o_totalprice < 5000")
@@ -313,7 +313,7 @@ def join_shapes(spark, sf_dir: str) -> DataFrame:
 
 
 JOIN_SHAPES = """
-WITH o AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice < 5000)
+WITH o AS (SELECT * FROM orders WHERE o_totalprice < 5000)
 SELECT 'semi' AS shape, count(*) AS n FROM customer SEMI JOIN o ON c_custkey = o_custkey UNION ALL SELECT 'anti', count(*) FROM customer ANTI JOIN o ON c_custkey = o_custkey
 UNION ALL SELECT 'left', count(*) FROM customer LEFT JOIN o ON c_custkey = o_custkey UNION ALL SELECT 'full', count(*) FROM customer FULL JOIN o ON c_custkey = o_custkey
 UNION ALL SELECT 'range', count(*) FROM customer JOIN o ON c_custkey = o_custkey AND o_totalprice < c_acctbal

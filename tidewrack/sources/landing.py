@@ -74,7 +74,8 @@ def feed_items(raw: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     d = raw.filter("warning IS NULL").join(s, "source_id")
     marked = F.coalesce(F.col("title"), F.lit("")).rlike(r"(?i)^\s*STAT\+:")
     title = squish(clean_title_markup(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?i)^\s*STAT\+:\s*", "")))
-    dates = [parse_feed_date(F.col(c), F.col("zone"), now) for c in ("published", "dc_date", "prism_date")]
+    d = d.withColumns({f"{c}_": parse_feed_date(F.col(c), F.col("zone"), now) for c in ("published", "dc_date", "prism_date")})
+    dates = [F.col("published_"), F.col("dc_date_"), F.col("prism_date_")]
     dated = F.coalesce(*[F.when(x["date"].isNotNull(), x) for x in dates], dates[0])
     full, short = html_to_text(F.coalesce("content", F.lit(""))), html_to_text(F.coalesce("description", F.lit("")))
     d = d.withColumns({"t_": title, "d_": dated, "full_": full, "short_": short, "paywalled": F.col("walled") | marked})
