@@ -15,6 +15,7 @@ as documents of their own; an empty table gives no rows. Other columns are ignor
 from __future__ import annotations
 
 import os
+import struct
 import sys
 import types
 import unicodedata
@@ -34,7 +35,7 @@ GROUPS = 48
 #: Lengths above SIZE // s are large. Each s is tried until a plan needs no more sequences than the tokens fill.
 SMALL = (4, 3, 2)
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers; as many again from before, as long as they are met again.
 REMEMBERED = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,18 +58,21 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.symbols = _byte_symbols()
         self.odd = {chr(c) for c in range(0x1C, 0x20)}  # white space to str.split(), but not to the tokenizer
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of_word(self, word: str) -> bytes:
+        if (found := self.older.get(word)) is not None:
+            return self.remember(word, found)
         low = word.lower()
         core, mark = (low[:-1], low[-1]) if low[-1] in ".," and len(low) > 1 else (low, "")
         if mark:
             ends = self.known.get(mark) or self.remember(mark, self.pack(self.tokenizer.encode(mark, add_special_tokens=False).ids))
-            if (found := self.known.get(core)) is not None and core.isalpha():
+            if (found := self.known.get(core) or self.older.get(core)) and core.isalpha():
                 return self.remember(word, found + ends)
         if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and unicodedata.is_normalized("NFC", core))):
             mapped = core if core.isascii() else "".join(self.symbols[b] for b in core.encode())
@@ -86,7 +90,7 @@ class Words:
         if any(c in text for c in self.odd):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known, of_word = self.known.get, self.of_word
         return b"".join([known(w) or of_word(w) for w in text.split()])
 
