@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewrack.plans import digest, flows, state, text
+from tidewrack.plans import digest, flows, reports, state, text
 
-MODULES = (text, digest, state, flows)
+MODULES = (text, digest, state, flows, reports)
 
 
 def flagship(spark, sf_dir: str):
