@@ -91,13 +91,14 @@ def word_count(c: Column) -> Column:
 
 
 def bounded(term: str) -> str:
-    """A pattern for a term that no letter a-z or digit touches."""
-    return rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"
+    """A pattern for a term that no letter a-z or digit touches. It starts with the term itself, so that a matcher can skip to it."""
+    plain = re.escape(term)
+    return rf"{plain}(?<![a-z0-9]{plain})(?![a-z0-9])"
 
 
 def count_term(lowered: Column, term: str) -> Column:
-    """How often the term stands in lower-cased text on its own."""
-    return F.regexp_count(lowered, F.lit(bounded(term)))
+    """How often the term stands in lower-cased text on its own. Most texts lack most terms: they are only searched for it."""
+    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(bounded(term)))).otherwise(0)
 
 
 def sentence_around(text: Column, index: Column, most: int = 260) -> Column:

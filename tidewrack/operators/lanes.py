@@ -12,26 +12,28 @@ from tidewrack.functions.text import count_term, floor_round
 HEAD = 1200
 
 
-def lane_match(title: Column, body: Column, terms: dict[str, float], saturation: float = config.SATURATION) -> Column:
-    """struct(score, matched): each term found counts its weight, twice if in the title, times 1 + ln(count); the sum is
-    saturated. The first 8 terms found are the evidence. Every term is a literal pattern, compiled once."""
-    low_title, low_body = F.lower(title), F.lower(F.substring(body, 1, HEAD))
+def term_hits(low_title: Column, low_body: Column, terms: dict[str, float]) -> Column:
+    """Array of struct(term, gain): each term found gains its weight, twice if in the title, times 1 + ln(count). Every term is
+    a literal pattern, compiled once."""
     found = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight"), count_term(low_title, t).alias("head"), count_term(low_body, t).alias("rest")) for t, w in terms.items()])
     hits = F.filter(found, lambda x: x["head"] + x["rest"] > 0)
-    raw = F.aggregate(hits, F.lit(0.0), lambda s, x: s + x["weight"] * F.when(x["head"] > 0, 2.0).otherwise(1.0) * (1 + F.log((x["head"] + x["rest"]).cast("double"))))
-    return F.struct(F.coalesce(raw / (raw + saturation), F.lit(0.0)).alias("score"), F.slice(F.transform(hits, lambda x: x["term"]), 1, 8).alias("matched"))
+    gain = lambda x: x["weight"] * F.when(x["head"] > 0, 2.0).otherwise(1.0) * (1 + F.log((x["head"] + x["rest"]).cast("double")))
+    return F.transform(hits, lambda x: F.struct(x["term"].alias("term"), gain(x).alias("gain")))
 
 
-def lane_scores(items: DataFrame, lexicon: dict[str, dict[str, float]] | None = None, hints: dict[str, Column] | None = None) -> DataFrame:
-    """``items`` (title, body) with lanes: array of struct(order, lane, score, matched), in fixed order. A source's hint
-    for a lane adds a quarter of itself, up to 1."""
+def lane_scores(items: DataFrame, lexicon: dict[str, dict[str, float]] | None = None, hints: dict[str, Column] | None = None, saturation: float = config.SATURATION) -> DataFrame:
+    """``items`` (title, body) with lanes: array of struct(order, lane, score, matched), in fixed order. A lane's score is the
+    saturated sum of its terms' gains; the first 8 terms found are the evidence. A source's hint for a lane adds a quarter of
+    itself, up to 1. Lower-cased text and hits are columns of their own, so each is worked out once."""
     lexicon, hints = lexicon or config.LANE_TERMS, hints or {}
+    low = items.withColumns({"low_title_": F.lower(F.coalesce("title", F.lit(""))), "low_body_": F.lower(F.substring(F.coalesce("body", F.lit("")), 1, HEAD))})
+    hit = low.withColumns({f"hits_{i}_": term_hits(F.col("low_title_"), F.col("low_body_"), terms) for i, terms in enumerate(lexicon.values())})
     lanes = []
-    for i, (lane, terms) in enumerate(lexicon.items()):
-        match = lane_match(F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")), terms)
-        score = F.least(F.lit(1.0), match["score"] + F.coalesce(hints.get(lane, F.lit(0.0)), F.lit(0.0)) * 0.25)
-        lanes.append(F.struct(F.lit(i).alias("order"), F.lit(lane).alias("lane"), score.alias("score"), match["matched"].alias("matched")))
-    return items.withColumn("lanes", F.array(*lanes))
+    for i, lane in enumerate(lexicon):
+        raw = F.aggregate(f"hits_{i}_", F.lit(0.0), lambda s, x: s + x["gain"])
+        score = F.least(F.lit(1.0), raw / (raw + saturation) + F.coalesce(hints.get(lane, F.lit(0.0)), F.lit(0.0)) * 0.25)
+        lanes.append(F.struct(F.lit(i).alias("order"), F.lit(lane).alias("lane"), score.alias("score"), F.slice(F.transform(f"hits_{i}_", lambda x: x["term"]), 1, 8).alias("matched")))
+    return hit.withColumn("lanes", F.array(*lanes)).drop("low_title_", "low_body_", *[f"hits_{i}_" for i in range(len(lexicon))])
 
 
 def ranked_lanes(lanes: Column) -> Column:

@@ -73,18 +73,24 @@ def hits(items: DataFrame, rules: list[Rule]) -> DataFrame:
     entity_text, primary_lane. Every rule becomes literal expressions of one projection: no join, no pattern column."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
     whole = F.concat(text, F.lit(" "), F.coalesce("entity_text", F.lit("")))
-    slim = items.select("item_id", "primary_lane", text.alias("text_"), whole.alias("whole_"))
+    slim = items.select("item_id", "primary_lane", text.alias("text_"), whole.alias("whole_")).withColumn("low_", F.lower("whole_"))
     each = []
+
+    def fits(term: str, kind: str, pattern: str) -> Column:
+        """A literal is looked for before its pattern is tried."""
+        there = {"text": F.contains("low_", F.lit(term.lower())), "ticker": F.contains("whole_", F.lit(term))}.get(kind, F.lit(True))
+        return F.when(there, F.col("whole_").rlike(pattern)).otherwise(False)
+
     for r in rules:
         patterns = [(t, "text", "(?i)" + _word(t)) for t in r.any] + [(t, "ticker", _word(t)) for t in r.tickers] + [(p, "regex", "(?i)" + p) for p in r.regex]
         if not patterns:
             continue
-        found = F.filter(F.array(*[F.when(F.col("whole_").rlike(p), F.struct(F.lit(t).alias("term"), F.lit(k).alias("field"))) for t, k, p in patterns]), lambda x: x.isNotNull())
+        found = F.filter(F.array(*[F.when(fits(t, k, p), F.struct(F.lit(t).alias("term"), F.lit(k).alias("field"))) for t, k, p in patterns]), lambda x: x.isNotNull())
         allowed: Column = F.lit(True)
         if r.topics is not None:
             allowed = F.col("primary_lane").isin(r.topics) if r.topics else F.lit(False)
         for d in r.deny:
-            allowed = allowed & ~F.col("text_").rlike("(?i)" + _word(d))
+            allowed = allowed & ~F.when(F.contains("low_", F.lit(d.lower())), F.col("text_").rlike("(?i)" + _word(d))).otherwise(False)
         each.append(F.when(allowed, F.struct(F.lit(r.id).alias("entry_id"), F.lit(r.label).alias("label"), found.alias("found"), F.lit(r.priority).alias("priority"), F.lit(float(r.min_score)).alias("min_score"))))
     if not each:
         return slim.select("item_id").limit(0).selectExpr("item_id", "'' entry_id", "'' label", "array('') matched", "'' field", "true priority", "0D min_score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import FOLD_FROM, FOLD_TO
-from tidewrack.session import table
+from tidewrack.session import spread, table
 
 #: Terms that occur in the tables' invented languages stand in for a lane's own.
 LEXICON = {
@@ -19,7 +19,7 @@ LEXICON = {
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, arrival_pos, title, body, url, item_id, source_id, publisher_group, source_kind, authority, published_at, day."""
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & F.col("source").isNotNull())
+    d = spread(table(spark, sf_dir, "documents")).filter(F.col("text").isNotNull() & F.col("source").isNotNull())
     n = F.substring("source", 4, 9).cast("int")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     at = F.timestamp_micros((F.lit(1785542400) + F.col("doc_id") * 2220) * 1_000_000)

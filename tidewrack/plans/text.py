@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import dates, hashing, markup, text, urls
 from tidewrack.plans.items import ITEMS_SQL, dice_sql, items, jaccard_sql, round_sql, shingles_sql, title_sql, tokens_sql
-from tidewrack.session import table
+from tidewrack.session import spread, table
 
 
 def canonical_urls(spark, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ SELECT page_id, canonical_url, host, substr(sha256(canonical_url), 1, 16) AS ite
 
 
 def html_to_text(spark, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("text"))
+    p = spread(table(spark, sf_dir, "pages")).select("page_id", markup.html_to_text(F.col("html")).alias("text"))
     return p.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -55,7 +55,7 @@ SELECT page_id, length(text) AS n_chars, md5(text) AS text_md5 FROM t"""
 
 def token_frequency(spark, sf_dir: str) -> DataFrame:
     """Tokens in 20 documents or more."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("token"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("token"))
     return d.groupBy("token").agg(F.count("*").alias("docs")).filter("docs >= 20")
 
 
