@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = tempfile.mkdtemp(prefix="tidewrack-checkpoint-")
         context.setCheckpointDir(shared)
