@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm import language, mixing, packing, simhash, templates
+from tidewrack.llm import language, mixing, nearcopies, packing, templates
 from tidewrack.session import stored, table
 
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8."""
+    return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
