@@ -2,10 +2,13 @@
 
 Lines are separated by line feeds, tokens by ASCII white space; tokens with a digit are variable fields from the start.
 The tree has fixed depth: number of tokens, then the ``LEAD`` leading tokens. In a leaf, lines are cut into up to
-``CHUNKS`` chunks at the same token positions. A chunk that at least two different lines of the leaf share at its
-position is literal, others are fields; a line with at least ``ALIKE`` of its chunks literal belongs to the template of
-its literal chunks, any other line is a template of its own. A template found in two documents or more recurs: its lines
-are dropped, all but the first by (doc_id, text digest, position), so no text disappears from the corpus.
+``CHUNKS`` chunks at the same token positions. A template is at least ``ALIKE`` of the positions with their chunks, the
+other positions are fields for whatever stands there, so values that recur stay values; a line belongs to every template
+it fits. A template found in two documents or more recurs: its lines are dropped, all but the first by (doc_id, text
+digest, position). What is dropped thus has an earlier line that it is alike to, and a leaf's first line always stays.
+
+``op3_template_tree`` is held to its SQL, where a chunk that two different lines of the leaf share is literal, others are
+fields, and a line with ``ALIKE`` of its chunks literal belongs to the template of these alone (``recurring_by_value``).
 
 Lines travel as 64-bit hashes; texts move once, to be put together again. Equal lines are pre-aggregated, so a line that
 a third of the documents share is one row a task.
@@ -17,6 +20,10 @@ rows. Other columns pass through ``drop_recurring``.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +66,64 @@ def _chunks(t: Column) -> Column:
     return F.when(n >= LEAST, F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.hash(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j)))))
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """leaf, line, first: the lines whose template recurs, and the template's first place (doc_id, digest, pos)."""
+def _distinct(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leaf, line, first, last, chunks: the different lines; and the leaves with more than one."""
     place = F.struct("doc_id", "digest", "pos")
     document = F.struct("doc_id", "digest")
     distinct = stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(document).alias("last"), F.min("chunks").alias("chunks")))
-    varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+    return distinct, distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+
+
+def _again() -> Column:
+    """Whether first and last lie in different documents."""
+    return (F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))) == F.lit(False)
+
+
+def _templates() -> Column:
+    """All templates of a line, as hashes of leaf, positions and their chunks: with as many fields as ``ALIKE`` allows.
+
+    Lines of fewer than CHUNKS tokens are cut into single tokens, of which the leaf fixes the leading ones.
+    """
+    out = []
+    for parts in range(LEAST, CHUNKS + 1):
+        fields = parts - math.ceil(parts * ALIKE)
+        free = range(LEAD if parts < CHUNKS else 0, parts)
+        literal = [[i for i in range(parts) if i not in f] for f in combinations(free, fields)]
+        if fields and literal:
+            ways = F.array(*[F.array(*map(F.lit, way)) for way in literal])
+            out.append(F.when(F.size("chunks") == parts, F.transform(ways, lambda way: F.xxhash64("leaf", way, F.transform(way, lambda i: F.get("chunks", i))))))
+    return F.coalesce(*out)
+
+
+def recurring(lines: DataFrame) -> DataFrame:
+    """leaf, line, first: the lines of which a template recurs, and the first place (doc_id, digest, pos) of these templates."""
+    distinct, varied = _distinct(lines)
+    fits = stored(distinct.join(varied, "leaf").select("leaf", "line", "first", "last", F.explode(_templates()).alias("template")))
+    templates = fits.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    again = templates.filter(_again() & (F.col("n") > 1)).select("template", "first")
+    shared = fits.select("leaf", "line", "template").join(again, "template").select("leaf", "line", "first")
+    return shared.union(distinct.filter(_again()).select("leaf", "line", "first")).groupBy("leaf", "line").agg(F.min("first").alias("first"))
+
+
+def recurring_by_value(lines: DataFrame) -> DataFrame:
+    """Like ``recurring``, by the rule of OP3_SQL: a value that two lines share is literal."""
+    distinct, varied = _distinct(lines)
     parts = stored(distinct.join(varied, "leaf").select("leaf", "line", F.size("chunks").alias("parts"), F.posexplode("chunks").alias("at", "chunk")))
     literal = parts.groupBy("leaf", "at", "chunk").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "at", "chunk")
     found = parts.join(literal, ["leaf", "at", "chunk"]).groupBy("leaf", "line").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("literal"))
     general = found.filter(F.size("literal") >= F.col("parts") * ALIKE).select("leaf", "line", F.xxhash64("leaf", "literal").alias("template"))
     named = distinct.drop("chunks").join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
     templates = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    again = templates.filter((F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))) == F.lit(False)).select("template", "first")
+    again = templates.filter(_again()).select("template", "first")
     return named.select("leaf", "line", "template").join(again, "template").select("leaf", "line", "first")
 
 
-def drop_recurring(docs: DataFrame) -> DataFrame:
+def drop_recurring(docs: DataFrame, rule: Callable[[DataFrame], DataFrame] = recurring) -> DataFrame:
     """``docs`` with recurring lines gone from text, and n_lines, n_dropped (replaced if there)."""
     docs = docs.drop("n_lines", "n_dropped", "digest")
     keyed = docs.withColumn("digest", F.xxhash64("text"))
     lines = stored(candidate_lines(keyed.select("doc_id", "text", "digest")))
-    gone = lines.drop("chunks").join(recurring(lines), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
+    gone = lines.drop("chunks").join(rule(lines), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     by_document = gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "gone")
     joined = keyed.join(by_document, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest")), "left")
     raw = F.split(F.col("text"), "\n", -1)
@@ -98,7 +141,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
 def op3_template_tree(spark, sf_dir: str) -> DataFrame:
     from tidewrack.session import table
 
-    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), recurring_by_value)
 
 
 OP3_SQL = r"""
