@@ -3,8 +3,9 @@
 Every source has a target number of words. A document first gets the whole copies that are certain
 (target / source size, rounded down); what is left of the target is sampled: documents are ranked by
 ``odds(u) / odds(p)``, with ``u`` a uniform number drawn from the document's id and ``p`` its inclusion
-probability, and taken in that order while their words fit. The document nearest in size to what then
-still lacks closes the sample if it brings the source nearer to its target.
+probability, and taken in that order if their words fit into what is left; a document that does not is passed
+over. The document nearest in size to what then still lacks closes the sample if it brings the source nearer to
+its target. ``op4_pareto_mix`` is held to its SQL, where the first document that does not fit ends the order.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own and
 comes last; rows that repeat are documents of their own; an empty table gives an empty result; other columns
@@ -64,11 +65,44 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", "n_docs", F.least("most", F.coalesce(level * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+def _passed_over(ranked: DataFrame, lacks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ranked`` and ``lacks`` (l_source, lack) once all documents are sampled that fit when their turn comes.
+
+    A document larger than what is left never fits again. Every round sums the others along the rank as far as they fit;
+    the first that does not is too large for the next round, so rounds end with the last open document.
+    """
+    named = F.col("source").eqNullSafe(F.col("l_source"))
+    left = ranked.filter(~F.col("sampled") & F.col("rank").isNotNull() & (F.col("size") > 0)).select("source", "slice", "nth", "size")
+    taken = None
+    while True:
+        left = cut(left.join(lookup(lacks), named).filter("size <= lack").drop("l_source"))
+        if left.isEmpty():
+            break
+        along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        sums = left.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+        sums = sums.select(F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), F.coalesce(F.sum("slice_size").over(along), F.lit(0)).alias("before"))
+        within = Window.partitionBy("source", "slice").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+        summed = left.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice"))).withColumn("upto", F.col("before") + F.sum("size").over(within))
+        summed = cut(summed.select("source", "slice", "nth", "size", (F.col("upto") <= F.col("lack")).alias("fits")))
+        more = summed.filter("fits").select("source", "slice", "nth")
+        taken = more if taken is None else taken.union(more)
+        used = summed.filter("fits").groupBy("source").agg(F.sum("size").alias("used"))
+        lacks = cut(lacks.join(lookup(used), named, "left").select("l_source", (F.col("lack") - F.coalesce("used", F.lit(0))).alias("lack")))
+        left = summed.filter("not fits").select("source", "slice", "nth", "size")
+    if taken is None:
+        return ranked, lacks
+    found = taken.select(F.col("source").alias("t_source"), F.col("slice").alias("t_slice"), F.col("nth").alias("t_nth"))
+    same = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("slice") == F.col("t_slice")) & (F.col("nth") == F.col("t_nth"))
+    joined = ranked.join(lookup(cut(found)), same, "left").withColumn("sampled", F.col("sampled") | F.col("t_nth").isNotNull())
+    return cut(joined.drop("t_source", "t_slice", "t_nth")), lacks
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "mix", keep: tuple[str, ...] = (), pass_over: bool = True) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and the columns in ``keep``: one row for every row of ``docs``.
 
     Sums run in two levels: sizes are added up by source and slice of rank, slices are summed along the rank,
     and rows only within their slice, so no source has to fit into a task. Slices number about the square root of the rows.
+    Without ``pass_over`` the first document that does not fit ends a source's order.
     """
     kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept))
@@ -93,6 +127,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ranked = cut(ranked.withColumn("sampled", F.coalesce((F.col("rank").isNotNull()) & (F.col("upto") <= F.col("rest")), F.lit(False))))
     lacks = ranked.groupBy("source").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("sampled"), F.col("upto"))), F.lit(0))).alias("lack"))
     lacks = lacks.withColumnRenamed("source", "l_source")
+    if pass_over:
+        ranked, lacks = _passed_over(ranked, cut(lacks))
     open_rows = ranked.filter(~F.col("sampled") & F.col("rank").isNotNull() & (F.col("size") > 0))
     off = F.abs(F.col("size") - F.col("lack"))
     closing = (
@@ -111,7 +147,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def op4_pareto_mix(spark, sf_dir: str) -> DataFrame:
     from tidewrack.session import table
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), pass_over=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""
