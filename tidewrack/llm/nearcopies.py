@@ -27,6 +27,8 @@ WIDTH = 5
 HOT = 64
 #: Documents that the order of shingles is worked out from, times a shingle has to be among them, and shingles kept.
 SAMPLE, OFTEN, ORDERED = 20_000, 4, 200_000
+#: Parts of the hashes, a power of two.
+CELLS = 128
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,26 +64,31 @@ def _order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest, sid, grams: every row's set of shingles, in the common order, and the set's own number."""
+    """doc_id, digest, sid, n, first, counts: every row's set of shingles by its own number and size, its first shingles in
+    the common order, and the numbers of its shingles by CELLS parts of their hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(_order(docs, width))
 
     def apply(batches):
         known, numbers = shared.value
         for batch in batches:
-            sids, grams = [], []
+            sids, sizes, firsts, counts = [], [], [np.zeros(0, np.int64)], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width)
+                n = len(own)
                 sids.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
-                if len(known) and len(own):
+                sizes.append(n)
+                counts.append(np.bincount(own & (CELLS - 1), minlength=CELLS).astype("<u4").tobytes())
+                if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[at] == own, numbers[at], 0), kind="stable")]
-                grams.append(own)
-            ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.array(sids, np.uint64).view(np.int64)), lists], ["doc_id", "digest", "sid", "grams"])
+                firsts.append(own[: n - (4 * n + 4) // 5 + 1])
+            ends = np.cumsum([len(f) for f in firsts]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sid", "n", "first", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    return stored(rows.mapInArrow(apply, "doc_id long, digest long, sid long, grams array<long>"))
+    return stored(rows.mapInArrow(apply, "doc_id long, digest long, sid long, n long, first array<long>, counts binary"))
 
 
 def _grouped(batches, columns):
@@ -153,28 +160,48 @@ def _pairs(keyed: DataFrame, hot: int, again: bool) -> DataFrame:
     return cut(placed.mapInArrow(apply, "a long, b long").distinct())
 
 
-def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose sets are alike."""
-    asked = lookup(cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
-    known = cut(found.select("sid", "grams").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
+def _asked(pairs: DataFrame) -> DataFrame:
+    return lookup(cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
+
+
+def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs whose sets are alike. Parts of the hashes bound what two sets share, so few sets are made again from texts."""
+
+    def bounded(batches):
+        for batch in batches:
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS) for c in ("ca", "cb"))
+            most = np.minimum(ca, cb).sum(axis=1, dtype=np.int64)
+            ok = 9 * most >= 4 * (ca.sum(axis=1, dtype=np.int64) + cb.sum(axis=1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    counts = cut(found.select("sid", "counts").join(_asked(pairs), "sid", "left_semi").dropDuplicates(["sid"]))
+    pairs = cut(pairs.join(counts.toDF("a", "ca"), "a").join(counts.toDF("b", "cb"), "b").mapInArrow(bounded, "a long, b long"))
+
+    def made(batches):
+        for batch in batches:
+            grams = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
+
+    one = found.join(_asked(pairs), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("digest", "doc_id")).alias("r"))
+    one = lookup(cut(one.select("sid", F.col("r.digest").alias("r_digest"), F.col("r.doc_id").alias("r_id"))))
+    rows = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text")).join(one, (F.col("digest") == F.col("r_digest")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    known = stored(rows.select("sid", "text").mapInArrow(made, "sid long, grams array<long>").dropDuplicates(["sid"]))
     both = pairs.join(known.toDF("a", "ga"), "a").join(known.toDF("b", "gb"), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return cut(both.filter(9 * shared >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b"))
 
 
-def links(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: links between sets (``found`` has sid and grams) that connect them exactly as all pairs of similarity 0.8 do."""
-    n = F.size("grams")
-    first = F.slice("grams", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    keyed = found.filter(n > 0).select("sid", n.alias("n"), F.posexplode(first).alias("place", "gram"))
-    out = _verified(_pairs(keyed, hot, False), found)
+def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+    """a, b: links that connect the sets ``found`` of ``docs`` exactly as all pairs of similarity 0.8 do."""
+    keyed = found.filter("n > 0").select("sid", "n", F.posexplode("first").alias("place", "gram"))
+    out = _verified(_pairs(keyed, hot, False), found, docs, width)
     # Copies count once. Only hot keys can have pairs left.
     hotter = keyed.groupBy("gram").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot).select("gram")
     left = stored(keyed.join(lookup(cut(hotter)), "gram").dropDuplicates(["gram", "sid"]))
     if not left.isEmpty():
         label = cut(components(out).select(F.col("node").alias("sid"), F.col("component").alias("label")))
         left = left.join(lookup(label), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        out = out.union(_verified(_pairs(left, hot, True), found))
+        out = out.union(_verified(_pairs(left, hot, True), found, docs, width))
     return out
 
 
@@ -182,7 +209,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFram
     """doc_id, digest, label, component_id: one row a document; component_id is the least doc_id of the component."""
     found = sets(docs, width)
     rows = found.select("doc_id", "digest", "sid")
-    joined = cut(components(links(found, hot)).select(F.col("node").alias("sid"), F.col("component").alias("label")))
+    joined = cut(components(links(found, docs, width, hot)).select(F.col("node").alias("sid"), F.col("component").alias("label")))
     labelled = rows.join(lookup(joined), "sid", "left").select("doc_id", "digest", F.coalesce("label", "sid").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "label").select("doc_id", "digest", "label", "component_id")
@@ -192,7 +219,10 @@ def keep_one(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays."""
     found = cut(near_copies(docs, width, hot)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = found.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("h")).select(F.col("h.doc_id").alias("h_id"), F.col("h.digest").alias("h_digest"))
-    rows = docs.withColumn("digest_", F.xxhash64("text"))
-    kept = rows.join(heads, (F.col("digest_") == F.col("h_digest")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("digest_", "doc_id").orderBy(F.lit(1)))
-    return kept.withColumn("nth_", nth).filter("nth_ = 1").drop("nth_", "digest_")
+    # Join and window deal the texts out by one key, so they move once.
+    rows = docs.withColumns({"digest_": F.xxhash64("text"), "key_": F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"))})
+    heads = heads.withColumn("h_key", F.xxhash64(F.col("h_id").isNull(), "h_id", "h_digest"))
+    same = (F.col("key_") == F.col("h_key")) & (F.col("digest_") == F.col("h_digest")) & F.coalesce(F.col("doc_id") == F.col("h_id"), F.col("doc_id").isNull() & F.col("h_id").isNull())
+    kept = rows.join(heads, same, "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key_", "digest_", "doc_id").orderBy("digest_"))
+    return kept.withColumn("nth_", nth).filter("nth_ = 1").drop("nth_", "digest_", "key_")
