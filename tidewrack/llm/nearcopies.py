@@ -205,20 +205,24 @@ def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT)
     return out
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
-    """doc_id, digest, label, component_id: one row a document; component_id is the least doc_id of the component."""
+def _labelled(docs: DataFrame, width: int, hot: int) -> DataFrame:
+    """doc_id, digest, label: one row a document."""
     found = sets(docs, width)
-    rows = found.select("doc_id", "digest", "sid")
     joined = cut(components(links(found, docs, width, hot)).select(F.col("node").alias("sid"), F.col("component").alias("label")))
-    labelled = rows.join(lookup(joined), "sid", "left").select("doc_id", "digest", F.coalesce("label", "sid").alias("label"))
+    return found.select("doc_id", "digest", "sid").join(lookup(joined), "sid", "left").select("doc_id", "digest", F.coalesce("label", "sid").alias("label"))
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+    """doc_id, digest, label, component_id: one row a document; component_id is the least doc_id of the component."""
+    labelled = cut(_labelled(docs, width, hot))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "label").select("doc_id", "digest", "label", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays."""
-    found = cut(near_copies(docs, width, hot)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = found.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("h")).select(F.col("h.doc_id").alias("h_id"), F.col("h.digest").alias("h_digest"))
+    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays, a null one last."""
+    heads = _labelled(docs, width, hot).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("h"))
+    heads = cut(heads.select(F.col("h.doc_id").alias("h_id"), F.col("h.digest").alias("h_digest")))
     # Join and window deal the texts out by one key, so they move once.
     rows = docs.withColumns({"digest_": F.xxhash64("text"), "key_": F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"))})
     heads = heads.withColumn("h_key", F.xxhash64(F.col("h_id").isNull(), "h_id", "h_digest"))
