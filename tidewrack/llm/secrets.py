@@ -6,6 +6,9 @@ first and into the likeliest compatible red one, never into the start), down to
 characters of ``CANDIDATE`` or more, is scored under every format's automaton and under a character-pair model of
 ordinary strings; its score is the best format's likelihood ratio in bits a character. Candidates scoring above the
 threshold that the labelled ordinary strings set are spans of kind ``grammar``; those inside a base span are not repeated.
+Of a candidate that is none as a whole, parts are scored that begin after one of ``BREAKS`` or with a format's fixed
+start, and end where its automaton may; those above the threshold of ordinary strings' parts are spans, the likeliest
+first, as far as they do not overlap.
 
 Defined cases: a null or empty text has no spans (the digest is that of the empty string); whole texts of any length are
 scanned; repeated rows give equal rows; an empty table gives no rows. Other columns are ignored.
@@ -19,6 +22,7 @@ import random
 import re
 import string
 from collections import Counter
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 ASSIGN_LEAST = 6
+LEAST_PART = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Characters after which a part of a candidate may begin.
+BREAKS = "=/.+_-"
 ALPHA = 0.05
 #: Symbols from which on a state counts as a random part.
 WIDE = 12
@@ -178,6 +185,42 @@ class Scorer:
         self.pair_bits = {(a, b): -math.log2((pairs[a, b] + 0.05) / (firsts[a] + 0.05 * symbols)) for a in known for b in ALNUM + "+/_.=-"}
         self.threshold = 0.0
         self.threshold = max([0.0, *(self.score(s)[0] for s in ordinary)])
+        self.starts = {name: "".join(takewhile(bool, (p if isinstance(p, str) else p[0] if len(p[0]) == 1 else "" for p in parts))) for name, parts in FORMATS.items()}
+        self.part_threshold = self.threshold
+        self.part_threshold = max([self.threshold, *(score for s in ordinary for score, *_ in self.scored(s))])
+
+    def scored(self, text: str) -> list[tuple[float, float, int, int]]:
+        """(bits a character, bits, start, end) of the part from every start, by format: the longest above the threshold, or the likeliest."""
+        broken = {0} | {i + 1 for i, c in enumerate(text) if c in BREAKS}
+        out = []
+        for name, automaton in self.automata.items():
+            fixed, at = self.starts[name], set(broken)
+            i = text.find(fixed) if fixed else -1
+            while i >= 0:
+                at.add(i)
+                i = text.find(fixed, i + 1)
+            for start in at:
+                state, total, plain, before, best = 0, 0.0, 0.0, "^", None
+                for end in range(start, len(text)):
+                    c = text[end]
+                    step = automaton[state][0].get(c)
+                    if step is None:
+                        break
+                    state, total, plain, before = step[0], total + step[1], plain + self.pair_bits[before, c], c
+                    gain, size = plain - total - automaton[state][1], end + 1 - start
+                    if size >= LEAST_PART and gain > -math.inf and (best is None or gain >= best[1] or gain > self.part_threshold * size):
+                        best = (gain / size, gain, start, end + 1)
+                if best:
+                    out.append(best)
+        return out
+
+    def parts(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the parts above the threshold, in order."""
+        out: list[tuple[int, int]] = []
+        for score, _, start, end in sorted(self.scored(text), key=lambda p: (-p[1], p[2:])):
+            if score > self.part_threshold and all(end <= s or e <= start for s, e in out):
+                out.append((start, end))
+        return sorted(out)
 
     def score(self, text: str) -> tuple[float, str | None]:
         """Bits a character in favour of the best format, and its name; minus infinity and None if none can produce it."""
@@ -210,9 +253,9 @@ def scan(text: str | None, scorer: Scorer) -> tuple[list, list]:
         found = m[0].rstrip(".=-") if m[0][-1] in ".=-" else m[0]
         if len(found) < 16:
             continue
-        start, end = m.start(), m.start() + len(found)
-        if scorer.score(found)[0] > scorer.threshold and not any(s <= start and end <= e for s, _, e in base):
-            added.append((start, 3, end))
+        start = m.start()
+        own = [(0, len(found))] if scorer.score(found)[0] > scorer.threshold else scorer.parts(found)
+        added += [(start + i, 3, start + j) for i, j in own if not any(s <= start + i and start + j <= e for s, _, e in base)]
     return base, added
 
 
