@@ -26,6 +26,45 @@ def test_fields_side_by_side_in_one_leaf(spark):
     assert [i for i in sorted(found) if not found[i]] == [0, 100]
 
 
+def test_fixed_words_beside_fields_in_long_lines(spark):
+    """Thirty tokens, four of them fields far apart: every other word counts for itself."""
+    value = lambda i, k: "".join("bcdfghklmn"[(i * k) // 10**j % 10] + "aeiou"[(i + k) // 10**j % 5] for j in range(2))
+    fixed = "our terms of service apply to all orders that you place with us on this page and in every shop that we run in any town near you".split()
+    rows = []
+    for i in range(50):
+        own = list(fixed)
+        for k in (5, 12, 19, 26):
+            own[k] = value(i, k)
+        rows.append((i, " ".join(own)))
+    rows += [(50, " ".join(reversed(fixed))), (51, " ".join(fixed[:3] + [w + "x" for w in fixed[3:]]))]
+    found = {r.doc_id: r.n_dropped for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in sorted(found) if not found[i]] == [0, 50, 51]
+
+
+def test_edited_copies_of_one_line(spark):
+    """Each has other words changed; all lead back to the common form."""
+    base = [f"w{'abcdefghij'[i % 10]}{'klmno'[i // 10]}" for i in range(40)]
+    rows = [(i, " ".join(w if j not in (3 + i % 37, 3 + (i * 7 + 11) % 37) else f"{w}{'x' * (i + 1)}" for j, w in enumerate(base))) for i in range(60)]
+    found = {r.doc_id: r.n_dropped for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found.values()) == 59
+
+
+def test_short_lines_and_lines_of_numbers(spark):
+    rows = [(i, f"Read more\nOK\n{i} {i * 7}\n12 13\n \n\nown {'y' * (i + 1)} text") for i in range(5)]
+    found = templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert found[0].text == rows[0][1] and found[0].n_dropped == 0
+    for i in range(1, 5):  # numbers that differ stay, equal ones go
+        assert found[i].text == f"{i} {i * 7}\n \n\nown {'y' * (i + 1)} text" and found[i].n_dropped == 3
+
+
+def test_long_lines(spark):
+    """One token of a million characters, one line of many tokens."""
+    wide, many = "z" * 1_000_000, " ".join(f"t{'abc'[i % 3] * (i % 50)}" for i in range(100_000))
+    rows = [(1, f"{wide}\n{many}"), (2, f"{wide}\n{many} end"), (3, many.replace("tabc", "q") + " end")]
+    found = {r.doc_id: r.n_dropped for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == 0 and found[2] == 1 and found[3] <= 1
+
+
 def greedy(rows, rest):
     """Documents in rank order, each taken if it fits."""
     taken = set()

@@ -1,147 +1,130 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-Lines are separated by line feeds, tokens by ASCII white space; tokens with a digit are variable fields from the start.
-The tree has fixed depth: number of tokens, then the ``LEAD`` leading tokens. In a leaf, lines are cut into up to
-``CHUNKS`` chunks at the same token positions. A template is at least ``ALIKE`` of the positions with their chunks, the
-other positions are fields for whatever stands there, so values that recur stay values; a line belongs to every template
-it fits. A template found in two documents or more recurs: its lines are dropped, all but the first by (doc_id, text
-digest, position). What is dropped thus has an earlier line that it is alike to, and a leaf's first line always stays.
-
-``op3_template_tree`` is held to its SQL, where a chunk that two different lines of the leaf share is literal, others are
-fields, and a line with ``ALIKE`` of its chunks literal belongs to the template of these alone (``recurring_by_value``).
-
-Lines travel as 64-bit hashes; texts move once, to be put together again. Equal lines are pre-aggregated, so a line that
-a third of the documents share is one row a task.
-
-Defined cases: lines of fewer than ``LEAST`` tokens, empty ones included, are kept; a null text stays null with no lines;
-an empty text is one empty line; rows equal in doc_id and text are one document, treated alike; null ids come first; an empty table gives no
-rows. Other columns pass through ``drop_recurring``.
+Lines are separated by line feeds, tokens by ASCII white space; tokens with a digit are variable fields from the start,
+unless nothing else is left of the line. The tree has fixed depth: number of tokens, then the ``LEAD`` leading tokens. In a leaf,
+a token's support is the number of different lines that have it at its place. A line's level is the support that
+``ALIKE`` of its tokens reach; tokens of half that support, and of two lines at least, are literal. At its other places
+stands the most frequent token of the leaf if that is literal by the same measure, else a field. That is the line's
+template: it depends on the leaf's own numbers, so values that recur stay values however large the corpus, and a few
+changed words lead back to the common form. Lines without such a level are templates of their own.
+
+A template found in two documents or more recurs: its lines are dropped, all but the first by (doc_id, text digest,
+position). What is dropped thus has an earlier line of its template, and a template's first line always stays.
+
+Lines travel as 64-bit hashes; equal lines are pre-aggregated, so a line that a third of the documents share is one row a
+task. Tokens are looked up again only for one line of each kind in leaves of several.
+
+Defined cases: lines of white space alone are kept; a null text stays null with no lines; an empty text is one empty
+line; rows equal in doc_id and text are one document, treated alike; null ids come first; of tokens with equal support
+the smaller one is the more frequent; lines and tokens may be of any length; an empty table gives no rows. Other columns
+pass through ``drop_recurring``, except n_lines and n_dropped, which it replaces.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.session import stored
+from tidewrack.llm.rows import shielded
+from tidewrack.session import lookup, stored
 
 LEAD = 3
-LEAST = 3
-CHUNKS = 8
-ALIKE = 0.7
+#: Share of a line's tokens, in tenths, that reach its level.
+ALIKE = 7
 WHITE = r"\x20\x09-\x0D"
 FIELD = "<*>"
 _DIGITS = rf"(?<![^{WHITE}])[^{WHITE}0-9]*[0-9][^{WHITE}]*"
+#: A value worked out once for several uses: lambdas bind it, plain columns would repeat it.
+_once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
 
 
-def masked(line: Column) -> Column:
-    """Tokens separated by one space, those with a digit as fields. Lines without digits or odd white space, most of all,
-    are only looked through."""
-    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
-    odd = fields.contains("  ")
+def _spaced(line: Column) -> Column:
+    """Tokens separated by one space. Lines without odd white space, most of all, are only looked through."""
+    odd = line.contains("  ")
     for c in "\t\n\x0b\x0c\r":
-        odd = odd | fields.contains(c)
-    return F.trim(F.when(odd, F.regexp_replace(fields, rf"[{WHITE}]+", " ")).otherwise(fields))
+        odd = odd | line.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(line, rf"[{WHITE}]+", " ")).otherwise(line))
 
 
-def candidate_lines(keyed: DataFrame) -> DataFrame:
-    """doc_id, digest, pos, leaf, line, chunks: the lines that may be templates, as hashes."""
-    # All of a line is worked out inside the generator, and lambdas bind the masked line and its tokens, so each is made once.
-    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    parsed = lambda t, m: F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), F.substring_index(m, " ", LEAD)).alias("leaf"), F.xxhash64(m).alias("line"), _chunks(t).alias("chunks"))
-    each = F.transform(F.split(F.col("text"), "\n", -1), lambda x: once(masked(x), lambda m: once(F.split(m, " ", -1), lambda t: parsed(t, m))))
-    lines = keyed.select("doc_id", "digest", F.posexplode(each).alias("pos", "p")).filter(F.col("p.n") >= LEAST)
-    return lines.select("doc_id", "digest", "pos", "p.leaf", "p.line", "p.chunks")
+def masked(line: Column) -> Column:
+    """Tokens separated by one space, those with a digit as fields; as they are if all have one."""
+    fields = lambda x: _once(_spaced(F.regexp_replace(x, _DIGITS, FIELD)), lambda m: F.when(F.trim(F.replace(m, F.lit(FIELD), F.lit(""))) == "", _spaced(x)).otherwise(m))
+    return F.when(line.rlike("[0-9]"), fields(line)).otherwise(_spaced(line))
 
 
-def _chunks(t: Column) -> Column:
-    """Hashes of up to CHUNKS chunks of the tokens ``t``."""
-    n = F.size(t)
-    parts = F.least(n, F.lit(CHUNKS))
-    edge = lambda j: F.floor(j * n / parts).cast("int")
-    return F.when(n >= LEAST, F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.hash(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j)))))
+def candidate_lines(keyed: DataFrame) -> DataFrame:
+    """doc_id, digest, pos, leaf, line: the lines that may be templates, as hashes."""
+    tokens = lambda m: F.size(F.split(m, " ", -1))
+    parsed = lambda m: F.when(m != "", F.struct(F.xxhash64(tokens(m), F.substring_index(m, " ", LEAD)).alias("leaf"), F.xxhash64(m).alias("line")))
+    each = F.transform(F.split(F.col("text"), "\n", -1), lambda x: _once(masked(x), parsed))
+    lines = keyed.select("doc_id", "digest", F.posexplode(each).alias("pos", "p")).filter(F.col("p").isNotNull())
+    return lines.select("doc_id", "digest", "pos", "p.leaf", "p.line")
 
 
-def _distinct(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaf, line, first, last, chunks: the different lines; and the leaves with more than one."""
+def _distinct(lines: DataFrame) -> DataFrame:
+    """leaf, line, first, last: the different lines."""
     place = F.struct("doc_id", "digest", "pos")
-    document = F.struct("doc_id", "digest")
-    distinct = stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(document).alias("last"), F.min("chunks").alias("chunks")))
-    return distinct, distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-
-
-def _again() -> Column:
-    """Whether first and last lie in different documents."""
-    return (F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))) == F.lit(False)
-
-
-def _templates() -> Column:
-    """All templates of a line, as hashes of leaf, positions and their chunks: with as many fields as ``ALIKE`` allows.
-
-    Lines of fewer than CHUNKS tokens are cut into single tokens, of which the leaf fixes the leading ones.
-    """
-    out = []
-    for parts in range(LEAST, CHUNKS + 1):
-        fields = parts - math.ceil(parts * ALIKE)
-        free = range(LEAD if parts < CHUNKS else 0, parts)
-        literal = [[i for i in range(parts) if i not in f] for f in combinations(free, fields)]
-        if fields and literal:
-            ways = F.array(*[F.array(*map(F.lit, way)) for way in literal])
-            out.append(F.when(F.size("chunks") == parts, F.transform(ways, lambda way: F.xxhash64("leaf", way, F.transform(way, lambda i: F.get("chunks", i))))))
-    return F.coalesce(*out)
-
-
-def recurring(lines: DataFrame) -> DataFrame:
-    """leaf, line, first: the lines of which a template recurs, and the first place (doc_id, digest, pos) of these templates."""
-    distinct, varied = _distinct(lines)
-    fits = stored(distinct.join(varied, "leaf").select("leaf", "line", "first", "last", F.explode(_templates()).alias("template")))
-    templates = fits.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    again = templates.filter(_again() & (F.col("n") > 1)).select("template", "first")
-    shared = fits.select("leaf", "line", "template").join(again, "template").select("leaf", "line", "first")
-    return shared.union(distinct.filter(_again()).select("leaf", "line", "first")).groupBy("leaf", "line").agg(F.min("first").alias("first"))
-
-
-def recurring_by_value(lines: DataFrame) -> DataFrame:
-    """Like ``recurring``, by the rule of OP3_SQL: a value that two lines share is literal."""
-    distinct, varied = _distinct(lines)
-    parts = stored(distinct.join(varied, "leaf").select("leaf", "line", F.size("chunks").alias("parts"), F.posexplode("chunks").alias("at", "chunk")))
-    literal = parts.groupBy("leaf", "at", "chunk").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "at", "chunk")
-    found = parts.join(literal, ["leaf", "at", "chunk"]).groupBy("leaf", "line").agg(F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("literal"))
-    general = found.filter(F.size("literal") >= F.col("parts") * ALIKE).select("leaf", "line", F.xxhash64("leaf", "literal").alias("template"))
-    named = distinct.drop("chunks").join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
+    return stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "digest")).alias("last")))
+
+
+def _tokens(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """leaf, line, at, token: the lines of leaves that hold several, read again where they first stand."""
+    varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+    wanted = distinct.join(varied, "leaf").groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.digest").alias("w_digest"))
+    wanted = stored(wanted.agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "leaf", "line")).alias("wanted")))
+    found = keyed.join(lookup(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")))
+    read = _once(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["line"].alias("line"), F.split(masked(F.get(lines, w["pos"])), " ", -1).alias("t"))))
+    each = found.select(F.explode(read).alias("x")).select("x.leaf", "x.line", "x.t").dropDuplicates(["leaf", "line"])
+    return stored(each.select("leaf", "line", F.posexplode("t").alias("at", "token")))
+
+
+def general_templates(tokens: DataFrame) -> DataFrame:
+    """leaf, line, template: the lines that have a level of two or more."""
+    counts = stored(tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter("n > 1"))
+    usual = counts.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("u")).select("leaf", "at", (-F.col("u.n")).alias("u_n"), F.col("u.token").alias("u_token"))
+    known = tokens.join(lookup(counts), ["leaf", "at", "token"], "left").join(lookup(usual), ["leaf", "at"], "left")
+    place = F.struct("at", "token", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("u_n", F.lit(1)).alias("u_n"), "u_token")
+    lines = known.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(place)).alias("t"))
+    level = F.get(F.sort_array(F.transform("t", lambda x: x["n"]), asc=False), F.floor((F.size("t") * ALIKE + 9) / 10).cast("int") - 1)
+    lines = lines.withColumn("least", F.greatest(F.lit(2), F.ceil(level / 2))).filter(level >= 2)
+    form = F.transform("t", lambda x: F.when(x["n"] >= F.col("least"), x["token"]).when(x["u_n"] >= F.col("least"), x["u_token"]).otherwise(F.lit(FIELD)))
+    return lines.select("leaf", "line", F.xxhash64("leaf", form).alias("template"))
+
+
+def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """leaf, line, first: the lines whose template recurs, and its first place (doc_id, digest, pos)."""
+    distinct = _distinct(lines)
+    named = distinct.join(general_templates(_tokens(keyed, distinct)), ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
+    named = stored(named)
     templates = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    again = templates.filter(_again()).select("template", "first")
-    return named.select("leaf", "line", "template").join(again, "template").select("leaf", "line", "first")
+    same = F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))
+    return named.select("leaf", "line", "template").join(templates.filter(~same).select("template", "first"), "template").select("leaf", "line", "first")
 
 
-def drop_recurring(docs: DataFrame, rule: Callable[[DataFrame], DataFrame] = recurring) -> DataFrame:
+def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines gone from text, and n_lines, n_dropped (replaced if there)."""
-    docs = docs.drop("n_lines", "n_dropped", "digest")
-    keyed = docs.withColumn("digest", F.xxhash64("text"))
-    lines = stored(candidate_lines(keyed.select("doc_id", "text", "digest")))
-    gone = lines.drop("chunks").join(rule(lines), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
+    docs, restored = shielded(docs.drop("n_lines", "n_dropped"), "doc_id", "text")
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "text", "digest")
+    lines = stored(candidate_lines(keyed))
+    gone = lines.join(recurring(keyed, lines), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     by_document = gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "gone")
-    joined = keyed.join(by_document, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest")), "left")
+    joined = docs.join(by_document, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest")), "left")
     raw = F.split(F.col("text"), "\n", -1)
-    count = F.coalesce(F.size(raw), F.lit(0))
-    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("raw")))
     # What lies between two dropped lines is one slice, so this takes time in proportion to the lines.
+    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("raw")))
     gaps = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice(F.col("raw"), F.get(F.col("edges"), k) + 2, F.get(F.col("edges"), k + 1) - F.get(F.col("edges"), k) - 1))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
     out = joined.withColumn("raw", F.when(F.col("gone").isNotNull(), raw)).withColumn("edges", F.when(F.col("gone").isNotNull(), edges))
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(count).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "kept": kept})
-    plain = [F.col("kept").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*plain, "n_lines", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("long").alias("n_dropped"))
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(raw), F.lit(0))).cast("long"))
+    out = out.withColumns({"n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"), "text": kept})
+    return restored(out, "n_lines", "n_dropped")
 
 
 def op3_template_tree(spark, sf_dir: str) -> DataFrame:
     from tidewrack.session import table
 
-    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), recurring_by_value)
+    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 OP3_SQL = r"""
@@ -149,25 +132,34 @@ WITH raw AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
 ), lines AS (
   SELECT doc_id, i - 1 AS pos,
-         trim(regexp_replace(regexp_replace(lines[i], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS m
+         trim(regexp_replace(lines[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS plain,
+         trim(regexp_replace(regexp_replace(lines[i], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS fields
   FROM raw, unnest(range(1, len(lines) + 1)) AS r(i)
-), cut AS (
-  SELECT *, string_split(m, ' ') AS t, len(string_split(m, ' '))::BIGINT AS n FROM lines
+), formed AS (
+  SELECT doc_id, pos, CASE WHEN trim(replace(fields, '<*>', '')) = '' THEN plain ELSE fields END AS m FROM lines
 ), cand AS (
-  SELECT doc_id, pos, m, n, n::VARCHAR || ':' || array_to_string(t[1:3], ' ') AS leaf,
-         list_transform(range(0, least(n, 8)), lambda j: array_to_string(t[(j * n // least(n, 8)) + 1 : ((j + 1) * n // least(n, 8))], ' ')) AS chunks
-  FROM cut WHERE n >= 3
+  SELECT doc_id, pos, m, string_split(m, ' ') AS t, len(string_split(m, ' '))::VARCHAR || ':' || array_to_string(string_split(m, ' ')[1:3], ' ') AS leaf
+  FROM formed WHERE m <> ''
 ), dis AS (
-  SELECT leaf, m, min((doc_id, pos)) AS first, max(doc_id) AS last, any_value(chunks) AS chunks FROM cand GROUP BY leaf, m
-), parts AS (
-  SELECT leaf, m, len(chunks) AS parts, i AS nth, chunks[i] AS chunk FROM dis, unnest(range(1, len(chunks) + 1)) AS r(i)
-), lit AS (
-  SELECT leaf, nth, chunk FROM parts GROUP BY leaf, nth, chunk HAVING count(*) > 1
+  SELECT leaf, m, min((doc_id, pos)) AS first, max(doc_id) AS last, any_value(t) AS t FROM cand GROUP BY leaf, m
+), varied AS (
+  SELECT leaf FROM dis GROUP BY leaf HAVING count(*) > 1
+), tokens AS (
+  SELECT leaf, m, i AS nth, t[i] AS token, len(t) AS n FROM dis JOIN varied USING (leaf), unnest(range(1, len(t) + 1)) AS r(i)
+), counts AS (
+  SELECT leaf, nth, token, count(*) AS k FROM tokens GROUP BY leaf, nth, token
+), usual AS (
+  SELECT leaf, nth, min((-k, token)) AS u FROM counts GROUP BY leaf, nth
+), placed AS (
+  SELECT t.leaf, t.m, any_value(t.n) AS n, list((t.nth, t.token, c.k, -u.u[1], u.u[2]) ORDER BY t.nth) AS p
+  FROM tokens t JOIN counts c USING (leaf, nth, token) JOIN usual u USING (leaf, nth) GROUP BY t.leaf, t.m
+), levels AS (
+  SELECT *, list_reverse_sort(list_transform(p, lambda x: x[3]))[(7 * n + 9) // 10] AS level FROM placed
 ), found AS (
-  SELECT p.leaf, p.m, any_value(p.parts) AS parts, list_sort(list((p.nth, p.chunk))) AS literal FROM parts p JOIN lit USING (leaf, nth, chunk) GROUP BY p.leaf, p.m
+  SELECT leaf, m, list_transform(p, lambda x: CASE WHEN x[3] >= greatest(2, (level + 1) // 2) THEN x[2] WHEN x[4] >= greatest(2, (level + 1) // 2) THEN x[5] ELSE '<*>' END) AS form
+  FROM levels WHERE level >= 2
 ), named AS (
-  SELECT d.leaf, d.m, d.first, d.last,
-         CASE WHEN len(f.literal) >= f.parts * 0.7 THEN 'g' || d.leaf || chr(1) || f.literal::VARCHAR ELSE 'l' || d.m END AS template
+  SELECT d.leaf, d.m, d.first, d.last, CASE WHEN f.form IS NOT NULL THEN 'g' || d.leaf || chr(1) || array_to_string(f.form, ' ') ELSE 'l' || d.m END AS template
   FROM dis d LEFT JOIN found f USING (leaf, m)
 ), again AS (
   SELECT template, min(first) AS first FROM named GROUP BY template HAVING min(first)[1] <> max(last)
