@@ -1,9 +1,12 @@
 """Main text of web pages: flat blocks, their word counts and link densities and their neighbours', and a decision tree.
 
 A page is read once into blocks, the text between block-level tags. A block's features are its words and the share of
-them inside links, the same of the blocks before and after it, and what its open elements say: inside an article or main
-element, inside an element whose tag, class, id or role names page furniture, a heading or not. A decision tree, trained
-at each start on the labelled table below, keeps or drops each block.
+them inside links, the same of the blocks before and after it, and one weak hint: whether an open element is named as page furniture, by its
+tag, class, id or role. A decision tree, trained at each start on the labelled table below, keeps or drops each block. Menus are told by
+their links alone; the hint settles what reads like prose but is none of the article's (adverts, comments, notices, footers).
+
+Of what browsers show nothing is dropped before the tree sees it; left out are scripts, styles, the head, templates, frames' and
+vector graphics' sources, and the choices and inputs of forms.
 
 Defined cases: null or empty html, and pages of which no block is kept, give an empty text; broken markup (open tags at
 the end, stray brackets, unclosed comments) is read as far as it goes; nothing is cut off, whatever the length; repeated
@@ -18,68 +21,68 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "main", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "named")
 #: Labelled blocks: the features, then 1 for main text.
 LABELLED = (
-    # paragraphs and headings of articles, long and short, at the edges and inside
-    (8, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1, 1),
-    (60, 0.0, 8, 0.0, 45, 0.0, 0, 1, 0, 1),
-    (45, 0.05, 60, 0.0, 3, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 90, 0.0, 2, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 1, 0.0, 70, 0.1, 0, 1, 0, 1),
-    (3, 0.0, 45, 0.05, 120, 0.0, 0, 1, 1, 1),
-    (120, 0.0, 3, 0.0, 14, 0.0, 0, 1, 0, 1),
-    (30, 0.4, 80, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (14, 0.3, 120, 0.0, 6, 0.9, 0, 1, 0, 1),
-    (25, 0.0, 4, 1.0, 7, 0.5, 0, 1, 0, 1),
-    (1, 0.0, 5, 1.0, 1, 1.0, 0, 1, 0, 1),
-    (5, 0.0, 4, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 2, 0.0, 5, 0.0, 0, 1, 0, 1),
-    (9, 0.0, 10, 0.0, 4, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 3, 0.2, 6, 0.0, 0, 1, 1, 1),
-    (4, 0.0, 40, 0.0, 3, 1.0, 0, 1, 0, 1),
-    (10, 0.1, 1, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (7, 0.0, 9, 0.0, 2, 0.0, 0, 1, 0, 1),
-    (11, 0.0, 5, 1.0, 5, 0.0, 0, 1, 1, 1),
-    # lists of links inside articles
-    (6, 1.0, 50, 0.0, 7, 1.0, 0, 1, 0, 0),
-    (7, 0.95, 6, 1.0, 5, 1.0, 0, 1, 0, 0),
-    (5, 1.0, 7, 1.0, 10, 0.2, 0, 1, 0, 0),
-    (2, 1.0, 90, 0.0, 3, 1.0, 0, 1, 0, 0),
-    (12, 0.9, 40, 0.1, 11, 1.0, 0, 1, 0, 0),
-    # furniture, wherever it stands and however long
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0),
-    (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (40, 0.0, 60, 0.0, 55, 0.0, 1, 1, 0, 0),
-    (65, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 0),
-    (4, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 0),
-    (18, 0.1, 80, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (90, 0.0, 18, 0.0, 4, 1.0, 1, 0, 0, 0),
-    (5, 0.0, 2, 0.0, 3, 0.0, 1, 0, 1, 0),
-    # pages without article or main: text among text, headings before text
-    (70, 0.0, 9, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (50, 0.1, 70, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (30, 0.0, 50, 0.1, 2, 1.0, 0, 0, 0, 1),
-    (18, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1),
-    (22, 0.2, 3, 0.5, 35, 0.0, 0, 0, 0, 1),
-    (28, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    # pages without article or main: short blocks among short blocks, links
-    (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (3, 1.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 3, 1.0, 6, 0.0, 0, 0, 0, 0),
-    (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0),
-    (15, 0.8, 2, 1.0, 30, 0.0, 0, 0, 0, 0),
-    (35, 0.7, 15, 0.8, 40, 0.6, 0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1, 0),
-    (8, 0.1, 4, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (9, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 0),
-    (10, 0.0, 6, 0.0, 4, 0.0, 0, 0, 0, 0),
-    (7, 0.2, 3, 0.0, 6, 0.3, 0, 0, 0, 0),
+    # paragraphs, long and short, inside articles
+    (60, 0.0, 8, 0.0, 45, 0.0, 0, 1),
+    (45, 0.05, 60, 0.0, 3, 0.0, 0, 1),
+    (120, 0.0, 3, 0.0, 14, 0.0, 0, 1),
+    (30, 0.4, 80, 0.0, 50, 0.0, 0, 1),
+    (22, 0.2, 3, 0.5, 35, 0.0, 0, 1),
+    (14, 0.3, 120, 0.0, 6, 0.1, 0, 1),
+    (10, 0.1, 1, 0.0, 1, 0.0, 0, 1),
+    (9, 0.0, 10, 0.0, 4, 0.0, 0, 1),
+    (3, 0.0, 2, 0.0, 5, 0.0, 0, 1),
+    (2, 0.0, 1, 0.0, 70, 0.1, 0, 1),
+    (2, 0.0, 2, 0.0, 2, 0.0, 0, 1),
+    (1, 0.0, 90, 0.0, 2, 0.0, 0, 1),
+    (1, 0.0, 3, 0.0, 1, 0.0, 0, 1),
+    # the first and last blocks of articles, headings, and pages of one block
+    (8, 0.0, 1, 1.0, 60, 0.0, 0, 1),
+    (4, 0.0, 2, 1.0, 12, 0.0, 0, 1),
+    (25, 0.0, 4, 1.0, 7, 0.5, 0, 1),
+    (70, 0.0, 9, 0.9, 50, 0.0, 0, 1),
+    (11, 0.0, 5, 0.0, 5, 0.0, 0, 1),
+    (30, 0.0, 50, 0.1, 2, 1.0, 0, 1),
+    (5, 0.0, 40, 0.0, 3, 1.0, 0, 1),
+    (2, 0.0, 6, 0.0, 4, 1.0, 0, 1),
+    (3, 0.0, 2, 0.0, 2, 1.0, 0, 1),
+    (1, 0.0, 1, 0.1, 5, 1.0, 0, 1),
+    (6, 0.0, 4, 0.0, 1, 0.9, 0, 1),
+    (4, 0.0, 3, 0.2, 1, 1.0, 0, 1),
+    (28, 0.0, 0, 0.0, 0, 0.0, 0, 1),
+    (5, 0.0, 4, 0.0, 0, 0.0, 0, 1),
+    (26, 0.3, 2, 1.0, 3, 1.0, 0, 1),
+    # menus and lists of links
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0),
+    (2, 1.0, 1, 1.0, 10, 0.0, 0, 0),
+    (3, 1.0, 40, 0.0, 2, 1.0, 0, 0),
+    (6, 1.0, 50, 0.0, 7, 1.0, 0, 0),
+    (7, 0.95, 6, 1.0, 5, 1.0, 0, 0),
+    (5, 1.0, 7, 1.0, 60, 0.2, 0, 0),
+    (12, 0.9, 40, 0.1, 11, 1.0, 0, 0),
+    (15, 0.8, 2, 1.0, 30, 0.0, 0, 0),
+    (35, 0.7, 15, 0.8, 40, 0.6, 0, 0),
+    (20, 0.65, 3, 1.0, 4, 1.0, 0, 0),
+    (2, 1.0, 8, 0.0, 9, 0.0, 0, 0),
+    # short words between links: what menus and bars are headed with
+    (1, 0.0, 2, 1.0, 1, 1.0, 0, 0),
+    (2, 0.0, 1, 1.0, 3, 1.0, 0, 0),
+    (3, 0.3, 1, 1.0, 2, 1.0, 0, 0),
+    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0),
+    (6, 0.1, 3, 0.9, 2, 0.9, 0, 0),
+    (1, 0.0, 0, 0.0, 2, 1.0, 0, 0),
+    (2, 0.0, 0, 0.0, 1, 1.0, 0, 0),
+    # prose that is named as something else
+    (12, 0.0, 1, 1.0, 9, 0.0, 1, 0),
+    (9, 0.0, 80, 0.0, 0, 0.0, 1, 0),
+    (40, 0.0, 60, 0.0, 55, 0.0, 1, 0),
+    (65, 0.0, 40, 0.0, 30, 0.0, 1, 0),
+    (18, 0.1, 80, 0.0, 0, 0.0, 1, 0),
+    (5, 0.0, 2, 0.0, 3, 0.0, 1, 0),
+    (4, 0.0, 80, 0.0, 20, 0.0, 1, 0),
 )
 DEPTH = 7
 
@@ -89,21 +92,23 @@ BLOCKS = frozenset(
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-GONE = frozenset("head select button datalist audio video canvas object map".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Elements whose content is a form's choices, shown by the browser's own controls.
+CHOICES = frozenset("select datalist".split())
+FURNITURE_TAGS = frozenset("footer aside form menu dialog fieldset".split())
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert advertisement adverts advertising adsense banner banners breadcrumb breadcrumbs comment comments respond cookie cookies consent gdpr copyright"
-    " disclaimer disqus discussion footer login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup"
+    "ad ads adv advert advertisement adverts advertising adsense banner banners comment comments respond cookie cookies consent gdpr copyright"
+    " disclaimer disqus discussion footer login masthead menu modal newsletter notice notices notification popup"
     " promo promotion promotions promoted recommended related replies reply search share sharing shares sidebar sidebars sidenav signup social sponsor sponsored sponsors subscribe"
     " subscription tags teaser teasers toc toolbar topbar widget widgets alert alerts complementary contentinfo skip outbrain taboola paywall".split()
 )
 HEADER_NAMES = frozenset("header heading banner masthead topbar".split())
 LAYOUT_NAMES = frozenset("with has no without is".split())
-MAIN_TAGS, HEADINGS = frozenset(("article", "main")), frozenset(f"h{i}" for i in range(1, 7))
+MAIN_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|svg|iframe|math|xmp|noembed|noframes)\b(?>[^>]*)(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|textarea|title|template|svg|iframe|noembed|noframes)\b(?>[^>]*)(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<xmp\b(?>[^>]*)(?:>(.*?)(?:</xmp\s*>|\Z)|\Z)"
     r"|<[!?](?>[^>]*)(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*))(?:>|\Z)"
     r"|</?[A-Za-z](?>[^>]*)(?:>|\Z)",
@@ -133,91 +138,90 @@ def _furniture(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, share of words in links, furniture, main, heading) of each block that has text."""
-    out: list[tuple[str, int, float, int, int, int]] = []
-    # Open block elements: name, furniture, main, and whether their content is no text at all.
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+def blocks(page: str) -> list[tuple[str, int, float, int]]:
+    """(text, words, share of words in links, named) of each block that has text."""
+    out: list[tuple[str, int, float, int]] = []
+    # Open block elements: name, whether named as furniture, whether inside an article or main element.
+    stack: list[tuple[str, bool, bool]] = [("", False, False)]
     parts: list[str] = []
     linked: list[str] = []
-    in_link = False
+    in_link, choice = False, ""
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            name, furniture, main, gone = stack[-1]
-            if text and not gone:
+            if text and not any(name == "head" for name, *_ in stack):
                 words = text.count(" ") + 1
                 in_links = len(html.unescape(" ".join(linked)).split())
-                out.append((text, words, min(1.0, in_links / words), int(furniture), int(main), int(name in HEADINGS)))
+                out.append((text, words, min(1.0, in_links / words), int(stack[-1][1])))
             parts.clear()
             linked.clear()
 
-    def close(upto: int) -> None:
-        del stack[upto:]
-
     def add(text: str) -> None:
-        parts.append(text)
-        if in_link:
-            linked.append(text)
+        if not choice:
+            parts.append(text)
+            if in_link:
+                linked.append(text)
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3] and m[3].lower()
+        if m[2] is not None:  # shown as it stands, references and all
+            flush()
+            add(html.escape(m[2], quote=False))
+            flush()
+        tag = m[4] and m[4].lower()
         if not tag:
             continue
         if tag == "a":
-            in_link = not m[2]
+            in_link = not m[3]
             continue
         if tag == "br":
             add(" ")
             continue
-        inline = tag not in BLOCKS
-        if m[2]:
-            if inline and tag not in GONE:
-                continue
+        if tag in CHOICES:
+            choice = "" if m[3] else tag
+            continue
+        if tag not in BLOCKS or (choice and tag in ("option", "optgroup")):
+            continue
+        choice = ""
+        flush()
+        if m[3]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if inline and not depth:
-                continue
-            flush()
             if depth:
-                close(depth)
+                del stack[depth:]
                 if tag not in ("p", "li"):
                     in_link = False
             continue
-        if inline and tag not in GONE:
-            continue
-        flush()
         if tag == "body":
-            close(1)
-        if not inline and stack[-1][0] == "p":
-            close(len(stack) - 1)
+            del stack[1:]
+        if stack[-1][0] == "p":
+            del stack[-1]
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             same = ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,)
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in same:
-                    close(i)
+                    del stack[i:]
                     break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "menu", "select", "div", "article", "main", "body"):
+                if stack[i][0] in ("ul", "ol", "dl", "table", "menu", "div", "article", "main", "body"):
                     break
         if tag in VOID:
             continue
-        _, furniture, main, gone = stack[-1]
-        stack.append((tag, furniture or _furniture(tag, m[4] or "", main), main or tag in MAIN_TAGS or 'role="main"' in (m[4] or ""), gone or tag in GONE))
+        _, furniture, main = stack[-1]
+        stack.append((tag, furniture or _furniture(tag, m[5] or "", main), main or tag in MAIN_TAGS or 'role="main"' in (m[5] or "")))
     add(page[at:])
     flush()
     return out
 
 
-def features(found: list[tuple[str, int, float, int, int, int]]) -> list[tuple[float, ...]]:
+def features(found: list[tuple[str, int, float, int]]) -> list[tuple[float, ...]]:
     rows = []
-    for i, (_, words, links, furniture, main, heading) in enumerate(found):
+    for i, (_, words, links, named) in enumerate(found):
         before = found[i - 1][1:3] if i else (0, 0.0)
         after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
-        rows.append((words, links, *before, *after, furniture, main, heading))
+        rows.append((words, links, *before, *after, named))
     return rows
 
 
