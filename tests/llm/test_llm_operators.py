@@ -436,13 +436,17 @@ def test_languages(docs, odd, empty):
 
 
 @pytest.mark.parametrize("shard, block", [(balltree.SHARD, balltree.BLOCK), (64, 7)])
-def test_top_k(spark, shard, block):
+def test_top_k(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(balltree, "LEAF", 16)
     r = np.random.default_rng(3)
-    vectors = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (305, [1.0]), (None, [1.0] * 8)]
-    vectors += [(i, vectors[20][1]) for i in (400, 401, 420)] + [(440, vectors[40][1])] * 2
+    centres = r.normal(size=(6, 8)) * 9
+    vectors = [(i, [float(x) for x in r.normal(size=8) + (centres[i % 6] if i % 2 else 0)]) for i in range(300)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (305, [1.0]), (None, [1.0] * 8)]
+    vectors += [(i, vectors[20][1]) for i in (400, 401, 420)] + [(440, vectors[40][1])] * 2 + [(i, vectors[60][1]) for i in range(500, 560)]
+    vectors += [(600 + i, [float(x) for x in r.normal(size=3 + i % 6)]) for i in range(30)]
     from pyspark.sql import functions as F
 
-    d = balltree.integer_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    d = balltree.integer_vectors(table.withColumns({c: F.lit("x") for c in ("v", "dim", "row_id", "asks", "space", "score")}))
     found = sorted(tuple(x) for x in balltree.top_k(d, F.col("vec_id") % 20 == 0, shard=shard, block=block).collect())
     usable = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
     wanted = []
@@ -452,3 +456,27 @@ def test_top_k(spark, shard, block):
             wanted += [(i, rank, j, -s) for rank, (s, _, j, _) in enumerate(scores[:20], 1)]
     assert found == sorted(wanted)
     assert balltree.top_k(d.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    vectors = [(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [-1e18, 0.0]), (3, [1e300, 5.0]), (4, [0.5, 0.5])]
+    found = balltree.top_k(balltree.integer_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")), F.col("vec_id") == 0).collect()
+    top = (1 << 63) - 1
+    assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(1, 1, top), (2, 3, top), (3, 4, 32 * top + 64 * 32 if 32 * top < top else top), (4, 2, -top)]
+
+
+def test_long_vectors_and_far_clusters():
+    """Whole clusters are left out by their bound, and what is found is what comparing everything finds."""
+    r = np.random.default_rng(4)
+    x = (r.normal(size=(4000, 40)) + np.repeat(r.normal(size=(8, 40)) * 30, 500, axis=0)).round().astype(np.int64) * 8
+    tree, key, q = balltree.Tree(x, 50), np.arange(4000), x[::97]
+    bounds = tree.bounds(q.astype(float))
+    scores = q @ x.T
+    kth = -np.sort(-scores, axis=1)[:, 9]
+    assert (bounds[:, np.flatnonzero(tree.left == 0)] >= kth[:, None]).mean() < 0.3
+    which, place, score = balltree.search(tree, x, q, np.full(len(q), -np.inf), np.full(len(q), -1), 10, key)
+    for i in range(len(q)):
+        wanted = sorted(((-s, k) for k, s in enumerate(scores[i].tolist())))[:10]
+        assert sorted(zip((-score[which == i]).tolist(), place[which == i].tolist(), strict=True)) == wanted
