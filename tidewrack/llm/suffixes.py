@@ -8,8 +8,11 @@ a gram with one string only is decided by that number. All others go to shards b
 sorted into a suffix array by Larsson-Sadakane refinement in numpy (prefix doubling on the groups that are not yet
 single), Kasai's algorithm gives common prefixes (all strings of a shard advance together), and suffixes joined by prefixes
 of ``LENGTH`` bytes or more form classes; a class with two windows or more is repeated. Only windows that an anchor owns
-count, so overlapping strings of one document never match themselves. A gram with more than ``HOT`` strings spans many
-shards: its windows are dealt by digest, and each shard's sorted digests are merged into the others' by binary search.
+count, so overlapping strings of one document never match themselves.
+
+A gram with more than ``HOT`` strings is dealt to as many shards as that takes. Each has a suffix array of its own, whose
+classes are cut into ranges by the digest of their window; the shards' sorted ranges are merged by binary search, and a
+class found in two shards or twice in one is repeated. Every string is in one shard, so it has one row of repeated windows.
 
 Defined cases: a null text is an empty one; texts shorter than a window are kept whole; very long texts are taken in
 stretches that overlap by a window; rows that repeat in full repeat each other's windows; matches never cross documents;
@@ -30,13 +33,14 @@ from tidewrack.session import stored
 
 LENGTH = 400
 GRAM = 32
+#: Strings of a gram that one shard takes, and shards of a hot gram for each range of their merge.
 HOT = 256
-#: Strings of a hot gram for each part of its windows.
-PART = 32
+MERGED = 4
 STRETCH = 1 << 20
 SHARD = 1 << 19
 _BYTE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-WINDOW = np.dtype([("s1", "<i8"), ("s2", "<i8"), ("n", "<i8"), ("off", "<i8"), ("w1", "<u8"), ("w2", "<u8")])
+#: A class of equal windows of a shard: digest, number of windows, shard, number in the shard.
+CLASS = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("n", "<i8"), ("part", "<i8"), ("at", "<i4")])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -150,8 +154,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
     return out
 
 
-def repeated_windows(parts: list[bytes], owned: list[int], times: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string the owned windows (numbers from 0) that occur twice or more, strings counting ``times``."""
+def window_classes(parts: list[bytes], owned: list[int], times: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the owned windows of all strings, one after the other: place in the joined strings, class of equal windows, and
+    how often the class occurs, strings counting ``times``."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.array([len(p) for p in parts])
     starts = np.cumsum(lengths) - lengths
@@ -161,23 +166,18 @@ def repeated_windows(parts: list[bytes], owned: list[int], times: list[int], len
     owned_n = np.array(owned)
     windows = np.repeat(starts, owned_n) + np.arange(owned_n.sum()) - np.repeat(np.cumsum(owned_n) - owned_n, owned_n)
     of = classes[rank[windows]]
-    weight = np.bincount(of, np.repeat(np.array(times), owned_n))
-    again = weight[of] >= 2
-    return [np.flatnonzero(a) for a in np.split(again, np.cumsum(owned_n)[:-1])]
+    return windows, of, np.bincount(of, np.repeat(np.array(times), owned_n))[of].astype(np.int64)
 
 
-def merged_windows(shards: list[np.ndarray]) -> np.ndarray:
-    """The windows that occur twice or more among all ``shards``, sorted digests of each merged by binary search."""
-    shards = [np.sort(s, order=["w1", "w2"]) for s in shards]
+def merged_classes(shards: list[np.ndarray]) -> np.ndarray:
+    """The classes that occur twice or more among all ``shards``, each of them sorted by (w1, w2)."""
     keys = [s["w1"] for s in shards]
     every = np.unique(np.concatenate(keys))
     total = np.zeros(len(every), np.int64)
-    for s, k in zip(shards, keys, strict=True):
-        np.add.at(total, np.searchsorted(every, k), s["n"])
-    out = []
-    for s, k in zip(shards, keys, strict=True):
-        out.append(s[total[np.searchsorted(every, k)] >= 2])
-    found = np.concatenate(out)
+    places = [np.searchsorted(every, k) for k in keys]
+    for s, at in zip(shards, places, strict=True):
+        np.add.at(total, at, s["n"])
+    found = np.concatenate([s[total[at] >= 2] for s, at in zip(shards, places, strict=True)])
     # The second half of the digest settles what shares the first.
     found = found[np.lexsort((found["w2"], found["w1"]))]
     fresh = np.concatenate(([True], (found["w1"][1:] != found["w1"][:-1]) | (found["w2"][1:] != found["w2"][:-1])))[: len(found)]
@@ -215,77 +215,120 @@ def _strings_of(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """gram, part, s1, s2, n, count, data: the bytes of strings (part -1), or parts of a hot gram's windows."""
-    by_document = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("gram", "s1", "s2", "n", "start", "count", "parts")).alias("wanted"))
+    """gram, part, parts, s1, s2, n, count, data: the strings with their bytes; part is -1 where a gram has one shard."""
+    fields = ["gram", "part", "parts", "s1", "s2", "n", "count"]
+    by_document = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*fields, "start")).alias("wanted"))
     w = by_document.withColumnsRenamed({"doc_id": "w_id", "digest": "w_digest"})
     joined = docs.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("text", "wanted")
 
     def apply(batches):
-        names = ["gram", "part", "s1", "s2", "n", "count", "data"]
         for batch in batches:
             rows: list[tuple] = []
-            hot: dict[tuple[int, int], list[np.ndarray]] = {}
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 data = memoryview(_bytes(text))
-                for x in wanted:
-                    start, count = x["start"], x["count"]
-                    if not x["parts"]:
-                        rows.append((x["gram"], -1, x["s1"], x["s2"], x["n"], count, bytes(data[start : start + count + length - 1])))
-                        continue
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(start, start + count)), "<u8").reshape(-1, 2)
-                    own = np.empty(count, WINDOW)
-                    own["s1"], own["s2"], own["n"], own["off"], own["w1"], own["w2"] = x["s1"], x["s2"], x["n"], np.arange(count), digests[:, 0], digests[:, 1]
-                    part = (digests[:, 1] % np.uint64(x["parts"])).astype(np.int64)
-                    for p in np.unique(part).tolist():
-                        hot.setdefault((x["gram"], p), []).append(own[part == p])
-            rows += [(gram, p, 0, 0, 0, 0, np.concatenate(own).tobytes()) for (gram, p), own in hot.items()]
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return joined.mapInArrow(apply, "gram long, part long, s1 long, s2 long, n long, count long, data binary")
+                rows += [(*(x[f] for f in fields), bytes(data[x["start"] : x["start"] + x["count"] + length - 1])) for x in wanted]
+            yield _batch(rows, [*fields, "data"])
+
+    return joined.mapInArrow(apply, "gram long, part long, parts long, s1 long, s2 long, n long, count long, data binary")
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Longs, and bytes in the last column."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _keyed_groups(batches, columns: int, size: int = 0):
+    """Rows with equal first ``columns``, sorted by them; several such groups at once up to ``size`` bytes of the last column."""
+    held: list[tuple] = []
+    have, last = 0, None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            if row[:columns] != last and held and have >= size:
+                yield held
+                held, have = [], 0
+            last = row[:columns]
+            held.append(row)
+            have += len(row[-1])
+    if held:
+        yield held
+
+
+#: Rows of ``_classed``: spans of a string; classes of a string of a hot gram; a range (numbers from 0) of a shard's classes.
+SPANS, CLASSES = -2, -1
+
+
+def _classed(dealt: DataFrame, length: int) -> DataFrame:
+    """gram, part, s1, s2, range, data: what the suffix array of each shard says, see SPANS and CLASSES."""
+    names = ["gram", "part", "s1", "s2", "range", "data"]
+
+    def ranged(gram: int, part: int, parts: int, windows: np.ndarray, of: np.ndarray, times: np.ndarray, joined: bytes):
+        """Rows of the ranges of one shard, and the number of each window's class in them."""
+        _, first, at = np.unique(of, return_index=True, return_inverse=True)
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[i : i + length]) for i in windows[first].tolist()), "<u8").reshape(-1, 2)
+        own = np.empty(len(first), CLASS)
+        own["w1"], own["w2"], own["n"], own["part"], own["at"] = digests[:, 0], digests[:, 1], np.bincount(at, times), part, np.arange(len(first))
+        own = np.sort(own, order=["w1", "w2"])
+        ranges = -(-parts // MERGED)
+        cuts = np.searchsorted(own["w1"], np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64))
+        return [(gram, part, None, None, r, x.tobytes()) for r, x in enumerate(np.split(own, cuts)) if len(x)], at
 
+    def apply(batches):
+        for held in _keyed_groups(batches, 2, SHARD):
+            joined = b"".join(r[7] for r in held)
+            windows, of, weight = window_classes([r[7] for r in held], [r[6] for r in held], [r[5] for r in held], length)
+            ends = np.cumsum([r[6] for r in held])
+            rows, at = [], 0
+            while at < len(held):
+                gram, part, parts = held[at][:3]
+                upto = next((i for i in range(at, len(held)) if held[i][:2] != (gram, part)), len(held))
+                lo = ends[at] - held[at][6]
+                if part < 0:
+                    found = ((r, _spans(np.flatnonzero(weight[e - r[6] : e] >= 2))) for r, e in zip(held[at:upto], ends[at:upto], strict=True))
+                    rows += [(gram, part, r[3], r[4], SPANS, spans) for r, spans in found if spans]
+                else:
+                    own = slice(lo, ends[upto - 1])
+                    times = np.repeat([r[5] for r in held[at:upto]], [r[6] for r in held[at:upto]])
+                    more, numbers = ranged(gram, part, parts, windows[own], of[own], times, joined)
+                    rows += more
+                    rows += [(gram, part, r[3], r[4], CLASSES, numbers[e - lo - r[6] : e - lo].astype("<i4").tobytes()) for r, e in zip(held[at:upto], ends[at:upto], strict=True)]
+                at = upto
+            yield _batch(rows, names)
 
-def _resolved(dealt: DataFrame, length: int) -> DataFrame:
-    """gram, s1, s2, spans: the repeated windows of each string, found shard by shard."""
+    placed = dealt.repartition("gram", "part").sortWithinPartitions("gram", "part")
+    return placed.mapInArrow(apply, "gram long, part long, s1 long, s2 long, range long, data binary")
+
+
+def _repeated_classes(classed: DataFrame) -> DataFrame:
+    """gram, part, data: the numbers of a shard's classes that are repeated, from each range of them."""
 
     def apply(batches):
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def answer():
-            nonlocal held, size
-            out = []
-            plain = [r for r in held if r[1] < 0]
-            if plain:
-                found = repeated_windows([r[6] for r in plain], [r[5] for r in plain], [r[4] for r in plain], length)
-                out += [(r[0], r[2], r[3], _spans(f)) for r, f in zip(plain, found, strict=True) if len(f)]
-            groups: dict[tuple[int, int], list[np.ndarray]] = {}
-            for r in held:
-                if r[1] >= 0:
-                    groups.setdefault((r[0], r[1]), []).append(np.frombuffer(r[6], WINDOW))
-            for (gram, _), shards in groups.items():
-                found = merged_windows(shards)
-                found = found[np.lexsort((found["off"], found["s2"], found["s1"]))]
-                edges = np.flatnonzero(np.concatenate(([True], (found["s1"][1:] != found["s1"][:-1]) | (found["s2"][1:] != found["s2"][:-1])))[: len(found)])
-                for own in np.split(found, edges[1:]) if len(found) else []:
-                    out.append((gram, int(own["s1"][0]), int(own["s2"][0]), _spans(own["off"])))
-            held, size = [], 0
-            columns = zip(*out, strict=True) if out else [()] * 4
-            kinds = [pa.int64()] * 3 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "s1", "s2", "spans"])
+        for held in _keyed_groups(batches, 2):
+            found = merged_classes([np.frombuffer(r[3], CLASS) for r in held])
+            by_part = found[np.argsort(found["part"], kind="stable")]
+            parts, first = np.unique(by_part["part"], return_index=True)
+            yield _batch([(held[0][0], p, x.astype("<i4").tobytes()) for p, x in zip(parts.tolist(), np.split(by_part["at"], first[1:]), strict=bool(len(parts)))], ["gram", "part", "data"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                if row[:2] != last and size >= SHARD:
-                    yield answer()
-                last = row[:2]
-                held.append(row)
-                size += len(row[6])
-        yield answer()
+    ranges = classed.filter("range >= 0").select("gram", "range", "part", "data").repartition("gram", "range").sortWithinPartitions("gram", "range")
+    return ranges.mapInArrow(apply, "gram long, part long, data binary")
 
-    placed = dealt.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    return placed.mapInArrow(apply, "gram long, s1 long, s2 long, spans binary")
+
+def _resolved(dealt: DataFrame, length: int) -> DataFrame:
+    """gram, s1, s2, spans: the repeated windows of each string that has some, one row a string."""
+    classed = stored(_classed(dealt, length))
+
+    def apply(batches):
+        for held in _keyed_groups(batches, 2):
+            again = np.concatenate([np.frombuffer(r[5], "<i4") for r in held if r[2] == 0] or [np.empty(0, "<i4")])
+            found = ((r, _spans(np.flatnonzero(np.isin(np.frombuffer(r[5], "<i4"), again)))) for r in held if r[2] == 1)
+            yield _batch([(r[0], r[3], r[4], spans) for r, spans in found if spans], ["gram", "s1", "s2", "spans"])
+
+    numbers = _repeated_classes(classed).selectExpr("gram", "part", "0 kind", "cast(null as long) s1", "cast(null as long) s2", "data")
+    strings = classed.filter(F.col("range") == CLASSES).selectExpr("gram", "part", "1 kind", "s1", "s2", "data")
+    placed = numbers.union(strings).repartition("gram", "part").sortWithinPartitions("gram", "part", "kind")
+    hot = placed.mapInArrow(apply, "gram long, s1 long, s2 long, spans binary")
+    return hot.union(classed.filter(F.col("range") == SPANS).select("gram", "s1", "s2", F.col("data").alias("spans")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -298,8 +341,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     grams = distinct.groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("total")).filter("total > 1").select("gram", "k")
     shared = stored(distinct.join(grams, "gram"))
     alone = shared.filter("k = 1").select(*own, F.lit(None).cast("binary").alias("spans"))
-    parts = F.when(F.col("k") > HOT, F.ceil(F.col("k") / PART)).otherwise(0).cast("long")
-    resolved = _resolved(_dealt(docs, shared.filter("k > 1").withColumn("parts", parts), length), length)
+    parts = F.ceil(F.col("k") / HOT).cast("long")
+    placed = shared.filter("k > 1").withColumn("parts", parts).withColumn("part", F.when(F.col("parts") > 1, F.pmod("s1", "parts")).otherwise(-1))
+    resolved = _resolved(_dealt(docs, placed, length), length)
     spans = stored(alone.union(resolved))
     found = every.join(spans, own).select("doc_id", "digest", F.struct("start", "count", "spans").alias("s"))
     return found.groupBy("doc_id", "digest").agg(F.collect_list("s").alias("found"))
