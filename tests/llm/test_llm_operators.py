@@ -407,10 +407,10 @@ def test_near_duplicates(docs, odd, empty):
 def test_phrases_by_hand():
     samples = [(lang, prose(lang, 200, i)) for lang in SYLLABLES for i in range(3)]
     model = language.train(samples, 1500)
-    lang, flat, _ = model["models"][0]
-    learned = [language.to_symbols(t.lower()[:500], model["table"]) for name, t in samples if name == lang]
-    whole = bytes(np.concatenate([np.concatenate((s, np.zeros(1, np.uint8))) for s in learned]))
-    text = bytes(language.to_symbols(prose("fr", 60, 99) + prose(lang, 30, 5), model["table"]))[: language.STRETCH]
+    lang, flat, _, named = model["models"][0]
+    learned = [language.to_symbols(t.lower(), model["table"])[:500] for name, t in samples if name == lang]
+    whole = bytes(named[np.concatenate([np.concatenate((s, np.zeros(1, np.uint8))) for s in learned])])
+    text = bytes(named[language.to_symbols(prose("fr", 60, 99) + prose(lang, 30, 5), model["table"])])[: language.STRETCH]
     count, at = 0, 0
     while at < len(text):
         end = at + 1
@@ -432,6 +432,22 @@ def test_languages(docs, odd, empty):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).filter("false").union(docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars"))).collect()} == {"und"}
 
 
+def test_samples_are_bounded(spark):
+    """One id on very many rows, null ids, and more languages than full samples have room for."""
+    from pyspark.sql import functions as F
+
+    text = prose("en", 900, 1)
+    many = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit(text), (F.col("id") % 1500).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    nulls = spark.range(40).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(prose("de", 50, 2)), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    rows = language.sample(many.union(nulls))
+    assert Counter(lang for lang, _ in rows) == {"en": language.SAMPLE_DOCS, "de": 40}
+    assert all(len(t) == language.SAMPLE_CHARS // language.SAMPLE_DOCS and t in text + "0123456789" * 2 or t[:400] in text for lang, t in rows if lang == "en") and len({t for _, t in rows}) > 60
+    samples = [(f"l{i:03}", prose(("en", "de", "fr")[i % 3], 3000, i)) for i in range(60)]
+    model = language.train(samples, most_bytes=12 << 20)
+    assert sum(flat.nbytes for _, flat, *_ in model["models"]) <= 12 << 20 and len(model["models"]) == 60
+    assert {x[0] for x in language.parse([t for _, t in samples[:3]], model)} <= {f"l{i:03}" for i in range(60)}
+
+
 # 10
 
 

@@ -1,13 +1,16 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-For every language a bounded sample of labelled texts (``SAMPLE_DOCS`` documents, ``SAMPLE_CHARS`` characters) is turned
-into a suffix automaton, which accepts exactly the substrings of the sample. A text is cut greedily into the longest
+For every language a bounded sample of labelled texts (``SAMPLE_DOCS`` rows that differ in id or text, ``SAMPLE_CHARS``
+characters) is turned into a suffix automaton, which accepts exactly the substrings of the sample. A text gives one stretch of the same length as the
+others', at a place drawn by its digest. All automata together take at most ``MODEL_BYTES``: beyond some twenty
+languages samples get shorter. A text is cut greedily into the longest
 phrases that the automaton accepts; the language with the fewest phrases, each weighed by the bits it takes to name a
 place in that language's sample, wins. Whole texts are parsed, in stretches of ``STRETCH`` symbols (a phrase ends at
 the end of a stretch), and all stretches of a batch advance together in numpy, one symbol a step.
 
 Symbols: lower-cased letters; anything else separates, runs of separators count once. The ``OWN_SYMBOLS`` most frequent
-letters of the samples have symbols of their own, others share ``SHARED_SYMBOLS`` by code point.
+letters of the samples have symbols of their own, others share ``SHARED_SYMBOLS`` by code point. An automaton's table
+is as wide as the symbols of its own sample.
 
 Defined cases: a null text, an empty text or one without any letter is ``und`` with score 0; so is every text if no
 labelled text can be learned from. Ties between languages go to the smaller name. Rows that repeat are predicted alike.
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 32_000
+MODEL_BYTES = 192 << 20
 OWN_SYMBOLS = 63
 SHARED_SYMBOLS = 16
 STRETCH = 1024
@@ -40,14 +44,21 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """(lang, text) of the labelled rows, not held out, whose ids have the smallest digests: at most so many a language."""
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = labelled.select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language)
-    wanted = [r.doc_id for r in ids.select("doc_id").collect()]
-    rows = labelled.filter(F.col("doc_id").isin(wanted)).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect() if wanted else []
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text))]
+def sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(lang, stretch) of the labelled rows, not held out, with the smallest digests of id and text: at most so many a
+    language, so many characters in all of them. Rows that repeat count once, and ids may be null."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select("lang", key.alias("key"), "text")
+    order = Window.partitionBy("lang").orderBy("key")
+    keys = labelled.select("lang", "key").withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= docs_per_language).select("lang", "key").distinct().collect()
+    if not keys:
+        return []
+    each = {lang: max(1, chars // n) for lang, n in Counter(r.lang for r in keys).items()}
+    size = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(n)) for lang, n in sorted(each.items())])
+    start = F.pmod(F.col("key"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
+    rows = labelled.filter(F.col("key").isin([r.key for r in keys])).dropDuplicates(["lang", "key"]).select("lang", "key", F.substring("text", start, size).alias("text")).collect()
+    wanted = {(r.lang, r.key) for r in keys}
+    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.key)) if (r.lang, r.key) in wanted]
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -100,8 +111,8 @@ def to_symbols(text: str, table: np.ndarray) -> np.ndarray:
     return s
 
 
-def train(samples: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> dict:
-    """Symbol table and, by language in order of name, automaton and bits a phrase."""
+def train(samples: list[tuple[str, str]], chars: int = SAMPLE_CHARS, most_bytes: int = MODEL_BYTES) -> dict:
+    """Symbol table and, by language in order of name, automaton, bits a phrase and the language's own symbols."""
     texts: dict[str, list[str]] = {}
     for lang, text in samples:
         texts.setdefault(lang, []).append(text.lower())
@@ -116,9 +127,15 @@ def train(samples: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> dict:
     width = 1 + len(own) + SHARED_SYMBOLS
     models = []
     for lang in sorted(texts):
-        each = max(1, chars // len(texts[lang]))
-        symbols = np.concatenate([np.concatenate((to_symbols(t[:each], table), np.zeros(1, np.uint8))) for t in texts[lang]])
-        models.append((lang, automaton(symbols.tolist(), width), math.log2(len(symbols) + 1)))
+        every = [to_symbols(t, table) for t in texts[lang]]
+        used = np.unique(np.concatenate([np.zeros(1, np.uint8), *every]))
+        # At most two states a symbol, four bytes an entry; one column more for symbols that the sample lacks.
+        most = min(chars, most_bytes // (len(texts) * 8 * (len(used) + 1)))
+        each = max(1, most // len(every))
+        named = np.full(width, len(used), np.uint8)
+        named[used] = np.arange(len(used))
+        symbols = named[np.concatenate([np.concatenate((s[:each], np.zeros(1, np.uint8))) for s in every])]
+        models.append((lang, automaton(symbols.tolist(), len(used) + 1), math.log2(len(symbols) + 1), named))
     return {"table": table, "width": width, "models": models}
 
 
@@ -152,8 +169,8 @@ def parse(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
             grid[: len(s), k] = s
         alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         bits = []
-        for _, flat, weight in model["models"]:
-            total = np.bincount(owner, phrases(parts, flat, grid, alive), minlength=owner.max() + 1)
+        for _, flat, weight, named in model["models"]:
+            total = np.bincount(owner, phrases(parts, flat, named[grid], alive), minlength=owner.max() + 1)
             bits.append(total * weight)
         for i, _ in block:
             ranked = sorted((b[i], name) for b, (name, *_) in zip(bits, model["models"], strict=True))

@@ -1,10 +1,14 @@
-"""Near copies: an exact self-join of sets of five-word shingles by Jaccard similarity, for the pipeline's near-dedup.
-
-Two sets of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles, whatever order all shingles are put
-in (prefix filter). The order here is by number in a bounded sample, then by hash, so passages that many texts share come
-last and seldom are keys; the sample changes the work, never the links. Under a key of up to ``HOT`` sets all pairs that
-size and place allow are verified. Under a hotter key all sets are first held against the least one; once what is linked
-is known, every pair of its sets that are not in one component yet is verified too, so no link is lost.
+"""Near copies: SimHash near-dedup of five-word shingles with every link verified, completed exactly at similarity 0.8.
+
+Sets of shingles get SimHash fingerprints, which ``simhash`` joins through their binary trie; its links, and those between
+sets of one fingerprint, are verified by Jaccard similarity and make the first components. Fingerprints of similarity 0.8
+differ in up to a quarter of their bits, which no trie walk can allow at scale, so an exact join finds what is left
+between components: two sets of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles, whatever order all
+shingles are put in (prefix filter). The order here is by number in a bounded sample, then by hash, so passages that many
+texts share come last and seldom are keys; the sample changes the work, never the links. Under a key of up to ``HOT``
+sets all pairs of different components that size and place allow are verified, under a hotter one those with the least set.
+Then hot keys that still hold several components are gone through once more: pairs of sets in different components that
+also the numbers of their shingles by ``CELLS`` parts of the hashes allow are verified, so no link is lost.
 
 Defined cases: words are as in ``simhash``; a text of fewer words is one shingle; a null text is an empty one, and texts
 without words are all alike; rows that repeat share their component; an empty table gives no rows.
@@ -15,9 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.llm import simhash
 from tidewrack.llm.simhash import _LOWER
 from tidewrack.operators.components import components
 from tidewrack.session import cut, lookup, stored
@@ -64,31 +69,33 @@ def _order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest, sid, n, first, counts: every row's set of shingles by its own number and size, its first shingles in
-    the common order, and the numbers of its shingles by CELLS parts of their hashes."""
+    """doc_id, digest, sid, n, fp, first, counts: every row's set of shingles by its own number and size, its fingerprint, its first
+    shingles in the common order, and the numbers of its shingles by CELLS parts of their hashes, 255 for more."""
     shared = docs.sparkSession.sparkContext.broadcast(_order(docs, width))
 
     def apply(batches):
         known, numbers = shared.value
         for batch in batches:
-            sids, sizes, firsts, counts = [], [], [np.zeros(0, np.int64)], []
+            sids, sizes, fps, firsts, counts = [], [], [], [np.zeros(0, np.int64)], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width)
                 n = len(own)
                 sids.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
                 sizes.append(n)
-                counts.append(np.bincount(own & (CELLS - 1), minlength=CELLS).astype("<u4").tobytes())
+                fps.append(simhash.majority(own.view(np.uint64)))
+                counts.append(np.minimum(np.bincount(own & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes())
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[at] == own, numbers[at], 0), kind="stable")]
                 firsts.append(own[: n - (4 * n + 4) // 5 + 1])
             ends = np.cumsum([len(f) for f in firsts]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sid", "n", "first", "counts"])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, fps)]
+            columns = [batch.column("doc_id"), batch.column("digest"), signed[0], pa.array(sizes, pa.int64()), signed[1], lists, pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sid", "n", "fp", "first", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    return stored(rows.mapInArrow(apply, "doc_id long, digest long, sid long, n long, first array<long>, counts binary"))
+    return stored(rows.mapInArrow(apply, "doc_id long, digest long, sid long, n long, fp long, first array<long>, counts binary"))
 
 
 def _grouped(batches, columns):
@@ -117,99 +124,143 @@ def _possible(n, place, i, j):
     return (9 * np.minimum(n[i] - place[i], n[j] - place[j]) >= 4 * both) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
 
 
-def _pairs(keyed: DataFrame, hot: int, again: bool) -> DataFrame:
-    """a, b: pairs to verify. ``keyed`` has gram, sid, n, place; ``again`` with label, the component so far: pairs between components."""
-    columns = ["gram", "sid", "n", "place"] + ["label"] * again
+def _most(counts: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
+    """What the sets i and j share at most. A full cell says nothing about how many more there are."""
+    few = np.minimum(counts[i], counts[j]).sum(axis=-1, dtype=np.int64)
+    full = ((counts[i] == 255) & (counts[j] == 255)).any(axis=-1)
+    return np.where(full, np.minimum(n[i], n[j]), few)
 
-    def named(sid, i, j):
-        a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def across(sid, n, place, label):
-        names, sizes = np.unique(label, return_counts=True)
-        rest = np.flatnonzero(label != names[sizes.argmax()])
-        last = np.ones(len(sid), bool)  # whether j still has to be held against the rest
-        for i in rest.tolist():
-            last[i] = False
-            j = np.flatnonzero(last & (label != label[i]))
-            j = j[_possible(n, place, i, j)]
-            if len(j):
-                yield named(sid, np.full(len(j), i), j)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def _named(sid, i, j) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], ["a", "b"])
+
+
+def _pairs(keyed: DataFrame, hot: int) -> DataFrame:
+    """a, b: pairs to verify between components; under hot keys those with the least set. ``keyed`` has gram, sid, n, place, label."""
+    columns = ["gram", "sid", "n", "place", "label"]
 
     def apply(batches):
         for chunk in _grouped(batches, columns):
-            fresh = np.ones(len(chunk[0]), bool)
-            fresh[1:] = (chunk[0][1:] != chunk[0][:-1]) | (chunk[1][1:] != chunk[1][:-1])
-            gram, sid, n, place, *label = (c[fresh].astype(np.int64) for c in chunk)
+            gram, sid, n, place, label = (c.astype(np.int64) for c in chunk)
             starts = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]))
             left, right = [], []
             for g in np.flatnonzero(np.diff(starts) > 1).tolist():
                 lo, hi = int(starts[g]), int(starts[g + 1])
-                if again:
-                    yield from across(sid[lo:hi], n[lo:hi], place[lo:hi], label[0][lo:hi])
-                    continue
                 i, j = np.triu_indices(hi - lo, 1) if hi - lo <= hot else (np.zeros(hi - lo - 1, np.int64), np.arange(1, hi - lo))
                 left.append(i + lo)
                 right.append(j + lo)
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
-                ok = _possible(n, place, i, j)
-                yield named(sid, i[ok], j[ok])
+                ok = _possible(n, place, i, j) & (label[i] != label[j])
+                yield _named(sid, i[ok], j[ok])
 
     placed = keyed.select(*columns).repartition("gram").sortWithinPartitions("gram", "sid")
     return cut(placed.mapInArrow(apply, "a long, b long").distinct())
 
 
+def _pairs_of_hot(keyed: DataFrame) -> DataFrame:
+    """a, b: pairs to verify under hot keys, between components. ``keyed`` has gram, sid, n, place, label, counts."""
+
+    def across(rows):
+        sid, n, place, label = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[1:5])
+        counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, CELLS)
+        names, sizes = np.unique(label, return_counts=True)
+        open_ = np.ones(len(sid), bool)  # sets that still have to be held against the rest
+        for i in np.flatnonzero(label != names[sizes.argmax()]).tolist():
+            open_[i] = False
+            j = np.flatnonzero(open_ & (label != label[i]))
+            j = j[_possible(n, place, i, j)]
+            j = j[9 * _most(counts, n, i, j) >= 4 * (n[i] + n[j])]
+            if len(j):
+                yield _named(sid, np.full(len(j), i), j)
+
+    def apply(batches):
+        held, last = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                if row[0] != last and held:
+                    yield from across(held)
+                    held = []
+                last = row[0]
+                held.append(row)
+        if held:
+            yield from across(held)
+
+    placed = keyed.select("gram", "sid", "n", "place", "label", "counts").repartition("gram").sortWithinPartitions("gram", "sid")
+    return cut(placed.mapInArrow(apply, "a long, b long").distinct())
+
+
 def _asked(pairs: DataFrame) -> DataFrame:
     return lookup(cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
 
 
-def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs whose sets are alike. Parts of the hashes bound what two sets share, so few sets are made again from texts."""
 
     def bounded(batches):
         for batch in batches:
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS) for c in ("ca", "cb"))
-            most = np.minimum(ca, cb).sum(axis=1, dtype=np.int64)
-            ok = 9 * most >= 4 * (ca.sum(axis=1, dtype=np.int64) + cb.sum(axis=1, dtype=np.int64))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            counts = np.concatenate([_matrix(batch.column(c)) for c in ("ca", "cb")])
+            i, j = np.arange(len(batch)), np.arange(len(batch)) + len(batch)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * _most(counts, n, i, j) >= 4 * (n[i] + n[j])))
 
-    counts = cut(found.select("sid", "counts").join(_asked(pairs), "sid", "left_semi").dropDuplicates(["sid"]))
-    pairs = cut(pairs.join(counts.toDF("a", "ca"), "a").join(counts.toDF("b", "cb"), "b").mapInArrow(bounded, "a long, b long"))
+    counts = cut(reps.select("sid", "n", "counts").join(_asked(pairs), "sid", "left_semi"))
+    pairs = cut(pairs.join(counts.toDF("a", "na", "ca"), "a").join(counts.toDF("b", "nb", "cb"), "b").mapInArrow(bounded, "a long, b long"))
 
     def made(batches):
         for batch in batches:
             grams = [shingles(t, width) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
 
-    one = found.join(_asked(pairs), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("digest", "doc_id")).alias("r"))
-    one = lookup(cut(one.select("sid", F.col("r.digest").alias("r_digest"), F.col("r.doc_id").alias("r_id"))))
-    rows = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text")).join(one, (F.col("digest") == F.col("r_digest")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    one = reps.join(_asked(pairs), "sid", "left_semi").select("sid", F.col("digest").alias("r_digest"), F.col("doc_id").alias("r_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.xxhash64("text"))
+    rows = rows.join(lookup(cut(one)), (F.col("digest") == F.col("r_digest")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     known = stored(rows.select("sid", "text").mapInArrow(made, "sid long, grams array<long>").dropDuplicates(["sid"]))
     both = pairs.join(known.toDF("a", "ga"), "a").join(known.toDF("b", "gb"), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return cut(both.filter(9 * shared >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b"))
 
 
-def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def _labels(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """``reps`` with label, the component so far."""
+    found = cut(components(links).select(F.col("node").alias("sid"), F.col("component").alias("label")))
+    return reps.join(lookup(found), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+
+def _by_fingerprint(reps: DataFrame, budget: int) -> DataFrame:
+    """a, b: sets linked by the trie of their fingerprints, and sets of one fingerprint with the least of them."""
+    heads = cut(reps.groupBy("fp").agg(F.min("sid").alias("head")))
+    same = reps.join(heads, "fp").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    near = simhash.links(heads.select("fp"), budget).toDF("fa", "fb")
+    near = near.join(heads.toDF("fa", "a"), "fa").join(heads.toDF("fb", "b"), "fb")
+    return cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same))
+
+
+def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT, budget: int = simhash.BITS) -> DataFrame:
     """a, b: links that connect the sets ``found`` of ``docs`` exactly as all pairs of similarity 0.8 do."""
-    keyed = found.filter("n > 0").select("sid", "n", F.posexplode("first").alias("place", "gram"))
-    out = _verified(_pairs(keyed, hot, False), found, docs, width)
-    # Copies count once. Only hot keys can have pairs left.
-    hotter = keyed.groupBy("gram").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot).select("gram")
-    left = stored(keyed.join(lookup(cut(hotter)), "gram").dropDuplicates(["gram", "sid"]))
-    if not left.isEmpty():
-        label = cut(components(out).select(F.col("node").alias("sid"), F.col("component").alias("label")))
-        left = left.join(lookup(label), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        out = out.union(_verified(_pairs(left, hot, True), found, docs, width))
+    # Copies count once, from here on.
+    least = found.filter("n > 0").groupBy("sid").agg(F.min(F.struct("digest", "doc_id")).alias("r"), *[F.first(c).alias(c) for c in ("n", "fp", "first", "counts")])
+    reps = stored(least.select("sid", "n", "fp", "first", "counts", "r.digest", "r.doc_id"))
+    out = _verified(_by_fingerprint(reps, budget), reps, docs, width)
+    prefixes = lambda rows: rows.select("sid", "n", "label", F.posexplode("first").alias("place", "gram"))
+    out = cut(out.union(_verified(_pairs(prefixes(_labels(out, reps)), hot), reps, docs, width)))
+    keyed = prefixes(_labels(out, reps))
+    hotter = keyed.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("one"), F.max("label").alias("other")).filter((F.col("rows") > hot) & (F.col("one") != F.col("other")))
+    hotter = cut(hotter.select("gram"))
+    if not hotter.isEmpty():
+        left = keyed.join(lookup(hotter), "gram").join(reps.select("sid", "counts"), "sid")
+        out = out.union(_verified(_pairs_of_hot(left), reps, docs, width))
     return out
 
 
 def _labelled(docs: DataFrame, width: int, hot: int) -> DataFrame:
     """doc_id, digest, label: one row a document."""
     found = sets(docs, width)
-    joined = cut(components(links(found, docs, width, hot)).select(F.col("node").alias("sid"), F.col("component").alias("label")))
-    return found.select("doc_id", "digest", "sid").join(lookup(joined), "sid", "left").select("doc_id", "digest", F.coalesce("label", "sid").alias("label"))
+    return _labels(links(found, docs, width, hot), found).select("doc_id", "digest", "label")
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
@@ -221,12 +272,4 @@ def near_copies(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFram
 
 def keep_one(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays, a null one last."""
-    heads = _labelled(docs, width, hot).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("h"))
-    heads = cut(heads.select(F.col("h.doc_id").alias("h_id"), F.col("h.digest").alias("h_digest")))
-    # Join and window deal the texts out by one key, so they move once.
-    rows = docs.withColumns({"digest_": F.xxhash64("text"), "key_": F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"))})
-    heads = heads.withColumn("h_key", F.xxhash64(F.col("h_id").isNull(), "h_id", "h_digest"))
-    same = (F.col("key_") == F.col("h_key")) & (F.col("digest_") == F.col("h_digest")) & F.coalesce(F.col("doc_id") == F.col("h_id"), F.col("doc_id").isNull() & F.col("h_id").isNull())
-    kept = rows.join(heads, same, "left_semi")
-    nth = F.row_number().over(Window.partitionBy("key_", "digest_", "doc_id").orderBy("digest_"))
-    return kept.withColumn("nth_", nth).filter("nth_ = 1").drop("nth_", "digest_", "key_")
+    return simhash.one_of_each(docs, _labelled(docs, width, hot))

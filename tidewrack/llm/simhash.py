@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidewrack.llm.rows import OTHERS, shielded
 from tidewrack.operators.components import components
 from tidewrack.session import cut, lookup
 
@@ -45,26 +45,28 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the ``hashes``."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
-        part = zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in part), np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with fp, the fingerprint as a signed long."""
-    docs = docs.drop("fp")
-    schema = T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
+    """doc_id, digest (of the text), fp, the fingerprint as a signed long: one row for every row of ``docs``."""
 
     def apply(batches):
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(found, pa.int64())], ["doc_id", "digest", "fp"])
 
-    return docs.mapInArrow(apply, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return rows.mapInArrow(apply, "doc_id long, digest long, fp long")
 
 
 def trie_links(values: list[int], budget: int = BITS) -> list[tuple[int, int]]:
@@ -198,21 +200,28 @@ def classes(fingerprints: DataFrame, budget: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BITS) -> DataFrame:
-    """doc_id, fp, label, component_id: one row a document."""
-    fingerprints = cut(with_fingerprint(docs.select("doc_id", "text"), width).select("doc_id", "fp"))
-    return fingerprints.join(lookup(cut(classes(fingerprints, budget))), "fp").select("doc_id", "fp", "label", "component_id")
+    """doc_id, digest, fp, label, component_id: one row a document."""
+    fingerprints = cut(with_fingerprint(docs, width))
+    return fingerprints.join(lookup(cut(classes(fingerprints, budget))), "fp").select("doc_id", "digest", "fp", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each label in ``labelled`` (doc_id, digest, label) the smallest doc_id, a null one
+    last, then the smallest digest of the text; of rows equal in both, one. Texts move once."""
+    heads = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("h"))
+    key = lambda i, d: F.xxhash64(i.isNull(), i, d)
+    heads = cut(heads.select(F.col("h.doc_id").alias("h_id"), F.col("h.digest").alias("h_digest"), key(F.col("h.doc_id"), F.col("h.digest")).alias("h_key")))
+    rows, restored = shielded(docs, "doc_id", "text")
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("key", key(F.col("doc_id").cast("long"), F.col("digest")))
+    # Join and window deal the texts out by one key.
+    kept = rows.join(heads, (F.col("key") == F.col("h_key")) & (F.col("digest") == F.col("h_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("h_id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.xxhash64(OTHERS)))
+    return restored(kept.withColumn("nth", nth).filter("nth = 1"))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, budget: int = BITS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id stays."""
-    from pyspark.sql import Window
-
-    marked = near_duplicates(docs, width, budget).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = marked.groupBy("label").agg(F.min(F.struct("doc_id", "fp")).alias("h")).select(F.col("h.doc_id").alias("h_id"), F.col("h.fp").alias("h_fp"))
-    rows = with_fingerprint(docs, width)
-    kept = rows.join(heads, (F.col("fp") == F.col("h_fp")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("fp", "doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("nth_", nth).filter("nth_ = 1").drop("nth_", "fp")
+    """The rows of ``docs`` without near-duplicates by fingerprint alone; every text is fingerprinted once."""
+    return one_of_each(docs, near_duplicates(docs, width, budget))
 
 
 def op8_simhash_trie(spark, sf_dir: str) -> DataFrame:
