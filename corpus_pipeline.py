@@ -12,36 +12,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm import language, mixing, nearcopies, packing, templates
+from tidewrack.llm.rows import OTHERS, shielded
 from tidewrack.session import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of ``docs`` and drops texts of no language: null ones and those without a letter."""
-    return language.identify(docs).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    rows, restored = shielded(docs, "doc_id", "text", "lang")
+    return restored(language.identify(rows).filter(F.col("lang_pred") != language.UNKNOWN))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring lines but for their first place; n_chars follows the text. Every document stays, if with less text."""
-    kept = templates.drop_recurring(docs)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    rows, restored = shielded(docs, "doc_id", "text", "n_chars")
+    kept = templates.drop_recurring(rows)
+    return restored(kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8."""
-    return nearcopies.keep_one(docs).select(*docs.columns)
+    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8; SimHash
+    trie links, verified, and the exact join of what is left between their components."""
+    return nearcopies.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, once or twice."""
-    keyed = docs.withColumn("digest_", F.xxhash64("text"))
-    times = mixing.mix(keyed, keep=("digest_",)).groupBy("doc_id", "digest_").agg(F.sum("copies").alias("copies_"))
-    times = times.filter("copies_ > 0").withColumnsRenamed({"doc_id": "t_id_", "digest_": "t_digest_"})
-    taken = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("t_id_")) & F.col("digest_").eqNullSafe(F.col("t_digest_")))
+    rows, restored = shielded(docs, "doc_id", "text", "source")
+    keyed = rows.withColumn("digest", F.xxhash64("text"))
+    times = mixing.mix(keyed, keep=("digest",)).groupBy("doc_id", "digest").agg(F.sum("copies").alias("copies"))
+    times = times.filter("copies > 0").withColumnsRenamed({"doc_id": "t_id", "digest": "t_digest"})
+    taken = keyed.join(times, F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("digest").eqNullSafe(F.col("t_digest")))
     # Rows equal in id and text have been counted together: one of them stands for all.
-    one = taken.withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id", "digest_").orderBy("source"))).filter("nth_ = 1")
-    return one.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+    one = taken.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("source", F.xxhash64(OTHERS)))).filter("nth = 1")
+    return restored(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
