@@ -16,7 +16,7 @@ task. Tokens are looked up again only for one line of each kind in leaves of sev
 
 Defined cases: lines of white space alone are kept; a null text stays null with no lines; an empty text is one empty
 line; rows equal in doc_id and text are one document, treated alike; null ids come first; of tokens with equal support
-the smaller one is the more frequent; lines and tokens may be of any length; an empty table gives no rows. Other columns
+none is the most frequent; lines and tokens may be of any length; an empty table gives no rows. Other columns
 pass through ``drop_recurring``, except n_lines and n_dropped, which it replaces.
 """
 
@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.rows import shielded
-from tidewrack.session import lookup, stored
+from tidewrack.session import cut, lookup, stored
 
 LEAD = 3
+#: Lines to read again whose places (some 60 bytes each) are sent to every executor; for more, texts are dealt out by document.
+PLACES = 200_000
 #: Share of a line's tokens, in tenths, that reach its level.
 ALIKE = 7
 WHITE = r"\x20\x09-\x0D"
@@ -67,38 +69,57 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return stored(lines.groupBy("leaf", "line").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "digest")).alias("last")))
 
 
-def _tokens(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
-    """leaf, line, at, token: the lines of leaves that hold several, read again where they first stand."""
-    varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    wanted = distinct.join(varied, "leaf").groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.digest").alias("w_digest"))
+def _again() -> Column:
+    """Whether first and last lie in different documents."""
+    return ~(F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest")))
+
+
+def _tokens(keyed: DataFrame, varied: DataFrame) -> DataFrame:
+    """leaf, line, t: the tokens, as hashes, of the lines of leaves that hold several, read again where they first stand."""
+    wanted = varied.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.digest").alias("w_digest"))
     wanted = stored(wanted.agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "leaf", "line")).alias("wanted")))
-    found = keyed.join(lookup(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")))
-    read = _once(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["line"].alias("line"), F.split(masked(F.get(lines, w["pos"])), " ", -1).alias("t"))))
-    each = found.select(F.explode(read).alias("x")).select("x.leaf", "x.line", "x.t").dropDuplicates(["leaf", "line"])
-    return stored(each.select("leaf", "line", F.posexplode("t").alias("at", "token")))
+    if varied.limit(PLACES + 1).count() <= PLACES:
+        wanted = F.broadcast(wanted)
+    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")))
+    hashes = lambda line: F.transform(F.split(masked(line), " ", -1), lambda x: F.xxhash64(x))
+    read = _once(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["line"].alias("line"), hashes(F.get(lines, w["pos"])).alias("t"))))
+    # Rows that repeat are read once each; their lines count once.
+    return stored(found.select(F.explode(read).alias("x")).select("x.leaf", "x.line", "x.t").dropDuplicates(["line"]))
 
 
 def general_templates(tokens: DataFrame) -> DataFrame:
-    """leaf, line, template: the lines that have a level of two or more."""
-    counts = stored(tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter("n > 1"))
-    usual = counts.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("u")).select("leaf", "at", (-F.col("u.n")).alias("u_n"), F.col("u.token").alias("u_token"))
-    known = tokens.join(lookup(counts), ["leaf", "at", "token"], "left").join(lookup(usual), ["leaf", "at"], "left")
-    place = F.struct("at", "token", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("u_n", F.lit(1)).alias("u_n"), "u_token")
-    lines = known.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(place)).alias("t"))
-    level = F.get(F.sort_array(F.transform("t", lambda x: x["n"]), asc=False), F.floor((F.size("t") * ALIKE + 9) / 10).cast("int") - 1)
-    lines = lines.withColumn("least", F.greatest(F.lit(2), F.ceil(level / 2))).filter(level >= 2)
-    form = F.transform("t", lambda x: F.when(x["n"] >= F.col("least"), x["token"]).when(x["u_n"] >= F.col("least"), x["u_token"]).otherwise(F.lit(FIELD)))
-    return lines.select("leaf", "line", F.xxhash64("leaf", form).alias("template"))
+    """line, template: the lines that have a level of two or more."""
+    each = tokens.select("leaf", "line", F.posexplode("t").alias("at", "token"))
+    counts = stored(each.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter("n > 1"))
+    # The most frequent token of a place; of several with equal support none is. By leaf, as an array over all places.
+    most, least = F.max(F.struct("n", "token")).alias("most"), F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("least")
+    usual = counts.groupBy("leaf", "at").agg(most, least).filter("most.token = least.token").select("leaf", F.struct("at", "most.n", "most.token").alias("u"))
+    usual = usual.groupBy("leaf").agg(F.array_sort(F.collect_list("u")).alias("u"))
+    before = lambda k: F.when(k > 0, F.get("u", k - 1)["at"]).otherwise(-1)
+    spread = F.flatten(F.transform("u", lambda x, k: F.concat(F.array_repeat(F.lit(None).cast("struct<at:int,n:bigint,token:bigint>"), x["at"] - before(k) - 1), F.array(x))))
+    usual = stored(usual.select("leaf", spread.alias("u")))
+    place = F.xxhash64("leaf", "at", "token").alias("place")
+    supports = each.select(place, "line", "at").join(lookup(counts.select(place, "n")), "place", "left")
+    supports = supports.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(1)).alias("n")))).alias("s"))
+    supports = supports.select("line", F.col("s.n").alias("s"))
+    level = F.get(F.sort_array("s", asc=False), F.floor((F.size("s") * ALIKE + 9) / 10).cast("int") - 1)
+    lines = tokens.join(supports, "line").withColumn("level", level).filter("level >= 2").withColumn("least", F.greatest(F.lit(2), F.ceil(F.col("level") / 2)))
+    lines = lines.join(usual, "leaf", "left")
+    form = F.transform("t", lambda x, i: F.when(F.get("s", i) >= F.col("least"), x).when(F.get("u", i)["n"] >= F.col("least"), F.get("u", i)["token"]).otherwise(F.xxhash64(F.lit(FIELD))))
+    return lines.select("line", F.xxhash64("leaf", form).alias("template"))
 
 
 def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     """leaf, line, first: the lines whose template recurs, and its first place (doc_id, digest, pos)."""
     distinct = _distinct(lines)
-    named = distinct.join(general_templates(_tokens(keyed, distinct)), ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "line")))
-    named = stored(named)
-    templates = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    same = F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.digest") == F.col("last.digest"))
-    return named.select("leaf", "line", "template").join(templates.filter(~same).select("template", "first"), "template").select("leaf", "line", "first")
+    leaves = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+    varied = stored(distinct.join(lookup(cut(leaves)), "leaf"))
+    general = cut(general_templates(_tokens(keyed, varied)))
+    named = stored(varied.join(lookup(general), "line"))
+    templates = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(_again()).select("template", "first")
+    # A line that is equal in two documents recurs by itself; its template, if it has one, has the earlier first place.
+    shared = named.select("leaf", "line", "template").join(templates, "template").select("leaf", "line", "first")
+    return shared.union(distinct.filter(_again()).select("leaf", "line", "first")).groupBy("leaf", "line").agg(F.min("first").alias("first"))
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
@@ -149,10 +170,10 @@ WITH raw AS (
 ), counts AS (
   SELECT leaf, nth, token, count(*) AS k FROM tokens GROUP BY leaf, nth, token
 ), usual AS (
-  SELECT leaf, nth, min((-k, token)) AS u FROM counts GROUP BY leaf, nth
+  SELECT leaf, nth, any_value(token) AS token, any_value(k) AS k FROM (SELECT *, max(k) OVER (PARTITION BY leaf, nth) AS most FROM counts) WHERE k = most GROUP BY leaf, nth HAVING count(*) = 1
 ), placed AS (
-  SELECT t.leaf, t.m, any_value(t.n) AS n, list((t.nth, t.token, c.k, -u.u[1], u.u[2]) ORDER BY t.nth) AS p
-  FROM tokens t JOIN counts c USING (leaf, nth, token) JOIN usual u USING (leaf, nth) GROUP BY t.leaf, t.m
+  SELECT t.leaf, t.m, any_value(t.n) AS n, list((t.nth, t.token, c.k, u.k, u.token) ORDER BY t.nth) AS p
+  FROM tokens t JOIN counts c ON t.leaf = c.leaf AND t.nth = c.nth AND t.token = c.token LEFT JOIN usual u ON t.leaf = u.leaf AND t.nth = u.nth GROUP BY t.leaf, t.m
 ), levels AS (
   SELECT *, list_reverse_sort(list_transform(p, lambda x: x[3]))[(7 * n + 9) // 10] AS level FROM placed
 ), found AS (
