@@ -23,6 +23,12 @@ PENALTIES = {
     "staleRepeat": 7,
 }
 LANES = ("clinical-regulatory", "business-deals", "frontier-science", "aging-omics")
+LANE_LABELS = {
+    "clinical-regulatory": "Clinical & Regulatory",
+    "business-deals": "Business, Deals & Financing",
+    "frontier-science": "Frontier Science",
+    "aging-omics": "Aging, Epigenetics & Omics",
+}
 HALF_LIFE_HOURS = {"clinical-regulatory": 20, "business-deals": 24, "frontier-science": 72, "aging-omics": 96}
 MAX_AGE_DAYS = {"clinical-regulatory": 4, "business-deals": 5, "frontier-science": 14, "aging-omics": 21}
 MAX_AGE_DAYS_ACADEMIC = 21
@@ -54,6 +60,24 @@ EVENT_BOOSTS = {
     "opinion": 0.0,
 }
 
+# Sources whose research papers earn the event of a major journal.
+MAJOR_JOURNALS = (
+    "nature",
+    "nature-medicine",
+    "nature-biotech",
+    "nature-genetics",
+    "nature-aging",
+    "jama",
+    "cell",
+    "cell-stem-cell",
+    "nejm",
+    "europepmc-cellpress",
+    "europepmc-lancet",
+    "europepmc-aaas",
+    "europepmc-nejm",
+    "europepmc-jama",
+)
+
 # Lane terms and their weights.
 LANE_TERMS = {
     "clinical-regulatory": {

@@ -4,6 +4,9 @@ deals, which need every match and its surroundings, come from one vectorised fun
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Collection
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,14 +96,17 @@ _COMPILED = {n: re.compile(P.ascii(getattr(P, n))) for n in ("RESPONSE", "MEDIAN
 _METRICS = (("pfs", "PFS"), ("progression", "PFS"), ("os", "OS"), ("overall", "OS"), ("dor", "DOR"), ("duration", "DOR"))
 
 
+@lru_cache(maxsize=4)
+def _stops(text: str) -> list[int]:
+    return [m.start() for m in re.finditer(r"[.!?](?=\s|$)", text)]
+
+
 def sentence_at(text: str, index: int, most: int = 260) -> str:
-    """The sentence around a place, as ``functions.text.sentence_around`` has it."""
-    start, end = 0, len(text)
-    for m in re.finditer(r"[.!?](?=\s|$)", text):
-        if m.start() >= index:
-            end = m.end()
-            break
-        start = m.end()
+    """The sentence around a place, as ``functions.text.sentence_around`` has it. A text's stops are looked up once."""
+    stops = _stops(text)
+    nth = bisect_left(stops, index)
+    start = stops[nth - 1] + 1 if nth else 0
+    end = stops[nth] + 1 if nth < len(stops) else len(text)
     return " ".join(text[start:end].split())[:most]
 
 
@@ -179,13 +185,14 @@ def events(text: Column, facts: dict[str, Column], major_journal: Column, prepri
     return F.array_distinct(F.filter(F.concat(action, flags), lambda e: e.isNotNull()))
 
 
-def extract(items: DataFrame) -> DataFrame:
-    """Adds the facts to ``items``: title, body, nct_ids, has_company, canonical_url, doi, source_kind."""
+def extract(items: DataFrame, major: Collection[str] = config.MAJOR_JOURNALS) -> DataFrame:
+    """Adds the facts to ``items``: title, body, nct_ids, has_company, canonical_url, doi, source_id, source_kind. Papers of the
+    ``major`` sources, unless they are notices or comments, earn the event of a major journal."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("body", F.lit("")))
     out = items.withColumn("text_", text).withColumn("m_", measures(F.col("text_"), F.col("has_company")))
     t = F.col("text_")
     out = out.withColumns({"phase": phase(t), "enrollment": enrollment(t), "outcome": outcome(t), "regulatory": regulatory(t), "evidence_level": evidence_level(t), "non_mammalian": non_mammalian(t)})
     out = out.withColumns({"nct": nct_ids(t, F.col("nct_ids")), "results": F.col("m_.results"), "deal": F.col("m_.deal"), "article_class": article_class(F.col("title"), F.col("canonical_url"), F.col("doi"))})
     facts = {n: F.col(n) for n in ("regulatory", "outcome", "phase", "deal")}
-    journal = (F.col("source_kind") == "journal") & ~F.col("article_class").isin("notice", "news-comment")
+    journal = F.col("source_id").isin(*major) & (F.col("source_kind") == "journal") & ~F.col("article_class").isin("notice", "news-comment")
     return out.withColumn("events", events(t, facts, journal, F.col("source_kind") == "preprint")).drop("text_", "m_")
