@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrack.extract import entities, facts
+from tidewrack.extract import entities, facts, lexicon
 from tidewrack.operators import summary
 
 L = F.lit
@@ -84,9 +84,12 @@ def test_results():
 
 
 def test_key_facts_frame(spark):
-    rows = [("FDA approves drug in phase 3", "It met its primary endpoint; n = 6,000. Pfizer pays $2 billion to buy it.", [], "https://x.com/a", None, "journal")]
-    d = spark.createDataFrame(rows, "title string, body string, nct_ids array<string>, canonical_url string, doi string, source_kind string")
-    r = facts.extract(entities.extract(d)).first()
+    rows = [("FDA approves drug in phase 3", "It met its primary endpoint; n = 6,000. Pfizer pays $2 billion to buy it.", [], "https://x.com/a", None, "jama", "journal")]
+    rows += [(*rows[0][:5], "minor-journal", "journal"), (*rows[0][:5], "jama", "news"), ("Editorial: " + rows[0][0], *rows[0][1:])]
+    d = spark.createDataFrame(rows, "title string, body string, nct_ids array<string>, canonical_url string, doi string, source_id string, source_kind string")
+    found = facts.extract(entities.extract(d)).collect()
+    assert ["major-journal-primary" in r.events for r in found] == [True, False, False, False]
+    r = found[0]
     assert (r.phase, r.enrollment, r.outcome, r.deal.type) == ("phase 3", 6000, "met", "M&A")
     assert {"approval", "phase3-readout", "ma-large", "major-journal-primary"} == set(r.events)
 
@@ -107,3 +110,16 @@ def test_summaries():
     assert summary.summarize(None, None, "full", None, [], None) == ([], "dek")
     replaced, _ = summary.summarize("t", body.replace("Alphamab met", "The drug met") + " Extra words fill the body so that it is long enough to count as full text here.", "full", None, [], "Acme", most=2)
     assert any(s.startswith("Acme met its endpoint") for s in replaced)
+
+
+def test_company_ids_and_groups():
+    by_name = {c.name: c for c in lexicon.COMPANIES}
+    assert len({c.id for c in lexicon.COMPANIES}) == len(lexicon.COMPANIES) and by_name["Bristol Myers Squibb"].id == "bms" and by_name["Johnson & Johnson"].id == "jnj"
+    assert (by_name["Genentech"].group, by_name["BlueRock Therapeutics"].group, by_name["Pfizer"].group) == ("roche", "bayer", None)
+    found = entities.entities_of("Eli Lilly and Vertex Pharmaceuticals report", "Shares of Genentech rose.")["companies"]
+    assert {c["id"] for c in found} >= {"lilly", "vertex", "genentech"}
+
+
+def test_sentence_around_any_place():
+    text = "One here. Two there! Three? Four"
+    assert [facts.sentence_at(text, i) for i in (0, 8, 9, 19, 20, 26, 27, 31)] == ["One here.", "One here.", "Two there!", "Two there!", "Three?", "Three?", "Four", "Four"]

@@ -115,8 +115,8 @@ def search(items: DataFrame, query: str = "", lane: str | None = None, source: s
 
 
 def search_index(items: DataFrame) -> DataFrame:
-    """year, rows: [day, source code, lane code, rounded score, watched, title, id]; codes number names by first appearance."""
+    """year, arrival_pos, day, source code, lane code, rounded score, watched, title, id: one row an item, for files by year
+    (``sinks.write_partitions``); codes number a year's names by first appearance."""
     first = lambda c: items.groupBy("year", c).agg(F.min("arrival_pos").alias("p")).select("year", c, (F.row_number().over(Window.partitionBy("year").orderBy("p")) - 1).alias(f"{c}_code"))
     coded = items.join(first("source_name"), ["year", "source_name"]).join(first("primary_lane"), ["year", "primary_lane"])
-    row = F.struct("arrival_pos", "day", "source_name_code", "primary_lane_code", F.floor(F.col("score") + 0.5).alias("score"), "watched", "title", "item_id")
-    return coded.groupBy("year").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return coded.select("year", "arrival_pos", "day", "source_name_code", "primary_lane_code", F.floor(F.col("score") + 0.5).alias("score"), "watched", "title", "item_id")

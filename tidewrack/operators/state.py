@@ -75,3 +75,9 @@ def merge_history(old: DataFrame, new: DataFrame, ring: int = RING) -> DataFrame
     both = old.select("source_id", F.col("recent").alias("old_")).join(new.select("source_id", "n"), "source_id", "full")
     joined = F.concat(F.coalesce("old_", F.array().cast("array<int>")), F.when(F.col("n").isNull(), F.array().cast("array<int>")).otherwise(F.array(F.col("n").cast("int"))))
     return both.select("source_id", F.reverse(F.slice(F.reverse(joined), 1, ring)).alias("recent"))
+
+
+def neighbours(days: DataFrame) -> DataFrame:
+    """day, older, newer: each distinct day with those before and after it. A row a day, so one ordered window holds them."""
+    along = Window.orderBy("day")
+    return days.select("day").distinct().select("day", F.lag("day").over(along).alias("older"), F.lead("day").over(along).alias("newer"))

@@ -208,9 +208,9 @@ UNION ALL SELECT 'duplicate', (count(*) - count(DISTINCT canonical_url))::BIGINT
 
 
 def median_lengths(spark, sf_dir: str) -> DataFrame:
-    """Upper median of body lengths by source, and of scores by lane."""
-    d = items(spark, sf_dir)
-    return d.groupBy("source_id").agg(digest.upper_median(F.collect_list(F.length("body"))).cast("long").alias("median_chars"), F.count("*").alias("n"))
+    """Upper median of body lengths by source."""
+    found = digest.medians(items(spark, sf_dir).select("source_id", F.length("body").alias("chars")), "source_id", "chars")
+    return found.select("source_id", F.col("median").cast("long").alias("median_chars"), "n")
 
 
 MEDIAN_LENGTHS = f"""
@@ -234,7 +234,7 @@ def cluster_links(spark, sf_dir: str) -> DataFrame:
     """Linked pairs of items and their scores."""
     d = _keyed(spark, sf_dir)
     found = clusters.links(d)
-    number = d.select("item_id", "doc_id")
+    number = items(spark, sf_dir).select("item_id", "doc_id")
     both = found.join(number.toDF("a", "x"), "a").join(number.toDF("b", "y"), "b")
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), floor_round(F.col("link_score"), 6).alias("link_score"))
 
@@ -358,7 +358,7 @@ SENTENCES = (
 
 def _sentenced(spark, sf_dir: str) -> DataFrame:
     s = F.element_at(F.array(*[F.lit(x) for x in SENTENCES]), (F.col("doc_id") % len(SENTENCES)).cast("int") + 1)
-    return items(spark, sf_dir).withColumn("t", F.concat("title", F.lit(". "), s))
+    return items(spark, sf_dir).withColumn("t", F.concat("title", F.lit(". "), s, F.lit(" "), "body"))
 
 
 _FLAGS = {"safety": patterns.SAFETY, "distress": patterns.DISTRESS, "personnel": patterns.PERSONNEL, "opinion": patterns.OPINION, "designation": patterns.DESIGNATION, "committee": patterns.COMMITTEE, "filing": patterns.FILING, "letter": patterns.RESPONSE_LETTER, "phase3_start": patterns.PHASE_3_START}
@@ -376,7 +376,7 @@ def _q(p: str) -> str:
 
 
 REGEX_FACTS = f"""
-WITH {ITEMS_SQL}, x AS (SELECT doc_id, title || '. ' || [{', '.join(_q(s) for s in SENTENCES)}][doc_id % {len(SENTENCES)} + 1] AS t FROM items), f AS (
+WITH {ITEMS_SQL}, x AS (SELECT doc_id, title || '. ' || [{', '.join(_q(s) for s in SENTENCES)}][doc_id % {len(SENTENCES)} + 1] || ' ' || body AS t FROM items), f AS (
   SELECT *, regexp_matches(t, {_q(patterns.HIT)}) AS hit, regexp_matches(t, {_q(patterns.MISS)}) AS miss FROM x)
 SELECT doc_id, nullif(trim(regexp_extract(t, {_q(patterns.PHASE)})), '') AS phase, nullif(replace(regexp_extract(t, {_q(patterns.ENROLLED)}, 1), ',', ''), '')::BIGINT AS enrollment,
   CASE WHEN hit AND miss THEN 'mixed' WHEN hit THEN 'met' WHEN miss THEN 'missed' END AS outcome,
@@ -404,8 +404,8 @@ WITH {ITEMS_SQL} SELECT ['notice', 'news-comment', 'news-comment', 'news-comment
 
 def key_facts(spark, sf_dir: str) -> DataFrame:
     """All facts, entities and events of items; no SQL, fixtures hold the rules."""
-    d = _sentenced(spark, sf_dir).withColumns({"title": F.col("t"), "nct_ids": F.array().cast("array<string>"), "doi": F.lit(None).cast("string")})
-    d = facts.extract(entities.extract(d))
+    d = _sentenced(spark, sf_dir).withColumns({"body": F.col("t"), "nct_ids": F.array().cast("array<string>"), "doi": F.lit(None).cast("string")})
+    d = facts.extract(entities.extract(d), major=("src0", "src10"))
     return d.select("doc_id", "phase", "outcome", F.array_join("events", ",").alias("events"), F.size("results").cast("long").alias("results"), F.col("deal.type").alias("deal_type"), F.size("companies").cast("long").alias("companies"), F.size("drugs").cast("long").alias("drugs"), F.size("targets").cast("long").alias("targets"))
 
 

@@ -14,15 +14,23 @@ from tidewrack.plans.items import ITEMS_SQL, items, round_sql
 from tidewrack.session import table
 
 
+#: Longer than the reach of a verb, so no phrase of the text itself is near one.
+_BEFORE = ". so it was at the same time and in the same old place that "
+
+
 def unknown_phrases(spark, sf_dir: str) -> DataFrame:
     """The 120 most frequent capitalised phrases before a corporate verb that no dictionary knows."""
     said = items(spark, sf_dir).withColumn("title", F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Foo Bar", "The Baz", "Acme", "Known Co")]), (F.col("doc_id") % 4).cast("int") + 1), F.lit(" announced "), F.lower("title")))
+    # What a body says after its own text counts only where that ends within the first 1,500 characters.
+    named = F.when(F.col("doc_id") % 3 == 0, "Late Name").otherwise("Other Firm Works")
+    said = said.withColumn("body", F.concat("body", F.lit(_BEFORE), named, F.lit(" said")))
     known = spark.createDataFrame([("Known Co",)], "phrase string")
-    return digest.unknown_phrases(said.withColumn("body", F.lit("")), known)
+    return digest.unknown_phrases(said, known)
 
 
 UNKNOWN_PHRASES = f"""
-WITH {ITEMS_SQL}, p AS (SELECT ['Foo Bar', 'The Baz', 'Acme', 'Known Co'][doc_id % 4 + 1] AS phrase FROM items)
+WITH {ITEMS_SQL}, p AS (SELECT ['Foo Bar', 'The Baz', 'Acme', 'Known Co'][doc_id % 4 + 1] AS phrase FROM items
+  UNION ALL SELECT CASE WHEN doc_id % 3 = 0 THEN 'Late Name' ELSE 'Other Firm Works' END FROM items WHERE length(body) + {len(_BEFORE)} + CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 16 END + 5 <= 1500)
 SELECT phrase, count(*) AS n FROM p WHERE phrase NOT IN ('The Baz', 'Known Co') GROUP BY phrase HAVING count(*) >= 2 ORDER BY n DESC, phrase LIMIT 120
 """
 

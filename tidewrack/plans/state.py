@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack import config
@@ -115,13 +115,11 @@ SELECT r.d::VARCHAR AS run_date, max(g.d)::VARCHAR AS previous, coalesce(max(g.d
 
 
 def neighbour_days(spark, sf_dir: str) -> DataFrame:
-    """Days newest first with the newer and the older one."""
-    days = items(spark, sf_dir).select("day").distinct()
-    per_year = Window.partitionBy(F.year("day")).orderBy("day")
-    return days.select(F.col("day").cast("string").alias("day"), F.lag("day").over(per_year).cast("string").alias("older"), F.lead("day").over(per_year).cast("string").alias("newer"))
+    """Every day with the newer and the older one, across years: one row a day, so the window is some hundred rows a year."""
+    return state.neighbours(items(spark, sf_dir).select("day")).select(*[F.col(c).cast("string").alias(c) for c in ("day", "older", "newer")])
 
 
-NEIGHBOUR_DAYS = f"WITH {ITEMS_SQL}, d AS (SELECT DISTINCT day FROM items) SELECT day::VARCHAR AS day, (lag(day) OVER w)::VARCHAR AS older, (lead(day) OVER w)::VARCHAR AS newer FROM d WINDOW w AS (PARTITION BY year(day) ORDER BY day)"
+NEIGHBOUR_DAYS = f"WITH {ITEMS_SQL}, d AS (SELECT DISTINCT day FROM items) SELECT day::VARCHAR AS day, (lag(day) OVER w)::VARCHAR AS older, (lead(day) OVER w)::VARCHAR AS newer FROM d WINDOW w AS (ORDER BY day)"
 
 
 def _deals(spark, sf_dir: str) -> DataFrame:
@@ -247,8 +245,8 @@ WHERE contains(lower(title || ' ' || source_id), 'the') AND contains(lower(title
 def search_index(spark, sf_dir: str) -> DataFrame:
     """Index rows by year, names numbered by first appearance."""
     a = _archive(spark, sf_dir).withColumn("watched", F.size("watch_hits") > 0)
-    rows = rollup.search_index(a).select("year", F.explode("rows").alias("r"))
-    return rows.select("year", F.col("r.arrival_pos").alias("doc_id"), F.col("r.source_name_code").cast("long").alias("source"), F.col("r.primary_lane_code").cast("long").alias("lane"), F.col("r.score").cast("long").alias("score"), F.col("r.watched").alias("watched"), F.col("r.title").alias("title"))
+    rows = rollup.search_index(a)
+    return rows.select("year", F.col("arrival_pos").alias("doc_id"), F.col("source_name_code").cast("long").alias("source"), F.col("primary_lane_code").cast("long").alias("lane"), F.col("score").cast("long").alias("score"), "watched", "title")
 
 
 SEARCH_INDEX = f"""

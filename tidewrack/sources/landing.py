@@ -14,6 +14,7 @@ from tidewrack.functions.dates import parse_feed_date
 from tidewrack.functions.markup import clean_title_markup, html_to_text, strip_journal_boilerplate, wrong_shape
 from tidewrack.functions.text import squish
 from tidewrack.functions.urls import canonical_url, extract_doi, item_id
+from tidewrack.session import lookup
 
 FIELDS = ("title", "link", "guid", "published", "dc_date", "prism_date", "creator", "content", "description", "doi")
 RAW = "source_id string, pos int, " + ", ".join(f"{f} string" for f in FIELDS) + ", categories array<string>, warning string"
@@ -22,6 +23,8 @@ ELEMENTS = {
     "title": "title", "guid": "guid", "id": "guid", "pubDate": "published", "published": "published", "updated": "published", "date": "dc_date", "publicationDate": "prism_date",
     "creator": "creator", "author": "creator", "encoded": "content", "content": "content", "description": "description", "summary": "description", "doi": "doi",
 }
+#: What an item takes over from its source.
+CARRIED = ("source_name", "publisher_group", "source_kind", "authority", "lane_hints")
 ITEM_FIELDS = "source_id pos title url canonical_url item_id guid published_at date_precision date_confident body body_provenance categories authors doi nct_ids paywalled".split()
 
 
@@ -67,11 +70,17 @@ def parse_feeds(landed: DataFrame, max_items: DataFrame | None = None) -> DataFr
     return landed.select("source_id", "body", "max_items").mapInArrow(apply, RAW)
 
 
+def carried(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """``items`` with what they take over from their source in the registry."""
+    names = {"source_name": "name", "source_kind": "kind"}
+    return items.join(lookup(sources.select(F.col("id").alias("source_id"), *[F.col(names.get(c, c)).alias(c) for c in CARRIED])), "source_id")
+
+
 def feed_items(raw: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """Entries as items: titles without markup and paywall mark, canonical URLs, the first date that can be read, the best
-    body and where it comes from. Excluded URLs and titles go. ``sources`` is the registry, small enough to be sent around."""
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), "kind", "zone", "exclude", F.col("paywalled").alias("walled")))
-    d = raw.filter("warning IS NULL").join(s, "source_id")
+    body and where it comes from. Excluded URLs and titles go. ``sources`` is the registry, whose authority, name and lane hints items carry on."""
+    s = sources.select(F.col("id").alias("source_id"), "kind", "zone", "exclude", F.col("paywalled").alias("walled"))
+    d = raw.filter("warning IS NULL").join(lookup(s), "source_id")
     marked = F.coalesce(F.col("title"), F.lit("")).rlike(r"(?i)^\s*STAT\+:")
     title = squish(clean_title_markup(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?i)^\s*STAT\+:\s*", "")))
     d = d.withColumns({f"{c}_": parse_feed_date(F.col(c), F.col("zone"), now) for c in ("published", "dc_date", "prism_date")})
@@ -94,7 +103,7 @@ def feed_items(raw: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
         F.coalesce("doi", extract_doi(F.col("link"))).alias("doi"), nct_ids(F.concat_ws(" ", "t_", "b_.text")).alias("nct_ids"), "paywalled", "exclude",
     )
     unwanted = F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda p: F.regexp_like(F.concat_ws(" ", "url", "title"), p))
-    return out.filter(~unwanted).select(*ITEM_FIELDS)
+    return carried(out.filter(~unwanted).select(*ITEM_FIELDS), sources)
 
 
 LITERATURE = "resultList struct<result:array<struct<id:string,source:string,doi:string,title:string,authorString:string,abstractText:string,firstPublicationDate:string,journalInfo:struct<journal:struct<title:string>>,fullTextUrlList:struct<fullTextUrl:array<struct<url:string>>>>>>"
