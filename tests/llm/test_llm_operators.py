@@ -143,13 +143,63 @@ def test_edited_texts(docs, odd, empty):
     assert found[3].fingerprint == found[63].fingerprint and found[63].near_next == 1
     assert editprint.with_neighbours(odd).count() == 4 and editprint.with_neighbours(empty).count() == 0
     assert editprint.with_neighbours(odd.filter("doc_id = 2")).first().near_next == 1
+    largest = odd.sparkSession.createDataFrame([((1 << 63) - 1, "a"), (None, "b"), (5, "c")], "doc_id long, text string")
+    assert {r.doc_id for r in editprint.with_neighbours(largest).collect()} == {(1 << 63) - 1, None, 5}
+    assert editprint.near_duplicates(odd).count() == 4 and editprint.near_duplicates(empty).count() == 0
+
+
+def test_rows_in_ranges(spark):
+    """One id, and null ids, on very many rows; the largest id there is."""
+    last = (1 << 63) - 1
+    rows = [(7, f"text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i}") for i in (-5, 3, 9, 10, last)]
+    d = editprint.in_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 12)
+    parts = [[(r.id, r.text, r.tail) for r in p] for p in d.rdd.glom().collect()]
+    own = [[(i, t) for i, t, tail in p if not tail] for p in parts]
+    flat = [x for p in own for x in p]
+    assert sorted(flat, key=repr) == sorted(rows, key=repr) and max(map(len, own)) < 120
+    ids = [i for i, _ in flat]
+    assert ids == [-5, 3] + [7] * 400 + [9, 10, last] + [None] * 300
+    full = [p for p in own if p]
+    tails = [[(i, t) for i, t, tail in p if tail] for p in parts if p]
+    assert tails == [[p[0]] for p in full[1:] + full[:1]]
+
+
+def edited(seed: int, copies: int, words: int = 160):
+    """Copies with some words changed, between none and enough to fall below the similarity."""
+    r = random.Random(seed)
+    base, out = prose("en", words, seed).split(), []
+    for k in range(copies):
+        own = list(base)
+        for _ in range(k % 5):
+            own[r.randrange(len(own))] = prose("de", 1, r.randrange(10**6))
+        out.append(" ".join(own))
+    return out
 
 
-def test_edit_near_duplicates(spark):
+@pytest.mark.parametrize("hot", [64, 3])
+def test_edit_near_duplicates(spark, hot):
+    """Against all pairs: what is linked is alike, and nearly all that is alike is linked, under hot keys too."""
     base = prose("en", 200, 9)
-    rows = [(1, base), (2, base), (3, base + " more"), (4, prose("en", 200, 10)), (5, None)]
-    found = {r.doc_id: r.component_id for r in editprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    texts = [base, base, base + " more", prose("en", 200, 10), None, ""] + [t for s in range(24) for t in edited(100 + s, 6)] + edited(500, 40)
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r.component_id for r in editprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert found[0] == found[1] == found[2] == 0 and found[3] == 3 and found[4] == found[5] == 4
+    grams = []
+    for t in texts:
+        w = (t or "").split()
+        grams.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if grams[i] and 9 * len(grams[i] & grams[j]) >= 4 * (len(grams[i]) + len(grams[j]))]
+    for i, j in alike:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(find(i) == find(found[i]) for i in found if texts[i])  # nothing unlike is joined
+    assert sum(found[i] == found[j] for i, j in alike) >= 0.98 * len(alike) and len(alike) > 300
 
 
 # 3

@@ -7,11 +7,11 @@ text of n code points is one of its first 2n steps, chosen consistently: the cho
 What is sampled is a byte of the hashed three characters from the walk's place on. All walks of a batch advance together
 in numpy. Likeness is the share of equal samples.
 
-Near-duplicates: bands of ``BAND`` consecutive samples are the keys of candidates, which likeness and then the Jaccard
-similarity of five-word shingles verify.
+Near-duplicates: bands of ``BAND`` consecutive samples are the keys of candidates, and the Jaccard similarity of five-word
+shingles verifies them; of the sets under one key no pair that isn't connected already goes unverified.
 
 Defined cases: a null text is an empty one, whose samples are all zero; equal texts have equal fingerprints; null ids come
-after all others; rows that share an id follow each other in order of their text; a table of one row is its own next
+after all others; rows that share an id follow each other in order of their text's digest; a table of one row is its own next
 document; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -19,24 +19,26 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.llm import nearcopies
 from tidewrack.operators.components import components
-from tidewrack.session import cut, lookup
+from tidewrack.session import cut, lookup, stored
 
 SAMPLES = 64
 BAND = 4
 PERIOD = 4096
 #: Characters whose walks advance together, and documents of an Arrow batch that are held at once.
 BLOCK = 4_000_000
-LAST = (1 << 63) - 1
-SHINGLE = 5
-LIKENESS = 0.8
+#: Rows of a range of ids, and most ranges; what null ids count as.
+RANGE, MOST_RANGES, LAST = 50_000, 10_000, 1e19
 
 
 class Walk:
@@ -127,32 +129,42 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES, seed: int = 7) -> DataF
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """id, text, tail: partitions are consecutive ranges of ids, sorted. After its own rows a partition holds, as ``tail``,
-    the rows that come next: the first of the following range, or the first of all after the last."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("id").withColumn("x", F.col("id").cast("double"))
-    cuts = sorted(set(ids.stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    """id, text, tail: partitions are consecutive ranges of rows in order of (id, digest of the text), sorted. After its own rows a partition holds, as
+    ``tail``, those that come next: the first of the following range, or the first of all after the last. An id that fills
+    several ranges is cut by digest. Ranges, and the tables about them, number at most ``MOST_RANGES``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"x": F.coalesce(F.col("id").cast("double"), F.lit(LAST)), "digest": F.xxhash64("text")})
+    parts = min(parts, MOST_RANGES)
+    found = Counter(rows.select("x").stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else Counter()
+    cuts = sorted(found)
+    # Doubles tell ids apart only up to 2**53: larger ones stay whole.
+    times = [found[c] if found[c] > 1 and (abs(c) < 1 << 53 or c == LAST) else 0 for c in cuts]
+    starts = np.cumsum([1, *[t + 1 for t in times]]).tolist()
+    ranges = docs.sparkSession.createDataFrame([(0, -math.inf, 0, 0)] + [(i + 1, c, t, starts[i]) for i, (c, t) in enumerate(zip(cuts, times, strict=True))], "bucket int, at double, times int, start int")
     if cuts:
-        split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol="part").transform
+        rows = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol="b").transform(rows).withColumn("bucket", F.col("b").cast("int"))
     else:
-        split = lambda df: df.withColumn("part", F.lit(0.0))
-    firsts = sorted((int(r.part), r.least) for r in split(ids).groupBy("part").agg(F.min("id").alias("least")).collect())
-    # One row a range: as many as partitions.
-    before = [(least, firsts[i - 1][0]) for i, (_, least) in enumerate(firsts)] or [(0, 0)]
-    known = docs.sparkSession.createDataFrame(before, "least long, before int")
-    placed = split(rows.withColumn("x", F.col("id").cast("double"))).withColumn("part", F.col("part").cast("int")).drop("x")
-    placed = placed.join(F.broadcast(known), F.col("id") == F.col("least"), "left")
+        rows = rows.withColumn("bucket", F.lit(0))
+    share = F.floor((F.col("digest").cast("double") / F.lit(2.0**64) + 0.5) * F.col("times"))
+    part = F.col("start") + F.when((F.col("times") > 0) & (F.col("x") == F.col("at")), F.least(share, F.col("times") - 1)).otherwise(F.col("times"))
+    placed = rows.join(lookup(ranges), "bucket").select("id", "text", "x", "digest", part.cast("int").alias("part"))
+    order = F.struct("x", F.coalesce("id", F.lit(0)).alias("id"), "digest")
+    firsts = sorted((r.part, tuple(r.least)) for r in placed.groupBy("part").agg(F.min(order).alias("least")).collect())
+    before = [(*least, firsts[i - 1][0]) for i, (_, least) in enumerate(firsts)] or [(0.0, 0, 0, 0)]
+    known = docs.sparkSession.createDataFrame(before, "l_x double, l_id long, l_digest long, before int")
+    first = (F.col("x") == F.col("l_x")) & (F.coalesce("id", F.lit(0)) == F.col("l_id")) & (F.col("digest") == F.col("l_digest"))
+    placed = placed.join(lookup(known), first, "left")
     own, tail = F.struct("part", F.lit(0).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))
     copies = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, tail))
-    dealt = placed.select("id", "text", F.explode(copies).alias("at")).select("id", "text", "at.part", "at.tail")
-    return dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("tail", "id", "text").select("id", "text", "tail")
+    dealt = placed.select("id", "text", "x", "digest", F.explode(copies).alias("at")).select("id", "text", "x", "digest", "at.part", "at.tail")
+    return dealt.repartitionById(starts[-1] + 1, "part").sortWithinPartitions("tail", "x", "id", "digest").select("id", "text", "tail")
 
 
 def with_neighbours(docs: DataFrame, samples: int = SAMPLES, seed: int = 7) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: every document, its next
     in order of id, and its edited text, in which the start of the next document replaces the last half."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / 50_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / RANGE))
     walk = spark.sparkContext.broadcast(Walk(samples, seed))
 
     def answer(ids, texts, prints):
@@ -164,7 +176,7 @@ def with_neighbours(docs: DataFrame, samples: int = SAMPLES, seed: int = 7) -> D
         others = walk.value.fingerprints(edited)
         digests = [hashlib.sha256(t.encode()).hexdigest() for t in edited]
         columns = [
-            pa.array([None if i == LAST else i for i in ids[:-1]], pa.int64()),
+            pa.array(ids[:-1], pa.int64()),
             pa.array([len(t) for t in texts[:-1]], pa.int64()),
             pa.array(digests, pa.string()),
             pa.array(_hex(prints[:-1]), pa.string()),
@@ -193,35 +205,46 @@ def with_neighbours(docs: DataFrame, samples: int = SAMPLES, seed: int = 7) -> D
     return in_order(docs, parts).mapInArrow(apply, schema)
 
 
-def near_duplicates(docs: DataFrame, least: float = LIKENESS, band: int = BAND, width: int = SHINGLE) -> DataFrame:
-    """doc_id, component_id: documents linked through shared bands, verified by likeness and by shingle similarity.
+def _sets(docs: DataFrame, width: int, samples: int, seeds: tuple[int, ...]) -> DataFrame:
+    """doc_id, digest, sid, n, counts, print: sets of shingles as ``nearcopies`` has them, and fingerprints as bytes."""
+    walks = docs.sparkSession.sparkContext.broadcast([Walk(samples, seed) for seed in seeds])
 
-    Within a band's key every text is held against the least one, so a hot key costs a row a member; texts are compared
-    by their sets of hashed shingles. Exact copies count once.
+    def apply(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            grams = [nearcopies.shingles(t, width) for t in texts]
+            sids = np.array([xxhash.xxh64_intdigest(g.tobytes(), 1) for g in grams], np.uint64).view(np.int64)
+            prints = [r.tobytes() for r in np.concatenate([w.fingerprints(texts) for w in walks.value], axis=1)]
+            counts = [nearcopies.cell_counts(g) for g in grams]
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(sids), pa.array([len(g) for g in grams], pa.int64()), pa.array(counts, pa.binary()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sid", "n", "counts", "print"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return stored(rows.mapInArrow(apply, "doc_id long, digest long, sid long, n long, counts binary, print binary"))
+
+
+def near_duplicates(docs: DataFrame, band: int = BAND, width: int = nearcopies.WIDTH, hot: int = nearcopies.HOT, samples: int = SAMPLES, seeds: tuple[int, ...] = (7, 8, 9)) -> DataFrame:
+    """doc_id, digest, component_id: one row a document; links are pairs with a common band and a similarity of 0.8 or more.
+
+    Walks that an edit throws out of step may fall into step again late or never, so each of ``seeds`` has walks of its own.
+    All pairs under a band's key are verified that size and the numbers of their shingles allow and that aren't connected
+    yet; hot keys go through their least set first. Equal sets, and texts without words, are alike.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    heads = texts.withColumn("same", F.sha2("text", 256))
-    least_ids = cut(heads.groupBy("same").agg(F.min("doc_id").alias("head")))
-    once = heads.join(least_ids, "same").filter(F.col("doc_id") == F.col("head")).dropDuplicates(["doc_id"])
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    shingles = F.when(F.size(words) < width, F.array(F.array_join(words, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    )
-    hashed = cut(once.select("doc_id", F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))).alias("shingles")))
-    prints = cut(fingerprint(once))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // band - 1)), lambda b: F.struct(b.alias("band"), F.substring("fingerprint", b * (2 * band) + 1, F.lit(2 * band)).alias("key")))
-    keyed = prints.select("doc_id", F.explode(bands).alias("k")).select("doc_id", "k.band", "k.key")
-    first = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("a"))
-    pairs = keyed.join(first, ["band", "key"]).filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    left, right = prints.toDF("a", "pa"), prints.toDF("b", "pb")
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), F.lit(0), lambda n, i: n + (F.substring("pa", i * 2 + 1, F.lit(2)) == F.substring("pb", i * 2 + 1, F.lit(2))).cast("int"))
-    alike = pairs.join(left, "a").join(right, "b").filter(equal >= least * SAMPLES * 0.75).select("a", "b")
-    sets = alike.join(hashed.toDF("a", "sa"), "a").join(hashed.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = sets.filter(shared / (F.size("sa") + F.size("sb") - shared) >= least).select("a", "b")
-    found = cut(components(links))
-    classes = least_ids.join(lookup(found), F.col("head") == F.col("node"), "left").select("same", F.coalesce("component", "head").alias("component_id"))
-    return heads.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
+    found = _sets(docs, width, samples, seeds)
+    reps = nearcopies.distinct_sets(found, "print")
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("print", b * band + 1, band)) for b in range(len(seeds) * samples // band)])
+    keys = lambda rows: rows.select(F.explode(F.array_distinct(bands)).alias("gram"), "sid", "n", F.lit(0).cast("long").alias("place"), "label")
+    none = reps.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    linked = cut(components(nearcopies.completed(none, reps, keys, docs, width, hot)).select(F.col("node").alias("sid"), F.col("component").alias("label")))
+    labelled = found.select("doc_id", "digest", "sid").join(lookup(linked), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(least, "label").select("doc_id", "digest", "component_id")
+
+
+def edit_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    from tidewrack.session import table
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id")
 
 
 def op2_edit_embedding(spark, sf_dir: str) -> DataFrame:

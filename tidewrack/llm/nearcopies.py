@@ -16,6 +16,8 @@ without words are all alike; rows that repeat share their component; an empty ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm import simhash
+from tidewrack.llm.rows import slices
 from tidewrack.llm.simhash import _LOWER
 from tidewrack.operators.components import components
 from tidewrack.session import cut, lookup, stored
@@ -52,13 +55,18 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed.view(np.int64))
 
 
+def cell_counts(grams: np.ndarray) -> bytes:
+    """How many shingles lie in each of CELLS parts of the hashes; 255 for that many or more."""
+    return np.minimum(np.bincount(grams & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def _order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample, ascending, and their numbers."""
     step = max(1, docs.count() // SAMPLE)
     sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[shingles(t, width) for t in batch.column("text").to_pylist()]]))], ["gram"])
 
     counted = sample.mapInArrow(apply, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
@@ -75,7 +83,7 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def apply(batches):
         known, numbers = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             sids, sizes, fps, firsts, counts = [], [], [], [np.zeros(0, np.int64)], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width)
@@ -83,7 +91,7 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 sids.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
                 sizes.append(n)
                 fps.append(simhash.majority(own.view(np.uint64)))
-                counts.append(np.minimum(np.bincount(own & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                counts.append(cell_counts(own))
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[at] == own, numbers[at], 0), kind="stable")]
@@ -212,7 +220,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
     pairs = cut(pairs.join(counts.toDF("a", "na", "ca"), "a").join(counts.toDF("b", "nb", "cb"), "b").mapInArrow(bounded, "a long, b long"))
 
     def made(batches):
-        for batch in batches:
+        for batch in slices(batches):
             grams = [shingles(t, width) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
 
@@ -240,15 +248,17 @@ def _by_fingerprint(reps: DataFrame, budget: int) -> DataFrame:
     return cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same))
 
 
-def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT, budget: int = simhash.BITS) -> DataFrame:
-    """a, b: links that connect the sets ``found`` of ``docs`` exactly as all pairs of similarity 0.8 do."""
-    # Copies count once, from here on.
-    least = found.filter("n > 0").groupBy("sid").agg(F.min(F.struct("digest", "doc_id")).alias("r"), *[F.first(c).alias(c) for c in ("n", "fp", "first", "counts")])
-    reps = stored(least.select("sid", "n", "fp", "first", "counts", "r.digest", "r.doc_id"))
-    out = _verified(_by_fingerprint(reps, budget), reps, docs, width)
-    prefixes = lambda rows: rows.select("sid", "n", "label", F.posexplode("first").alias("place", "gram"))
-    out = cut(out.union(_verified(_pairs(prefixes(_labels(out, reps)), hot), reps, docs, width)))
-    keyed = prefixes(_labels(out, reps))
+def distinct_sets(found: DataFrame, *more: str) -> DataFrame:
+    """sid, n, counts, digest, doc_id and the columns ``more``: one row a set of ``found`` that isn't empty. Copies count once."""
+    least = found.filter("n > 0").groupBy("sid").agg(F.min(F.struct("digest", "doc_id")).alias("r"), *[F.first(c).alias(c) for c in ("n", "counts", *more)])
+    return stored(least.select("sid", "n", "counts", *more, "r.digest", "r.doc_id"))
+
+
+def completed(out: DataFrame, reps: DataFrame, keys: Callable[[DataFrame], DataFrame], docs: DataFrame, width: int, hot: int) -> DataFrame:
+    """a, b: the verified links ``out`` and those that join their components under ``keys`` (gram, sid, n, place, label of the rows of
+    ``reps`` with label). Two sets with a common key are linked, if alike, by a path at least."""
+    out = cut(out.union(_verified(_pairs(keys(_labels(out, reps)), hot), reps, docs, width)))
+    keyed = keys(_labels(out, reps))
     hotter = keyed.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("one"), F.max("label").alias("other")).filter((F.col("rows") > hot) & (F.col("one") != F.col("other")))
     hotter = cut(hotter.select("gram"))
     if not hotter.isEmpty():
@@ -257,6 +267,13 @@ def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT,
     return out
 
 
+def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT, budget: int = simhash.BITS) -> DataFrame:
+    """a, b: links that connect the sets ``found`` of ``docs`` exactly as all pairs of similarity 0.8 do."""
+    reps = distinct_sets(found, "fp", "first")
+    prefixes = lambda rows: rows.select("sid", "n", "label", F.posexplode("first").alias("place", "gram"))
+    return completed(_verified(_by_fingerprint(reps, budget), reps, docs, width), reps, prefixes, docs, width, hot)
+
+
 def _labelled(docs: DataFrame, width: int, hot: int) -> DataFrame:
     """doc_id, digest, label: one row a document."""
     found = sets(docs, width)

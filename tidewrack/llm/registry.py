@@ -1,4 +1,4 @@
-"""Queries opN_<name>, each over its whole table, and the SQL of those that SQL can express."""
+"""Queries opN_<name>, each over its whole table, op2's banding and verification as one more, and the SQL of those that SQL can express."""
 
 from tidewrack.llm import balltree, editprint, htmltext, language, mixing, packing, secrets, simhash, suffixes, templates
 
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash_trie": simhash.op8_simhash_trie,
     "op9_cross_parsing": language.op9_cross_parsing,
     "op10_ball_tree": balltree.op10_ball_tree,
+    "edit_near_duplicates": editprint.edit_near_duplicates,
 }
 SQL = {
     "op3_template_tree": templates.OP3_SQL,

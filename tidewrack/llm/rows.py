@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHERS = "others_"
+#: Rows of an Arrow batch whose texts a Python function holds at once.
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most so many rows; what Arrow keeps in reserve is given back at the end."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), most):
+            yield batch.slice(at, most)
+    pa.default_memory_pool().release_unused()
 
 
 def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
