@@ -29,6 +29,34 @@ LANE_LABELS = {
     "frontier-science": "Frontier Science",
     "aging-omics": "Aging, Epigenetics & Omics",
 }
+LANE_BLURBS = {
+    "clinical-regulatory": "Trial readouts, phase transitions, approvals, CRLs, adcomms and safety signals.",
+    "business-deals": "M&A, licensing, financings, IPOs, restructurings and leadership changes.",
+    "frontier-science": "New mechanisms, modalities and methods from journals and preprints.",
+    "aging-omics": "Aging biology, epigenetic clocks and reprogramming, 3D genome, single-cell and spatial omics.",
+}
+EVENT_LABELS = {
+    "approval": "Regulatory approval",
+    "crl": "Complete response letter",
+    "filing": "Regulatory filing",
+    "designation": "Regulatory designation",
+    "phase3-readout": "Phase 3 readout",
+    "phase-readout": "Trial readout",
+    "phase3-start": "New phase 3 start",
+    "safety-hold": "Safety signal / clinical hold",
+    "ma-large": "Large M&A",
+    "ma": "M&A",
+    "license-large": "Major licensing deal",
+    "license": "Licensing deal",
+    "financing-large": "Large financing",
+    "financing": "Financing",
+    "ipo": "IPO",
+    "distress": "Layoffs / restructuring",
+    "personnel": "Leadership change",
+    "major-journal-primary": "Major-journal paper",
+    "preprint": "Preprint",
+    "opinion": "Opinion / roundup",
+}
 HALF_LIFE_HOURS = {"clinical-regulatory": 20, "business-deals": 24, "frontier-science": 72, "aging-omics": 96}
 MAX_AGE_DAYS = {"clinical-regulatory": 4, "business-deals": 5, "frontier-science": 14, "aging-omics": 21}
 MAX_AGE_DAYS_ACADEMIC = 21
@@ -78,6 +106,51 @@ MAJOR_JOURNALS = (
     "europepmc-jama",
 )
 
+# Catalogue titles in lower case and the names that readers know.
+JOURNAL_NAMES = {
+    "cell": "Cell",
+    "cell stem cell": "Cell Stem Cell",
+    "cell metabolism": "Cell Metabolism",
+    "cancer cell": "Cancer Cell",
+    "immunity": "Immunity",
+    "neuron": "Neuron",
+    "molecular cell": "Molecular Cell",
+    "developmental cell": "Developmental Cell",
+    "cell chemical biology": "Cell Chemical Biology",
+    "cell host & microbe": "Cell Host & Microbe",
+    "med": "Med",
+    "lancet": "The Lancet",
+    "the lancet oncology": "The Lancet Oncology",
+    "the lancet neurology": "The Lancet Neurology",
+    "the lancet respiratory medicine": "The Lancet Respiratory Medicine",
+    "the lancet diabetes & endocrinology": "The Lancet Diabetes & Endocrinology",
+    "the lancet infectious diseases": "The Lancet Infectious Diseases",
+    "the lancet haematology": "The Lancet Haematology",
+    "the lancet psychiatry": "The Lancet Psychiatry",
+    "science": "Science",
+    "science translational medicine": "Science Translational Medicine",
+    "science immunology": "Science Immunology",
+    "the new england journal of medicine": "New England Journal of Medicine",
+    "jama": "JAMA",
+    "jama oncology": "JAMA Oncology",
+    "jama cardiology": "JAMA Cardiology",
+    "jama neurology": "JAMA Neurology",
+    "jama internal medicine": "JAMA Internal Medicine",
+    "jama pediatrics": "JAMA Pediatrics",
+    "jama psychiatry": "JAMA Psychiatry",
+    "nature": "Nature",
+    "nature medicine": "Nature Medicine",
+    "nature biotechnology": "Nature Biotechnology",
+    "nature genetics": "Nature Genetics",
+    "nature aging": "Nature Aging",
+    "nature metabolism": "Nature Metabolism",
+    "nature cell biology": "Nature Cell Biology",
+    "nature cancer": "Nature Cancer",
+    "nature chemical biology": "Nature Chemical Biology",
+    "nature biomedical engineering": "Nature Biomedical Engineering",
+    "nature reviews drug discovery": "Nature Reviews Drug Discovery",
+}
+
 # Lane terms and their weights.
 LANE_TERMS = {
     "clinical-regulatory": {
@@ -133,3 +206,12 @@ FEATURE_WEIGHTS = {"token": 1, "pair": 2, "nct": 8, "drug": 4, "co": 4}
 EWMA_ALPHA = 0.25
 LEAST_DOCS, LEAST_LIFT, WARM_WEEKS = 3, 1.8, 3
 OVERLAP = 0.6
+
+
+def weights_version(version: str = "1") -> str:
+    """Names the weights that scores were made with: any change of a value changes it."""
+    import hashlib
+    import json
+
+    values = [WEIGHTS, PENALTIES, HALF_LIFE_HOURS, MAX_AGE_DAYS, MAX_AGE_DAYS_ACADEMIC, SATURATION, KEEP_THRESHOLD, PER_DAY, PER_LANE, PER_PUBLISHER, LARGE_DEAL_USD_M, EVENT_BOOSTS, LANE_TERMS]
+    return f"{version}+{hashlib.sha256(json.dumps(values).encode()).hexdigest()[:8]}"

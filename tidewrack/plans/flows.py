@@ -13,18 +13,20 @@ from tidewrack.sources import landing, registry, sinks
 from tidewrack.streaming import incremental
 
 NOW = "2026-09-30"
-SOURCES = [registry.Source(f"src{i}", f"Source {i}", "https://example.com/{start}/{end}", f"g{i % 7}", kind="journal" if i % 5 == 0 else "news", max_items=9, exclude=["/skip/"] if i % 2 else [], enabled=i % 4 != 3) for i in range(20)]
+#: Entries that a body may hold at most: as many as ids meet in one.
+ENTRIES = 200
+SOURCES = [registry.Source(f"src{i}", f"Source {i}", "https://example.com/{start}/{end}", f"g{i % 7}", kind="journal" if i % 5 == 0 else "news", max_items=ENTRIES, exclude=["/skip/"] if i % 2 else [], enabled=i % 4 != 3) for i in range(20)]
 
 
 def _landed(spark, sf_dir: str, entry, head: str, foot: str) -> DataFrame:
     """All items as bodies: one for each source and 200 ids in a row."""
     rows = items(spark, sf_dir).groupBy("source_id", F.floor(F.col("doc_id") / 200)).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("es"))
     body = F.concat(F.lit(head), F.array_join(F.transform("es", lambda x: x["e"]), "," if head.startswith("{") else ""), F.lit(foot))
-    return rows.select("source_id", body.alias("body"), F.lit(9).alias("max_items"))
+    return rows.select("source_id", body.alias("body"), F.lit(ENTRIES).alias("max_items"))
 
 
 def feed_items(spark, sf_dir: str) -> DataFrame:
-    """Feeds made of items, landed, parsed and normalised: nine entries a body, then filters."""
+    """Feeds made of items, landed, parsed and normalised: all entries of a body, then filters."""
     clean = F.regexp_replace("title", "[<>&]", "")
     date = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     link = F.concat(F.lit("http://Example.com/"), F.when(F.col("doc_id") % 3 == 0, "skip/").otherwise("a/"), F.col("doc_id").cast("string"), F.lit("/?utm_source=x&amp;b=2&amp;a=1#f"))
@@ -38,7 +40,7 @@ FEED_ITEMS = rf"""
 WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 200 ORDER BY doc_id) - 1 AS pos, trim(regexp_replace(regexp_replace(title, '[<>&]', '', 'g'), '\s+', ' ', 'g')) AS t FROM items)
 SELECT source_id, pos, t AS title, 'http://example.com/' || CASE WHEN doc_id % 3 = 0 THEN 'skip/' ELSE 'a/' END || doc_id || '?a=1&b=2' AS canonical_url, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at,
        t AS body, CASE WHEN length(t) >= 400 THEN 'description' WHEN length(t) > 0 THEN 'dek' ELSE 'none' END AS body_provenance, TRUE AS paywalled
-FROM n WHERE pos < 9 AND NOT (doc_id % 3 = 0 AND substr(source_id, 4)::INT % 2 = 1)
+FROM n WHERE pos < {ENTRIES} AND NOT (doc_id % 3 = 0 AND substr(source_id, 4)::INT % 2 = 1)
 """
 
 
@@ -46,7 +48,7 @@ def literature_items(spark, sf_dir: str) -> DataFrame:
     """Literature search results made of items, landed and parsed."""
     entry = F.to_json(F.struct(
         F.col("item_id").alias("id"), F.lit("MED").alias("source"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1000/X"), F.col("doc_id").cast("string"))).alias("doi"), "title",
-        F.substring("title", 1, 30).alias("abstractText"), F.date_format("published_at", "yyyy-MM-dd").alias("firstPublicationDate"),
+        F.col("title").alias("abstractText"), F.date_format("published_at", "yyyy-MM-dd").alias("firstPublicationDate"),
     ))
     landed = _landed(spark, sf_dir, entry, '{"resultList":{"result":[', "]}}")
     found = landing.literature_items(landed, F.lit(NOW).cast("timestamp"))
@@ -56,7 +58,7 @@ def literature_items(spark, sf_dir: str) -> DataFrame:
 LITERATURE_ITEMS = f"""
 WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 200 ORDER BY doc_id) - 1 AS pos FROM items)
 SELECT source_id, pos, CASE WHEN doc_id % 2 = 0 THEN 'https://doi.org/10.1000/x' || doc_id ELSE 'https://europepmc.org/article/MED/' || item_id END AS url, strftime(published_at, '%Y-%m-%d 12:00') AS published_at,
-       'day' AS date_precision, CASE WHEN doc_id % 2 = 0 THEN '10.1000/x' || doc_id END AS doi FROM n WHERE pos < 9
+       'day' AS date_precision, CASE WHEN doc_id % 2 = 0 THEN '10.1000/x' || doc_id END AS doi FROM n WHERE pos < {ENTRIES}
 """
 
 
@@ -76,7 +78,7 @@ def trial_items(spark, sf_dir: str) -> DataFrame:
 TRIAL_ITEMS = f"""
 WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 200 ORDER BY doc_id) - 1 AS pos FROM items)
 SELECT source_id, pos, 'https://clinicaltrials.gov/study/NCT' || lpad(doc_id::VARCHAR, 8, '0') AS url, 'What it is about. Phase: Phase 3. Conditions: Asthma, COPD. Enrollment: ' || doc_id || '.' AS body,
-       strftime(published_at, '%Y-%m-%d') AS published_at FROM n WHERE pos < 9
+       strftime(published_at, '%Y-%m-%d') AS published_at FROM n WHERE pos < {ENTRIES}
 """
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewrack.plans import daily, digest, flows, reports, state, text
+from tidewrack.plans import daily, digest, flows, publish, reports, state, text
 
-MODULES = (text, digest, state, flows, reports, daily)
+MODULES = (text, digest, state, flows, reports, daily, publish)
 
 
 def flagship(spark, sf_dir: str):

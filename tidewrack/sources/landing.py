@@ -160,3 +160,11 @@ def trial_items(landed: DataFrame, now: Column) -> DataFrame:
 def shape_reasons(landed: DataFrame) -> DataFrame:
     """source_id, reason: bodies that aren't what their source should send. ``landed``: source_id, body, expects."""
     return landed.select("source_id", wrong_shape(F.col("body"), F.col("expects")).alias("reason")).filter("reason IS NOT NULL")
+
+
+def json_items(landed: DataFrame, now: Column, literature: str = "europepmc", trials: str = "clinicaltrials") -> tuple[DataFrame, DataFrame]:
+    """Items of JSON bodies by what their source speaks, told from its id; and source_id, warning of those that no reader knows."""
+    is_literature, is_trials = F.col("source_id").startswith(literature), F.col("source_id") == trials
+    items = literature_items(landed.filter(is_literature), now).unionByName(trial_items(landed.filter(is_trials), now))
+    rest = landed.filter(~is_literature & ~is_trials).select("source_id", F.concat(F.lit("no json reader for "), "source_id").alias("warning"))
+    return items, rest

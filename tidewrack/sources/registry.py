@@ -51,6 +51,22 @@ def endpoint(sources: DataFrame, start: datetime, end: datetime) -> DataFrame:
     return sources.withColumn("url", url)
 
 
+#: Fields that a trial search asks for, below protocolSection.
+TRIAL_FIELDS = (
+    "identificationModule.nctId identificationModule.briefTitle descriptionModule.briefSummary designModule.phases designModule.enrollmentInfo.count sponsorCollaboratorsModule.leadSponsor.name"
+    " conditionsModule.conditions armsInterventionsModule.interventions statusModule.lastUpdatePostDateStruct.date statusModule.startDateStruct.date"
+).split()
+
+
+def trial_endpoint(base: str, size: int = 40) -> str:
+    """A trial search with filters and projection pushed into the request: recruiting phase 3 trials of industry, updated since {start}."""
+    from urllib.parse import quote
+
+    term = quote("AREA[LastUpdatePostDate]RANGE[", safe="") + "{start}" + quote(",MAX] AND AREA[Phase]PHASE3 AND AREA[LeadSponsorClass]INDUSTRY", safe="")
+    fields = ",".join(f"protocolSection.{f}" for f in TRIAL_FIELDS)
+    return f"{base}?pageSize={size}&countTotal=false&filter.overallStatus=NOT_YET_RECRUITING|RECRUITING&query.term={term}&fields={fields}"
+
+
 def literature_endpoint(base: str, journals: list[str], size: int = 100) -> str:
     """A literature search with its predicates pushed into the request: journals, abstracts only, dates, order, size."""
     names = " OR ".join(f'JOURNAL:"{j}"' for j in journals)
