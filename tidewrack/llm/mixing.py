@@ -5,11 +5,11 @@ Every source has a target number of words. A document first gets the whole copie
 ``odds(u) / odds(p)``, with ``u`` a uniform number drawn from the document's id and ``p`` its inclusion
 probability, and taken in that order if their words fit into what is left; a document that does not is passed
 over. The document nearest in size to what then still lacks closes the sample if it brings the source nearer to
-its target. ``op4_pareto_mix`` is held to its SQL, where the first document that does not fit ends the order.
+its target.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own and
-comes last; rows that repeat are documents of their own; an empty table gives an empty result; other columns
-are ignored. Ties in rank fall to the smaller doc_id, then the smaller size.
+comes last; a null doc_id is told from others by its text; rows that repeat are documents of their own; an empty table
+gives an empty result; other columns are ignored. Ties in rank fall to the smaller doc_id, then the smaller size.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number above 0 and below 1 that depends on the id and the seed alone: 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, seed: str, text: Column | None = None) -> Column:
+    """A number above 0 and below 1 that depends on the id and the seed alone, or on the text where the id is null: 52 bits of an MD5 digest."""
+    other = F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))) if text is not None else F.lit("")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), other)))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -97,15 +98,14 @@ def _passed_over(ranked: DataFrame, lacks: DataFrame) -> tuple[DataFrame, DataFr
     return cut(joined.drop("t_source", "t_slice", "t_nth")), lacks
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "mix", keep: tuple[str, ...] = (), pass_over: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and the columns in ``keep``: one row for every row of ``docs``.
 
     Sums run in two levels: sizes are added up by source and slice of rank, slices are summed along the rank,
     and rows only within their slice, so no source has to fit into a task. Slices number about the square root of the rows.
-    Without ``pass_over`` the first document that does not fit ends a source's order.
     """
     kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed, F.col("text")).alias("u"), *kept))
     rows = sized.count()
     slices = max(8, math.isqrt(max(rows, 1)))
     goal = cut(targets(sized, weights, share, most))
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     goal = goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumnRenamed("source", "goal_source")
     ranked = sized.join(lookup(goal), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    u = uniform(F.col("doc_id"), seed)
+    u = F.col("u")
     rank = F.when(F.col("p") > 0, u / (1 - u) * (1 - F.col("p")) / F.col("p"))
     # Within a source the rank grows with u alone, so slices of u are slices of the rank.
     ranked = ranked.withColumn("rank", rank).withColumn("slice", F.floor(u * slices).cast("long"))
@@ -127,8 +127,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ranked = cut(ranked.withColumn("sampled", F.coalesce((F.col("rank").isNotNull()) & (F.col("upto") <= F.col("rest")), F.lit(False))))
     lacks = ranked.groupBy("source").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("sampled"), F.col("upto"))), F.lit(0))).alias("lack"))
     lacks = lacks.withColumnRenamed("source", "l_source")
-    if pass_over:
-        ranked, lacks = _passed_over(ranked, cut(lacks))
+    ranked, lacks = _passed_over(ranked, cut(lacks))
     open_rows = ranked.filter(~F.col("sampled") & F.col("rank").isNotNull() & (F.col("size") > 0))
     off = F.abs(F.col("size") - F.col("lack"))
     closing = (
@@ -147,12 +146,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def op4_pareto_mix(spark, sf_dir: str) -> DataFrame:
     from tidewrack.session import table
 
-    return mix(table(spark, sf_dir, "documents"), pass_over=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS weight
@@ -172,7 +172,7 @@ WITH sized AS (
   SELECT *, target - copies * source_size AS rest, CASE WHEN source_size > 0 THEN (target - copies * source_size) / source_size ELSE 0 END AS p FROM parts
 ), drawn AS (
   SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.copies, r.rest, r.p,
-         (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5('mix:' || s.name), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
 ), ranked AS (
   SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS rnk FROM drawn
@@ -181,14 +181,24 @@ WITH sized AS (
   WINDOW w AS (PARTITION BY source ORDER BY rnk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), flagged AS (
   SELECT *, coalesce(rnk IS NOT NULL AND upto <= rest, FALSE) AS sampled FROM summed
-), lacks AS (
+), first_lacks AS (
   SELECT source, any_value(rest) - coalesce(max(CASE WHEN sampled THEN upto END), 0) AS lack FROM flagged GROUP BY source
+), passed AS (  -- each round takes, along the rank, what of the documents that fit alone fits together; the others wait for the next
+  SELECT f.source, f.nth, f.size, l.lack, FALSE AS fits, 0 AS turn FROM flagged f JOIN first_lacks l ON f.source IS NOT DISTINCT FROM l.source
+  WHERE NOT f.sampled AND f.rnk IS NOT NULL AND f.size > 0
+  UNION ALL
+  SELECT source, nth, size, lack - max(CASE WHEN upto <= lack THEN upto ELSE 0 END) OVER (PARTITION BY source) AS lack, upto <= lack AS fits, turn + 1 AS turn
+  FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY nth) AS upto FROM passed WHERE NOT fits AND size <= lack)
+), lacks AS (
+  SELECT l.source, least(l.lack, coalesce(p.lack, l.lack)) AS lack FROM first_lacks l LEFT JOIN (SELECT source, arg_min(lack, -turn) AS lack FROM passed GROUP BY source) p ON l.source IS NOT DISTINCT FROM p.source
+), taken AS (
+  SELECT f.*, f.sampled OR p.nth IS NOT NULL AS drawn FROM flagged f LEFT JOIN (SELECT DISTINCT source, nth FROM passed WHERE fits) p ON f.source IS NOT DISTINCT FROM p.source AND f.nth = p.nth
 ), closing AS (
   SELECT f.source, f.nth, row_number() OVER (PARTITION BY f.source ORDER BY abs(f.size - l.lack), f.rnk, f.doc_id, f.size) AS k
-  FROM flagged f JOIN lacks l ON f.source IS NOT DISTINCT FROM l.source
-  WHERE NOT f.sampled AND f.rnk IS NOT NULL AND f.size > 0 AND abs(f.size - l.lack) < l.lack
+  FROM taken f JOIN lacks l ON f.source IS NOT DISTINCT FROM l.source
+  WHERE NOT f.drawn AND f.rnk IS NOT NULL AND f.size > 0 AND abs(f.size - l.lack) < l.lack
 )
 SELECT f.doc_id, f.size, f.source_size, f.target,
-       (f.size * (f.copies + CASE WHEN f.sampled OR c.nth IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM flagged f LEFT JOIN closing c ON f.source IS NOT DISTINCT FROM c.source AND f.nth = c.nth AND c.k = 1
+       (f.size * (f.copies + CASE WHEN f.drawn OR c.nth IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM taken f LEFT JOIN closing c ON f.source IS NOT DISTINCT FROM c.source AND f.nth = c.nth AND c.k = 1
 """
