@@ -175,11 +175,42 @@ WITH e AS (SELECT event_type AS term, list(value ORDER BY event_id) AS xs FROM e
 SELECT term, floor(list_reduce(list_prepend(0.0::DOUBLE, xs), lambda a, x: 0.25::DOUBLE * x + 0.75::DOUBLE * a) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS ewma FROM e
 """
 
+def stream_health(spark, sf_dir: str) -> DataFrame:
+    """Rings of counts, failures in a row and last successes, kept as state: events stand for runs of a source."""
+    status = F.when(F.col("event_id") % 5 == 0, "failed").when(F.col("event_id") % 7 == 0, "not-modified").otherwise("ok")
+    runs = incremental.event_stream(spark, sf_dir).select(F.col("event_type").alias("source_id"), "event_id", F.timestamp_micros(F.col("event_id")).alias("run_at"), status.alias("status"), F.floor("value").alias("n"))
+    found = incremental.run_to_table(incremental.health_ring(runs), "update", "health")
+    return found.select("source_id", F.array_join("recent", ",").alias("recent"), F.col("failures").cast("long").alias("failures"), F.col("last_success_us").alias("last_success"))
+
+
+STREAM_HEALTH = """
+WITH e AS (SELECT event_type AS source_id, event_id, event_id % 5 = 0 AS failed, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0 ELSE floor(value)::BIGINT END AS n FROM events),
+g AS (SELECT source_id, list(n ORDER BY event_id) AS ns, max(CASE WHEN NOT failed THEN event_id END) AS last_success FROM e GROUP BY 1)
+SELECT g.source_id, array_to_string(ns[greatest(1, len(ns) - 29):], ',') AS recent, (SELECT count(*) FROM e WHERE e.source_id = g.source_id AND e.event_id > g.last_success) AS failures, last_success FROM g
+"""
+
+
+def stream_repeats(spark, sf_dir: str) -> DataFrame:
+    """Users of a day whom a day of the week before had too: a stream against the table of what was delivered."""
+    day = F.to_date("ts")
+    delivered = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("item_id"), day.alias("digest_date"))
+    now = incremental.event_stream(spark, sf_dir).filter("event_type = 'click'").select(F.col("user_id").alias("item_id"), day.alias("digest_date"))
+    found = incremental.run_to_table(incremental.delivered_repeats(now, delivered), "append", "repeats")
+    return found.groupBy(F.col("digest_date").cast("string").alias("day"), "delivered_before").agg(F.count("*").alias("n"))
+
+
+STREAM_REPEATS = """
+WITH c AS (SELECT user_id, ts::DATE AS d FROM events WHERE event_type = 'click'), p AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events WHERE event_type = 'purchase')
+SELECT d::VARCHAR AS day, EXISTS (SELECT 1 FROM p WHERE p.user_id = c.user_id AND p.d < c.d AND p.d >= c.d - 7) AS delivered_before, count(*) AS n FROM c GROUP BY ALL
+"""
+
 QUERIES = {
     "feed_items": feed_items, "literature_items": literature_items, "trial_items": trial_items, "shape_reasons": shape_reasons, "enabled_sources": enabled_sources, "partition_overwrite": partition_overwrite,
     "digest_violations": digest_violations, "stream_weekly_counts": stream_weekly_counts, "stream_first_arrivals": stream_first_arrivals, "stream_links": stream_links, "stream_baseline": stream_baseline,
+    "stream_health": stream_health, "stream_repeats": stream_repeats,
 }
 SQL = {
     "feed_items": FEED_ITEMS, "literature_items": LITERATURE_ITEMS, "trial_items": TRIAL_ITEMS, "shape_reasons": SHAPE_REASONS, "enabled_sources": ENABLED_SOURCES, "partition_overwrite": PARTITION_OVERWRITE,
     "digest_violations": DIGEST_VIOLATIONS, "stream_weekly_counts": STREAM_WEEKLY_COUNTS, "stream_first_arrivals": STREAM_FIRST_ARRIVALS, "stream_links": STREAM_LINKS, "stream_baseline": STREAM_BASELINE,
+    "stream_health": STREAM_HEALTH, "stream_repeats": STREAM_REPEATS,
 }

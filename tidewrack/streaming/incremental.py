@@ -51,6 +51,31 @@ def smoothed(shares: DataFrame, alpha: float = 0.25) -> DataFrame:
     return shares.groupBy("term").applyInPandasWithState(update, "term string, ewma double", "ewma double", "update", "NoTimeout")
 
 
+def health_ring(runs: DataFrame, ring: int = 30) -> DataFrame:
+    """Source health as state: the last ``ring`` counts, failures in a row, the last success. ``runs``: source_id, run_at, status, n;
+    a run that failed or brought nothing new counts 0. One row a source whenever it has run."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        recent, failures, success = state.get if state.exists else ([], 0, None)
+        recent = list(recent)
+        for r in pd.concat(list(frames)).sort_values("run_at").itertuples(index=False):
+            recent = [*recent, 0 if r.status in ("failed", "not-modified") else int(r.n)][-ring:]
+            failures = failures + 1 if r.status == "failed" else 0
+            success = success if r.status == "failed" else int(r.run_at.value // 1000)
+        state.update((recent, failures, success))
+        yield pd.DataFrame({"source_id": [key[0]], "recent": [recent], "failures": [failures], "last_success_us": pd.array([success], "Int64")})
+
+    shape = "recent array<int>, failures int, last_success_us long"
+    return runs.groupBy("source_id").applyInPandasWithState(update, f"source_id string, {shape}", shape, "update", "NoTimeout")
+
+
+def delivered_repeats(items: DataFrame, delivered: DataFrame, days: int = 7) -> DataFrame:
+    """``items`` (item_id, digest_date), a stream, with delivered_before: whether a digest of the ``days`` before carried them. The static
+    side is sent to the days that may look back at it, so the join is on equal days."""
+    reach = delivered.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(days)), lambda k: F.date_add("digest_date", k))).alias("digest_date")).distinct()
+    return items.join(reach.withColumn("d_", F.lit(True)), ["item_id", "digest_date"], "left").withColumn("delivered_before", F.coalesce("d_", F.lit(False))).drop("d_")
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote. A batch overwrites what an earlier try of itself wrote,
     so a restart repeats nothing."""
