@@ -92,6 +92,12 @@ def shift(terms: DataFrame, most: int = 6, key: str = "week") -> DataFrame:
     return moved.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select(key, "term", "delta", "nth")
 
 
+def top_clusters(clusters: DataFrame, most: int = 5, key: str = "week") -> DataFrame:
+    """The clusters of several publishers that most of them cover. ``clusters``: week, cluster_id, publisher_count."""
+    order = Window.partitionBy(key).orderBy(F.col("publisher_count").desc(), "cluster_id")
+    return clusters.filter("publisher_count > 1").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+
+
 def co_occurrence(postings: DataFrame, key: str = "week") -> DataFrame:
     """week, a, b, shared: terms that occur on the same items. ``postings``: week, item_id, term."""
     left, right = postings.select(key, "item_id", F.col("term").alias("a")), postings.select(key, "item_id", F.col("term").alias("b"))

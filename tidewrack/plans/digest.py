@@ -283,16 +283,15 @@ def item_clusters(spark, sf_dir: str) -> DataFrame:
     return found.select("cluster_id", F.size("member_ids").cast("long").alias("members"), "lead_id", F.col("publisher_count").cast("long").alias("publisher_count"), "syndicated")
 
 
-ITEM_CLUSTERS = f"""
-WITH RECURSIVE {ITEMS_SQL}, {PAIRS_CTE}, edges AS (SELECT doc_a AS a, doc_b AS b FROM linked UNION SELECT doc_b, doc_a FROM linked),
+LABELS_CTE = """edges AS (SELECT doc_a AS a, doc_b AS b FROM linked UNION SELECT doc_b, doc_a FROM linked),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-label AS (SELECT a AS doc_id, least(a, min(b)) AS label FROM reach GROUP BY a),
-twin AS (SELECT DISTINCT doc_a AS doc_id FROM linked WHERE tj > 0.9)
-SELECT 'c_' || substr(sha256(string_agg(item_id, '|' ORDER BY item_id)), 1, 10) AS cluster_id, count(*) AS members,
+label AS (SELECT a AS doc_id, least(a, min(b)) AS label FROM reach GROUP BY a)"""
+CLUSTERS_CTE = f"""{LABELS_CTE}, twin AS (SELECT DISTINCT doc_a AS doc_id FROM linked WHERE tj > 0.9),
+found AS (SELECT 'c_' || substr(sha256(string_agg(item_id, '|' ORDER BY item_id)), 1, 10) AS cluster_id, count(*) AS members,
        arg_min(item_id, (-round(authority, 3), -(length(body) + 40 * len(keys)), item_id)) AS lead_id,
        CASE WHEN bool_or(t.doc_id IS NOT NULL) THEN 1 ELSE count(DISTINCT publisher_group) END::BIGINT AS publisher_count, bool_or(t.doc_id IS NOT NULL) AS syndicated
-FROM label l JOIN keyed k ON l.doc_id = k.doc_id LEFT JOIN twin t ON t.doc_id = l.doc_id GROUP BY l.label
-"""
+FROM label l JOIN keyed k ON l.doc_id = k.doc_id LEFT JOIN twin t ON t.doc_id = l.doc_id GROUP BY l.label)"""
+ITEM_CLUSTERS = f"WITH RECURSIVE {ITEMS_SQL}, {PAIRS_CTE}, {CLUSTERS_CTE} SELECT * FROM found"
 
 RULES = [
     watchlist.Rule("r1", "First", any=["that", "with"], deny=["hathat"], priority=True),
@@ -389,16 +388,26 @@ FROM f
 """
 
 
+#: Beginnings of titles and paths of URLs that items take in turn, by different numbers.
+BEGINNINGS = ("", "Author Correction: ", "Editorial: ", "News & Views: ", "Correctional ", "Retraction Note: ", "In this issue: ")
+PATHS = ("/a/", "/articles/d41586-026-0001-1/", "/articles/s41586-026-0001-1/", "/news/", "/newsletters/")
+
+
+def _titled(spark, sf_dir: str) -> DataFrame:
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs)).cast("int") + 1)
+    return items(spark, sf_dir).select("doc_id", F.concat(pick(BEGINNINGS), "title").alias("title"), F.concat(F.lit("https://x.com"), pick(PATHS), "item_id").alias("url"))
+
+
 def article_classes(spark, sf_dir: str) -> DataFrame:
-    """Counts of article classes over titles and URLs of each kind."""
-    k = (F.col("doc_id") % 6).cast("int") + 1
-    title = F.element_at(F.array(*[F.lit(x) for x in ("Author Correction: a title", "Editorial: a view", "A plain title", "News & Views: more", "A plain title", "A plain title")]), k)
-    url = F.element_at(F.array(*[F.lit(x) for x in ("https://x.com/a", "https://x.com/b", "https://x.com/articles/d41586-026-0001-1", "https://x.com/c", "https://x.com/articles/s41586-026-0001-1", "https://x.com/news/d")]), k)
-    return items(spark, sf_dir).groupBy(facts.article_class(title, url).alias("article_class")).agg(F.count("*").alias("n"))
+    """What kind of article each item is, by its title and URL."""
+    return _titled(spark, sf_dir).select("doc_id", facts.article_class(F.col("title"), F.col("url")).alias("article_class"))
 
 
 ARTICLE_CLASSES = f"""
-WITH {ITEMS_SQL} SELECT ['notice', 'news-comment', 'news-comment', 'news-comment', 'research', 'news-comment'][doc_id % 6 + 1] AS article_class, count(*) AS n FROM items GROUP BY 1
+WITH {ITEMS_SQL}, t AS (SELECT doc_id, [{', '.join(_q(x) for x in BEGINNINGS)}][doc_id % {len(BEGINNINGS)} + 1] || title AS title, 'https://x.com' || [{', '.join(_q(x) for x in PATHS)}][doc_id % {len(PATHS)} + 1] || item_id AS url FROM items)
+SELECT doc_id, CASE WHEN regexp_matches(title, {_q(patterns.NOTICE_TITLE)}) THEN 'notice'
+  WHEN regexp_matches(' ' || url, {_q(patterns.MAGAZINE_ID)}) OR regexp_matches(title, {_q(patterns.FRONT_MATTER_TITLE)}) OR regexp_matches(url, {_q(patterns.NEWS_PATH)}) THEN 'news-comment'
+  WHEN regexp_matches(' ' || url, {_q(patterns.JOURNAL_ID)}) THEN 'research' ELSE 'unknown' END AS article_class FROM t
 """
 
 
@@ -434,16 +443,20 @@ def summaries(spark, sf_dir: str) -> DataFrame:
 
 
 def siblings(spark, sf_dir: str) -> DataFrame:
-    """Other members of an item's cluster, and clusters that keep a member."""
-    d = items(spark, sf_dir)
-    groups = d.groupBy((F.col("doc_id") % 300).alias("c")).agg(F.collect_list("item_id").alias("member_ids")).select(F.col("c").cast("string").alias("cluster_id"), "member_ids")
-    kept = d.filter("source_kind = 'journal'").select("item_id")
+    """Other members of the clusters that journals' items are in."""
+    d = _keyed(spark, sf_dir).withColumn("body_length", F.length("body"))
+    groups = clusters.clusters(d, clusters.links(d)).filter(F.size("member_ids") > 1).select("cluster_id", "member_ids")
+    own = items(spark, sf_dir)
+    kept = own.filter("source_kind = 'journal'").select("item_id")
     pairs = digest.siblings(digest.kept_clusters(groups, kept), kept)
-    number = d.select("item_id", "doc_id")
+    number = own.select("item_id", "doc_id")
     return pairs.join(number, "item_id").join(number.toDF("sibling_id", "sibling"), "sibling_id").select("doc_id", "sibling")
 
 
-SIBLINGS = f"WITH {ITEMS_SQL} SELECT a.doc_id, b.doc_id AS sibling FROM items a JOIN items b ON a.doc_id % 300 = b.doc_id % 300 AND a.doc_id <> b.doc_id WHERE a.source_kind = 'journal'"
+SIBLINGS = f"""
+WITH RECURSIVE {ITEMS_SQL}, {PAIRS_CTE}, {LABELS_CTE}
+SELECT a.doc_id, b.doc_id AS sibling FROM label a JOIN label b ON a.label = b.label AND a.doc_id <> b.doc_id JOIN items i ON i.doc_id = a.doc_id WHERE i.source_kind = 'journal'
+"""
 
 QUERIES = {
     "lane_scores": lane_scores, "scored_items": scored_items, "age_gate": age_gate, "round_robin": round_robin, "lane_lists": lane_lists, "capped_selection": capped_selection,

@@ -83,12 +83,19 @@ SELECT source_id, pos, 'https://clinicaltrials.gov/study/NCT' || lpad(doc_id::VA
 
 
 def shape_reasons(spark, sf_dir: str) -> DataFrame:
-    """Pages where feeds or JSON were expected."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.col("html").alias("body"), F.when(F.col("page_id") % 2 == 0, "json").otherwise("xml").alias("expects"))
-    return landing.shape_reasons(p).groupBy(F.substring_index("reason", ":", 1).alias("reason")).agg(F.count("*").alias("n"))
-
-
-SHAPE_REASONS = "SELECT 'page instead of ' || CASE WHEN page_id % 2 = 0 THEN 'json' ELSE 'xml' END AS reason, count(*) AS n FROM pages WHERE html IS NOT NULL GROUP BY 1"
+    """Pages, and what is left of them after some characters, where feeds or JSON were expected."""
+    k = F.col("page_id")
+    body = F.when(k % 7 == 3, F.concat(F.lit("  "), F.expr("substr(html, 16)"))).when(k % 7 == 5, F.concat(F.lit("["), "html")).when(k % 7 == 6, F.expr("substr(html, 17)")).when(k % 31 == 0, "  ").otherwise(F.col("html"))
+    p = table(spark, sf_dir, "pages").select(k.cast("string").alias("source_id"), body.alias("body"), F.when(k % 2 == 0, "json").otherwise("xml").alias("expects"))
+    return landing.shape_reasons(p)
+
+
+SHAPE_REASONS = r"""
+WITH p AS (SELECT page_id::VARCHAR AS source_id, page_id % 2 = 0 AS json, CASE WHEN page_id % 7 = 3 THEN '  ' || substr(html, 16) WHEN page_id % 7 = 5 THEN '[' || html WHEN page_id % 7 = 6 THEN substr(html, 17) WHEN page_id % 31 = 0 THEN '  ' ELSE html END AS body FROM pages),
+h AS (SELECT *, lower(substr(ltrim(body), 1, 400)) AS head FROM p), s AS (SELECT *, regexp_matches(head, '^(<!doctype html|<html)') AS page, regexp_extract(head, '<title[^>]*>([^<]*)', 1) AS title FROM h),
+r AS (SELECT source_id, CASE WHEN trim(body) = '' THEN 'empty body' WHEN json AND NOT regexp_matches(head, '^[\[{]') THEN CASE WHEN page THEN 'page instead of json: ' || title ELSE 'not json' END
+  WHEN NOT json AND page THEN 'page instead of xml: ' || title WHEN NOT json AND NOT starts_with(head, '<') THEN 'not xml' END AS reason FROM s) SELECT * FROM r WHERE reason IS NOT NULL
+"""
 
 
 def enabled_sources(spark, sf_dir: str) -> DataFrame:

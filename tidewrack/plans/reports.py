@@ -56,16 +56,15 @@ WITH {s.RUNS_SQL} SELECT run_at::VARCHAR AS run_at, sum(n) > 0 AND count(*) FILT
 
 
 def top_clusters(spark, sf_dir: str) -> DataFrame:
-    """The five clusters that most publishers cover, a week."""
-    g = items(spark, sf_dir).groupBy(F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week"), (F.col("doc_id") % 33).alias("cluster"))
-    c = g.agg(F.countDistinct("publisher_group").alias("publishers"), F.max_by("doc_id", F.struct("authority", F.length("body"), "doc_id")).alias("lead"))
-    order = Window.partitionBy("week").orderBy(F.col("publishers").desc(), "cluster")
-    return c.filter("publishers > 1").withColumn("nth", F.row_number().over(order)).filter("nth <= 5").select("week", "cluster", "publishers", "lead", F.col("nth").cast("long").alias("nth"))
+    """The five clusters that most publishers cover, by the week of their lead."""
+    found = d.item_clusters(spark, sf_dir)
+    week = items(spark, sf_dir).select(F.col("item_id").alias("lead_id"), F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week"))
+    return rollup.top_clusters(found.join(week, "lead_id")).select("week", "cluster_id", "publisher_count", "lead_id", F.col("nth").cast("long").alias("nth"))
 
 
 TOP_CLUSTERS = f"""
-WITH {ITEMS_SQL}, c AS (SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, doc_id % 33 AS cluster, count(DISTINCT publisher_group) AS publishers, arg_max(doc_id, (authority, length(body), doc_id)) AS lead FROM items GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY publishers DESC, cluster) AS nth FROM c WHERE publishers > 1) SELECT * FROM r WHERE nth <= 5
+WITH RECURSIVE {ITEMS_SQL}, {d.PAIRS_CTE}, {d.CLUSTERS_CTE}, w AS (SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, f.* FROM found f JOIN items i ON f.lead_id = i.item_id WHERE publisher_count > 1),
+r AS (SELECT week, cluster_id, publisher_count, lead_id, row_number() OVER (PARTITION BY week ORDER BY publisher_count DESC, cluster_id) AS nth FROM w) SELECT * FROM r WHERE nth <= 5
 """
 
 
