@@ -31,7 +31,11 @@ def union_find(edges):
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 1), (1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(random.Random(5).randrange(60), random.Random(i).randrange(60)) for i in range(50)]])
 def test_components(spark, edges):
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    d = spark.createDataFrame(edges, "a long, b long")
+    found = {r.node: r.component for r in components(d, in_one=0).collect()}
+    assert found == {r.node: r.component for r in components(d).collect()}
+    named = d.selectExpr("lpad(a, 9, '0') a", "lpad(b, 9, '0') b")
+    assert {int(r.node): int(r.component) for r in components(named).collect()} == found
     assert found == {k: v for k, v in union_find([e for e in edges if e[0] != e[1]]).items()}
 
 

@@ -1,13 +1,17 @@
-"""Connected components by alternating stars: every step is a grouped minimum and a join, lineage is cut every round."""
+"""Connected components by alternating stars: every step is a grouped minimum and a join, lineage is cut every round. Edges
+counted to be few are joined in one task instead of many rounds of shuffles."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.session import cut
 
 MOST_ROUNDS = 60
+#: Distinct edges up to which one task holds them all: some tens of MB.
+IN_ONE = 200_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -28,12 +32,41 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def _joined(edges: DataFrame) -> DataFrame:
+    """node, component of a bounded number of edges, in one task."""
+
+    def apply(batches):
+        parent: dict = {}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.column("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "component"])
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(apply, f"node {kind}, component {kind}")
+
+
+def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS, in_one: int = IN_ONE) -> DataFrame:
     """node, component: the least node reachable, for every node on an edge. ``edges`` has a and b of one orderable type.
 
     Loops and repeated edges are fine; no edges give no rows. Rounds grow with the logarithm of the longest path.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.limit(in_one + 1).count() <= in_one:
+        return _joined(now)
     seen = None
     for _ in range(most_rounds):
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()

@@ -55,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Materialised tables after which what is no longer referred to is let go.
-RELEASE_EVERY = 6
+RELEASE_EVERY = 4
 _made = 0
 
 
