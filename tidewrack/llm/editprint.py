@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import nearcopies
 from tidewrack.operators.components import components
-from tidewrack.session import cut, lookup, stored
+from tidewrack.session import cut, lookup, release, stored
 
 SAMPLES = 64
 BAND = 4
@@ -164,6 +164,7 @@ def with_neighbours(docs: DataFrame, samples: int = SAMPLES, seed: int = 7) -> D
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: every document, its next
     in order of id, and its edited text, in which the start of the next document replaces the last half."""
     spark = docs.sparkSession
+    release(spark)  # texts of an earlier call may still lie in shuffle files
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / RANGE))
     walk = spark.sparkContext.broadcast(Walk(samples, seed))
 
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, band: int = BAND, width: int = nearcopies.W
     yet; hot keys go through their least set first. Equal sets, and texts without words, are alike.
     """
     found = _sets(docs, width, samples, seeds)
-    reps = nearcopies.distinct_sets(found, "print")
+    reps = nearcopies.distinct_sets(found)
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("print", b * band + 1, band)) for b in range(len(seeds) * samples // band)])
     keys = lambda rows: rows.select(F.explode(F.array_distinct(bands)).alias("gram"), "sid", "n", F.lit(0).cast("long").alias("place"), "label")
     none = reps.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)

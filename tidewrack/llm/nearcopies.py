@@ -147,27 +147,40 @@ def _named(sid, i, j) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], ["a", "b"])
 
 
-def _pairs(keyed: DataFrame, hot: int) -> DataFrame:
-    """a, b: pairs to verify between components; under hot keys those with the least set. ``keyed`` has gram, sid, n, place, label."""
-    columns = ["gram", "sid", "n", "place", "label"]
+def _pairs(keyed: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs to verify between components; under hot keys those with the least set. And gram: the hot keys of several
+    components. ``keyed`` has gram, sid, n, place, label; size and place travel as one number."""
+    columns = ["gram", "sid", "np", "label"]
 
     def apply(batches):
         for chunk in _grouped(batches, columns):
-            gram, sid, n, place, label = (c.astype(np.int64) for c in chunk)
+            fresh = np.ones(len(chunk[0]), bool)  # rows that repeat in full may stand for one set
+            fresh[1:] = (chunk[0][1:] != chunk[0][:-1]) | (chunk[1][1:] != chunk[1][:-1])
+            gram, sid, both, label = (c[fresh].astype(np.int64) for c in chunk)
+            n, place = both >> 32, both & 0xFFFFFFFF
             starts = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]))
-            left, right = [], []
+            left, right, hotter = [], [], []
             for g in np.flatnonzero(np.diff(starts) > 1).tolist():
                 lo, hi = int(starts[g]), int(starts[g + 1])
-                i, j = np.triu_indices(hi - lo, 1) if hi - lo <= hot else (np.zeros(hi - lo - 1, np.int64), np.arange(1, hi - lo))
+                if hi - lo <= hot:
+                    i, j = np.triu_indices(hi - lo, 1)
+                else:
+                    i, j = np.zeros(hi - lo - 1, np.int64), np.arange(1, hi - lo)
+                    if (label[lo:hi] != label[lo]).any():
+                        hotter.append(gram[lo])
                 left.append(i + lo)
                 right.append(j + lo)
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
                 ok = _possible(n, place, i, j) & (label[i] != label[j])
                 yield _named(sid, i[ok], j[ok])
+            if hotter:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(hotter)), pa.nulls(len(hotter), pa.int64())], ["a", "b"])
 
-    placed = keyed.select(*columns).repartition("gram").sortWithinPartitions("gram", "sid")
-    return cut(placed.mapInArrow(apply, "a long, b long").distinct())
+    packed = keyed.select("gram", "sid", (F.col("n") * (1 << 32) + F.col("place")).alias("np"), "label")
+    placed = packed.repartition("gram").sortWithinPartitions("gram", "sid")
+    found = cut(placed.mapInArrow(apply, "a long, b long").distinct())
+    return found.filter("b IS NOT NULL"), found.filter("b IS NULL").select(F.col("a").alias("gram"))
 
 
 def _pairs_of_hot(keyed: DataFrame) -> DataFrame:
@@ -216,7 +229,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
             i, j = np.arange(len(batch)), np.arange(len(batch)) + len(batch)
             yield batch.select(["a", "b"]).filter(pa.array(9 * _most(counts, n, i, j) >= 4 * (n[i] + n[j])))
 
-    counts = cut(reps.select("sid", "n", "counts").join(_asked(pairs), "sid", "left_semi"))
+    counts = cut(reps.select("sid", "n", "counts").join(_asked(pairs), "sid", "left_semi").dropDuplicates(["sid"]))
     pairs = cut(pairs.join(counts.toDF("a", "na", "ca"), "a").join(counts.toDF("b", "nb", "cb"), "b").mapInArrow(bounded, "a long, b long"))
 
     def made(batches):
@@ -248,28 +261,29 @@ def _by_fingerprint(reps: DataFrame, budget: int) -> DataFrame:
     return cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same))
 
 
-def distinct_sets(found: DataFrame, *more: str) -> DataFrame:
-    """sid, n, counts, digest, doc_id and the columns ``more``: one row a set of ``found`` that isn't empty. Copies count once."""
-    least = found.filter("n > 0").groupBy("sid").agg(F.min(F.struct("digest", "doc_id")).alias("r"), *[F.first(c).alias(c) for c in ("n", "counts", *more)])
-    return stored(least.select("sid", "n", "counts", *more, "r.digest", "r.doc_id"))
+def distinct_sets(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` that stand for their sets, none for empty ones. Copies count once; only sets that have copies are
+    looked at twice."""
+    own = found.filter("n > 0")
+    row = F.struct("digest", "doc_id")
+    many = own.groupBy("sid").agg(F.count("*").alias("rows"), F.min(row).alias("r")).filter("rows > 1").select("sid", "r")
+    return own.join(lookup(cut(many)), "sid", "left").filter(F.col("r").isNull() | row.eqNullSafe(F.col("r"))).drop("r")
 
 
 def completed(out: DataFrame, reps: DataFrame, keys: Callable[[DataFrame], DataFrame], docs: DataFrame, width: int, hot: int) -> DataFrame:
     """a, b: the verified links ``out`` and those that join their components under ``keys`` (gram, sid, n, place, label of the rows of
     ``reps`` with label). Two sets with a common key are linked, if alike, by a path at least."""
-    out = cut(out.union(_verified(_pairs(keys(_labels(out, reps)), hot), reps, docs, width)))
-    keyed = keys(_labels(out, reps))
-    hotter = keyed.groupBy("gram").agg(F.count("*").alias("rows"), F.min("label").alias("one"), F.max("label").alias("other")).filter((F.col("rows") > hot) & (F.col("one") != F.col("other")))
-    hotter = cut(hotter.select("gram"))
+    pairs, hotter = _pairs(keys(_labels(out, reps)), hot)
+    out = cut(out.union(_verified(pairs, reps, docs, width)))
     if not hotter.isEmpty():
-        left = keyed.join(lookup(hotter), "gram").join(reps.select("sid", "counts"), "sid")
+        left = keys(_labels(out, reps)).join(lookup(hotter), "gram").join(reps.select("sid", "counts").dropDuplicates(["sid"]), "sid")
         out = out.union(_verified(_pairs_of_hot(left), reps, docs, width))
     return out
 
 
 def links(found: DataFrame, docs: DataFrame, width: int = WIDTH, hot: int = HOT, budget: int = simhash.BITS) -> DataFrame:
     """a, b: links that connect the sets ``found`` of ``docs`` exactly as all pairs of similarity 0.8 do."""
-    reps = distinct_sets(found, "fp", "first")
+    reps = distinct_sets(found)
     prefixes = lambda rows: rows.select("sid", "n", "label", F.posexplode("first").alias("place", "gram"))
     return completed(_verified(_by_fingerprint(reps, budget), reps, docs, width), reps, prefixes, docs, width, hot)
 

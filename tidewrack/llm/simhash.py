@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.rows import OTHERS, shielded
+from tidewrack.llm.rows import OTHERS, shielded, slices
 from tidewrack.operators.components import components
 from tidewrack.session import cut, lookup
 
@@ -61,7 +61,7 @@ def with_fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, digest (of the text), fp, the fingerprint as a signed long: one row for every row of ``docs``."""
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(found, pa.int64())], ["doc_id", "digest", "fp"])
 
@@ -207,16 +207,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BITS) -
 
 def one_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each label in ``labelled`` (doc_id, digest, label) the smallest doc_id, a null one
-    last, then the smallest digest of the text; of rows equal in both, one. Texts move once."""
-    heads = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("h"))
+    last, then the smallest digest of the text; of rows equal in both, one. Texts don't move if few rows go, else once."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    heads = labelled.groupBy("label").agg(F.min(order).alias("h"))
+    keyed = labelled.groupBy("doc_id", "digest").agg(F.first("label").alias("label"), F.count("*").alias("rows")).join(heads, "label")
+    # What goes as a whole, and what stays once of several rows.
+    odd = cut(keyed.select(F.col("doc_id").alias("o_id"), F.col("digest").alias("o_digest"), (order == F.col("h")).alias("stays"), "rows").filter("NOT stays OR rows > 1"))
     key = lambda i, d: F.xxhash64(i.isNull(), i, d)
-    heads = cut(heads.select(F.col("h.doc_id").alias("h_id"), F.col("h.digest").alias("h_digest"), key(F.col("h.doc_id"), F.col("h.digest")).alias("h_key")))
+    odd = lookup(odd.withColumn("o_key", key(F.col("o_id"), F.col("o_digest"))))
     rows, restored = shielded(docs, "doc_id", "text")
     rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("key", key(F.col("doc_id").cast("long"), F.col("digest")))
-    # Join and window deal the texts out by one key.
-    kept = rows.join(heads, (F.col("key") == F.col("h_key")) & (F.col("digest") == F.col("h_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("h_id")), "left_semi")
+    same = (F.col("key") == F.col("o_key")) & (F.col("digest") == F.col("o_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("o_id"))
+    left = rows.join(odd, same, "left").filter(F.coalesce("stays", F.lit(True)))
     nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.xxhash64(OTHERS)))
-    return restored(kept.withColumn("nth", nth).filter("nth = 1"))
+    once = left.filter(F.col("rows").isNotNull()).withColumn("nth", nth).filter("nth = 1").drop("nth")
+    return restored(left.filter(F.col("rows").isNull()).union(once))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, budget: int = BITS) -> DataFrame:
