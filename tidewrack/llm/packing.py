@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.llm.rows import slices
 from tidewrack.session import cut, lookup
 
 SIZE = 2048
@@ -36,7 +37,7 @@ GROUPS = 48
 SMALL = (4, 3, 2)
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; as many again from before, as long as they are met again.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
 
     def apply(batches):
         words = _words(tokenizer or default_tokenizer())
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = words.ids(text or "") + end
