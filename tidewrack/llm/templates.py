@@ -128,7 +128,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("digest", F.xxhash64("text"))
     keyed = docs.select("doc_id", "text", "digest")
     lines = stored(candidate_lines(keyed))
-    gone = lines.join(recurring(keyed, lines), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
+    gone = lines.join(lookup(cut(recurring(keyed, lines))), ["leaf", "line"]).filter(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     by_document = gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"), "gone")
     joined = docs.join(by_document, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest")), "left")
     raw = F.split(F.col("text"), "\n", -1)
