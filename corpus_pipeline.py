@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import language, mixing, nearcopies, packing, templates
 from tidewrack.llm.rows import OTHERS, shielded
-from tidewrack.session import stored, table
+from tidewrack.session import forget, stored, table, tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), tables()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs)
+            forget(spark, mark, docs)  # what the stages so far have made on the way
     return docs
