@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tidewrack import session
 from tidewrack.llm import nearcopies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,3 +62,34 @@ def test_odd_near_copies(spark):
     rows = [(1, "a b", "en", "a", 1), (1, "a b", "en", "a", 1), (None, "x y z", None, None, None), (None, "x y z", "de", None, None), (2, None, None, "b", None), (3, "", "en", "a", 0)]
     for given, many in ((rows, 3), ([], 0)):
         assert nearcopies.keep_one(spark.createDataFrame(given, DOCS)).count() == many
+
+
+def moves_of(df, column):
+    """The exchanges of a plan that has not run yet and that ``column`` goes through."""
+
+    def below(node):
+        node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        own = int(node.nodeName() == "Exchange" and f"{column}#" in node.output().toString())
+        return own + sum(below(node.children().apply(i)) for i in range(node.children().size()))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_move_once_where_many_rows_go(spark, monkeypatch):
+    """Lookups too large to be sent: the same rows stay, and no table and no second move of the texts is left behind."""
+    rows = [(i, t, "en", f"s{i % 3}", i) for i, t in enumerate(texts())]
+    rows += [rows[0], (0, rows[0][1], "de", "other", None), (None, rows[3][1], "en", None, 1), (None, "x y z", None, None, None), (None, "x y z", "de", "a", 2), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    few = sorted(map(tuple, nearcopies.keep_one(docs).collect()), key=repr)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for module in (simhash, nearcopies):
+            monkeypatch.setattr(module, "lookup", lambda df: df)
+        mark = session.tables()
+        kept = nearcopies.keep_one(docs)
+        assert moves_of(kept, "text") == 1
+        assert sorted(map(tuple, kept.collect()), key=repr) == few
+        assert session.tables() == mark
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -28,7 +28,7 @@ from tidewrack.llm import simhash
 from tidewrack.llm.rows import slices
 from tidewrack.llm.simhash import _LOWER
 from tidewrack.operators.components import components
-from tidewrack.session import cut, lookup, stored
+from tidewrack.session import cut, forget, lookup, release, stored, tables
 
 WIDTH = 5
 #: Sets of a key that are paired at once.
@@ -221,6 +221,7 @@ def _asked(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs whose sets are alike. Parts of the hashes bound what two sets share, so few sets are made again from texts."""
+    mark = tables()
 
     def bounded(batches):
         for batch in batches:
@@ -239,11 +240,15 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
 
     one = reps.join(_asked(pairs), "sid", "left_semi").select("sid", F.col("digest").alias("r_digest"), F.col("doc_id").alias("r_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.xxhash64("text"))
-    rows = rows.join(lookup(cut(one)), (F.col("digest") == F.col("r_digest")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    one = lookup(cut(one))
+    release(docs.sparkSession)  # texts that an earlier step has moved may still lie in shuffle files
+    rows = rows.join(one, (F.col("digest") == F.col("r_digest")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     known = stored(rows.select("sid", "text").mapInArrow(made, "sid long, grams array<long>").dropDuplicates(["sid"]))
     both = pairs.join(known.toDF("a", "ga"), "a").join(known.toDF("b", "gb"), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return cut(both.filter(9 * shared >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b"))
+    alike = cut(both.filter(9 * shared >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b"))
+    forget(docs.sparkSession, mark, alike)
+    return alike
 
 
 def _labels(links: DataFrame, reps: DataFrame) -> DataFrame:
@@ -303,4 +308,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFram
 
 def keep_one(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays, a null one last."""
-    return simhash.one_of_each(docs, _labelled(docs, width, hot))
+    mark = tables()
+    labelled = cut(_labelled(docs, width, hot))
+    forget(docs.sparkSession, mark, labelled)  # sets are several times as wide
+    return simhash.one_of_each(docs, labelled)

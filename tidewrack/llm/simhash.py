@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.rows import OTHERS, shielded, slices
 from tidewrack.operators.components import components
-from tidewrack.session import cut, lookup
+from tidewrack.session import cut, lookup, release
 
 SHINGLE = 3
 BITS = 2
@@ -211,17 +211,23 @@ def one_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     heads = labelled.groupBy("label").agg(F.min(order).alias("h"))
     keyed = labelled.groupBy("doc_id", "digest").agg(F.first("label").alias("label"), F.count("*").alias("rows")).join(heads, "label")
-    # What goes as a whole, and what stays once of several rows.
-    odd = cut(keyed.select(F.col("doc_id").alias("o_id"), F.col("digest").alias("o_digest"), (order == F.col("h")).alias("stays"), "rows").filter("NOT stays OR rows > 1"))
     key = lambda i, d: F.xxhash64(i.isNull(), i, d)
-    odd = lookup(odd.withColumn("o_key", key(F.col("o_id"), F.col("o_digest"))))
+    # What goes as a whole, and what stays once of several rows; all of one key in a row.
+    odd = keyed.select(key(F.col("doc_id"), F.col("digest")).alias("o_key"), F.struct("doc_id", "digest", (order == F.col("h")).alias("stays"), "rows").alias("o")).filter("NOT o.stays OR o.rows > 1")
+    odd = cut(odd.groupBy("o_key").agg(F.collect_list("o").alias("odd")))
+    release(docs.sparkSession)  # texts that were moved to find the labels may still lie in shuffle files
+    small = lookup(odd)
     rows, restored = shielded(docs, "doc_id", "text")
-    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("key", key(F.col("doc_id").cast("long"), F.col("digest")))
-    same = (F.col("key") == F.col("o_key")) & (F.col("digest") == F.col("o_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("o_id"))
-    left = rows.join(odd, same, "left").filter(F.coalesce("stays", F.lit(True)))
-    nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.xxhash64(OTHERS)))
-    once = left.filter(F.col("rows").isNotNull()).withColumn("nth", nth).filter("nth = 1").drop("nth")
-    return restored(left.filter(F.col("rows").isNull()).union(once))
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("l_id", F.col("doc_id").cast("long")).withColumn("key", key(F.col("l_id"), F.col("digest")))
+    own = F.filter("odd", lambda o: (o["digest"] == F.col("digest")) & o["doc_id"].eqNullSafe(F.col("l_id")))
+    left = rows.join(small, F.col("key") == F.col("o_key"), "left").withColumn("own", F.get(own, F.lit(0))).drop("odd")
+    left = left.filter(F.coalesce("own.stays", F.lit(True)))
+    # By key first: rows that were dealt out by it for the join are not moved again.
+    nth = F.row_number().over(Window.partitionBy("key", "l_id", "digest").orderBy(F.xxhash64(OTHERS)))
+    if small is odd:
+        return restored(left.withColumn("nth", nth).filter("nth = 1"))
+    once = left.filter("own.rows IS NOT NULL").withColumn("nth", nth).filter("nth = 1").drop("nth")
+    return restored(left.filter("own.rows IS NULL").union(once))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, budget: int = BITS) -> DataFrame:
