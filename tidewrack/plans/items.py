@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import FOLD_FROM, FOLD_TO
@@ -17,12 +17,16 @@ LEXICON = {
 }
 
 
+def published_at(doc_id: Column) -> Column:
+    return F.timestamp_micros((F.lit(1785542400) + doc_id * 2220) * 1_000_000)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, arrival_pos, title, body, url, item_id, source_id, publisher_group, source_kind, authority, published_at, day."""
     d = spread(table(spark, sf_dir, "documents")).filter(F.col("text").isNotNull() & F.col("source").isNotNull())
     n = F.substring("source", 4, 9).cast("int")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    at = F.timestamp_micros((F.lit(1785542400) + F.col("doc_id") * 2220) * 1_000_000)
+    at = published_at(F.col("doc_id"))
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), (F.col("doc_id") % 400).cast("string"))
     return d.select(
         "doc_id",
