@@ -33,3 +33,22 @@ def document_rows(sql, where):
 def test_entries_of_later_years_keep_their_dates(spark, tmp_path, name):
     where = write(tmp_path, LATE)
     assert spark_rows(QUERIES[name](spark, where)) == document_rows(SQL[name], where)
+
+
+ODD = [
+    *[(i, " ".join(("the", "of the", "que", "und", "zoo")[(i * k) % 5] for k in range(1, 1 + i % 40)) + " end", f"src{i % 4}") for i in range(90)],
+    (90, "", "src1"), (91, " \n\t ", "src1"), (92, "İn the", "src2"), (None, "of the", "src1"), (None, "", "src2"), (93, None, "src1"), (94, "the", None), (-7, "in der", "src3"), (114_000_000, "die und", "src3"),
+]
+
+
+@pytest.mark.parametrize("name", ["drop_counts", "lane_lists", "round_robin", "lane_scores"])
+def test_blank_texts_null_ids_and_far_days_are_as_in_the_sql(spark, tmp_path, name):
+    where = write(tmp_path, ODD)
+    assert spark_rows(QUERIES[name](spark, where)) == document_rows(SQL[name], where)
+
+
+def test_the_end_of_a_long_text_ranks_items_too(spark, tmp_path):
+    where = write(tmp_path, [(0, "one " * 500 + "und die in der", "src1"), (1, "one " * 500, "src1")])
+    found = {r.doc_id: (r.primary_lane, r.score) for r in QUERIES["round_robin"](spark, where).collect()}
+    assert found[0][0] == "aging-omics" and found[0][1] > 0 and found[1][1] == 0
+    assert spark_rows(QUERIES["lane_lists"](spark, where)) == document_rows(SQL["lane_lists"], where)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewrack import config
 from tidewrack.functions.dates import age_hours
-from tidewrack.functions.text import count_term, floor_round
+from tidewrack.functions.text import count_term, floor_round, lower
 
 HEAD = 1200
 
@@ -21,12 +21,13 @@ def term_hits(low_title: Column, low_body: Column, terms: dict[str, float]) -> C
     return F.transform(hits, lambda x: F.struct(x["term"].alias("term"), gain(x).alias("gain")))
 
 
-def lane_scores(items: DataFrame, lexicon: dict[str, dict[str, float]] | None = None, hints: dict[str, Column] | None = None, saturation: float = config.SATURATION) -> DataFrame:
+def lane_scores(items: DataFrame, lexicon: dict[str, dict[str, float]] | None = None, hints: dict[str, Column] | None = None, saturation: float = config.SATURATION, head: int | None = HEAD) -> DataFrame:
     """``items`` (title, body) with lanes: array of struct(order, lane, score, matched), in fixed order. A lane's score is the
     saturated sum of its terms' gains; the first 8 terms found are the evidence. A source's hint for a lane adds a quarter of
-    itself, up to 1. Lower-cased text and hits are columns of their own, so each is worked out once."""
+    itself, up to 1. Terms count in the first ``head`` characters of a body, or in all of it if that is None. Lower-cased text and hits are columns of their own, so each is worked out once."""
     lexicon, hints = lexicon or config.LANE_TERMS, hints or {}
-    low = items.withColumns({"low_title_": F.lower(F.coalesce("title", F.lit(""))), "low_body_": F.lower(F.substring(F.coalesce("body", F.lit("")), 1, HEAD))})
+    body = F.coalesce("body", F.lit(""))
+    low = items.withColumns({"low_title_": lower(F.coalesce("title", F.lit(""))), "low_body_": lower(body if head is None else F.substring(body, 1, head))})
     hit = low.withColumns({f"hits_{i}_": term_hits(F.col("low_title_"), F.col("low_body_"), terms) for i, terms in enumerate(lexicon.values())})
     lanes = []
     for i, lane in enumerate(lexicon):
