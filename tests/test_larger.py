@@ -52,3 +52,11 @@ def test_the_end_of_a_long_text_ranks_items_too(spark, tmp_path):
     found = {r.doc_id: (r.primary_lane, r.score) for r in QUERIES["round_robin"](spark, where).collect()}
     assert found[0][0] == "aging-omics" and found[0][1] > 0 and found[1][1] == 0
     assert spark_rows(QUERIES["lane_lists"](spark, where)) == document_rows(SQL["lane_lists"], where)
+
+
+def test_the_text_of_shingles_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidewrack.functions.text import shingles, tokenize
+
+    assert str(shingles(tokenize(F.col("title"), keep_stopwords=True))).count("regexp_replace") == str(tokenize(F.col("title"), keep_stopwords=True)).count("regexp_replace")

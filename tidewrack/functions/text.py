@@ -35,7 +35,7 @@ def squish(c: Column) -> Column:
 
 def lower(c: Column) -> Column:
     """Lower case, one letter for one: a dotted capital I becomes i, without the mark that the JVM leaves."""
-    return F.lower(F.when(F.contains(c, F.lit("İ")), F.translate(c, "İ", "i")).otherwise(c))
+    return F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
 
 
 def fold(c: Column) -> Column:
@@ -62,9 +62,14 @@ def normalize_title(c: Column) -> Column:
 
 def shingles(tokens: Column, n: int = 3) -> Column:
     """The distinct runs of n characters of the tokens joined by spaces."""
-    text = F.array_join(tokens, " ")
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+
+
+    def runs(text: Column) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+
+    # Bound as the one element of an array, or the text would be made anew for every run.
+    return F.element_at(F.transform(F.array(F.array_join(tokens, " ")), runs), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

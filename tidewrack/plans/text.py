@@ -70,7 +70,12 @@ def title_similarity(spark, sf_dir: str) -> DataFrame:
     ahead = t.select("doc_id", "s", F.explode(F.array(F.lit(1), F.lit(7))).alias("step"))
     other = t.select(F.col("doc_id").alias("other_id"), F.col("s").alias("o"))
     pairs = ahead.join(other, F.col("doc_id") + F.col("step") == F.col("other_id"))
-    return pairs.select("doc_id", "other_id", text.floor_round(text.jaccard(F.col("s"), F.col("o")), 6).alias("jaccard"), text.floor_round(text.dice(F.col("s"), F.col("o")), 6).alias("dice"), text.floor_round(text.overlap(F.col("s"), F.col("o")), 6).alias("overlap"))
+    # What both share is counted once for the three measures.
+    pairs = pairs.select("doc_id", "other_id", F.size("s").alias("n"), F.size("o").alias("m"), F.size(F.array_intersect("s", "o")).alias("k"))
+    n, m, k, none = F.col("n"), F.col("m"), F.col("k"), (F.col("n") == 0) | (F.col("m") == 0)
+    jaccard, dice = F.when(none, 0.0).otherwise(k / (n + m - k)), F.when(none, 0.0).otherwise(k * 2 / (n + m))
+    overlap = k / F.greatest(F.lit(1), F.least(n, m))
+    return pairs.select("doc_id", "other_id", *[text.floor_round(c, 6).alias(name) for name, c in (("jaccard", jaccard), ("dice", dice), ("overlap", overlap))])
 
 
 TITLE_SIMILARITY = f"""
