@@ -17,53 +17,63 @@ from tidewrack.extract import patterns as P
 from tidewrack.functions.text import sentence_around, squish
 
 #: JSON schema of what ``measures`` finds.
-MEASURES = "results array<struct<metric:string,value:string,verbatim:string>>, deal struct<type:string,upfront_usd_m:double,total_usd_m:double,round:string,currency:string,verbatim:string>"
+MEASURES = "results array<struct<metric:string,value:string,verbatim:string>>, deal struct<type:string,upfront_usd_m:double,total_usd_m:double,round:string,currency:string,verbatim:string>, hints long"
 
 
-def found(text: Column, pattern: str) -> Column:
-    return text.rlike(P.ascii(pattern))
+def hints(text: Column) -> Column:
+    """What ``patterns.hints`` finds, a number; a column of its own, so that a text is looked through once for all patterns."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: P.hints(t or "")), "long")(text)
 
 
-def first_match(text: Column, pattern: str, group: int = 0) -> Column:
+def may(pattern: str, hinted: Column | None = None) -> Column:
+    """Whether a text holds what the pattern can't match without; ``hinted`` comes from ``hints``."""
+    return F.lit(True) if hinted is None else hinted.bitwiseAND(F.lit(1 << P.HINTED.index(pattern)).cast("long")) != 0
+
+
+def found(text: Column, pattern: str, hinted: Column | None = None) -> Column:
+    return F.when(may(pattern, hinted), text.rlike(P.ascii(pattern))).otherwise(text.isNull() & F.lit(None).cast("boolean"))
+
+
+def first_match(text: Column, pattern: str, group: int = 0, hinted: Column | None = None) -> Column:
     """Null if there is none."""
-    value = F.regexp_extract(text, P.ascii(pattern), group)
-    return F.when(value != "", value)
+    return F.when(may(pattern, hinted), F.nullif(F.regexp_extract(text, P.ascii(pattern), group), F.lit("")))
 
 
-def nct_ids(text: Column, known: Column | None = None, most: int = 3) -> Column:
-    own = F.transform(F.regexp_extract_all(text, F.lit(P.ascii(P.NCT)), 0), lambda m: F.upper(F.regexp_replace(m, r"\s", "")))
+def nct_ids(text: Column, known: Column | None = None, most: int = 3, hinted: Column | None = None) -> Column:
+    all_ = F.when(may(P.NCT, hinted), F.regexp_extract_all(text, F.lit(P.ascii(P.NCT)), 0)).when(text.isNotNull(), F.array().cast("array<string>"))
+    own = F.transform(all_, lambda m: F.upper(F.regexp_replace(m, r"\s", "")))
     return F.slice(F.array_distinct(F.concat(F.coalesce(known, F.array().cast("array<string>")), own) if known is not None else own), 1, most)
 
 
-def phase(text: Column) -> Column:
-    return squish(first_match(text, P.PHASE))
+def phase(text: Column, hinted: Column | None = None) -> Column:
+    return squish(first_match(text, P.PHASE, hinted=hinted))
 
 
-def enrollment(text: Column) -> Column:
-    return F.regexp_replace(first_match(text, P.ENROLLED, 1), ",", "").try_cast("int")
+def enrollment(text: Column, hinted: Column | None = None) -> Column:
+    return F.regexp_replace(first_match(text, P.ENROLLED, 1, hinted), ",", "").try_cast("int")
 
 
-def outcome(text: Column) -> Column:
+def outcome(text: Column, hinted: Column | None = None) -> Column:
     """Both a hit and a miss are 'mixed'."""
-    hit, miss = found(text, P.HIT), found(text, P.MISS)
+    hit, miss = found(text, P.HIT, hinted), found(text, P.MISS, hinted)
     return F.when(hit & miss, "mixed").when(hit, "met").when(miss, "missed")
 
 
-def regulatory(text: Column) -> Column:
+def regulatory(text: Column, hinted: Column | None = None) -> Column:
     """Up to 4 of struct(agency, action, verbatim), distinct by agency and action."""
 
     def fact(pattern: str, agency: Column, action: Column) -> Column:
-        at = F.regexp_instr(text, F.lit(P.ascii(pattern)))
+        at = F.when(may(pattern, hinted), F.regexp_instr(text, F.lit(P.ascii(pattern)))).otherwise(0)
         return F.when(at > 0, F.struct(agency.alias("agency"), action.alias("action"), sentence_around(text, at - 1).alias("verbatim")))
 
-    approved = first_match(text, P.APPROVAL)
+    approved = first_match(text, P.APPROVAL, hinted=hinted)
     agency = F.when(approved.rlike("(?i)EMA|CHMP|European"), "EMA").when(approved.rlike("(?i)MHRA"), "MHRA").otherwise("FDA")
     fda = F.lit("FDA")
     facts = F.array(
         fact(P.APPROVAL, agency, F.lit("approval")),
         fact(P.RESPONSE_LETTER, fda, F.lit("complete response letter")),
-        fact(P.FILING, fda, F.concat(F.lit("filing ("), first_match(text, P.FILING), F.lit(")"))),
-        fact(P.DESIGNATION, fda, F.lower(first_match(text, P.DESIGNATION))),
+        fact(P.FILING, fda, F.concat(F.lit("filing ("), first_match(text, P.FILING, hinted=hinted), F.lit(")"))),
+        fact(P.DESIGNATION, fda, F.lower(first_match(text, P.DESIGNATION, hinted=hinted))),
         fact(P.COMMITTEE, fda, F.lit("advisory committee")),
     )
     facts = F.filter(facts, lambda f: f.isNotNull())
@@ -71,13 +81,13 @@ def regulatory(text: Column) -> Column:
     return F.slice(F.filter(facts, lambda f, i: F.array_position(names, F.concat_ws(":", f["agency"], f["action"])) == i + 1), 1, 4)
 
 
-def evidence_level(text: Column) -> Column:
-    bench = F.when(found(text, P.IN_VITRO) & ~found(text, P.ANIMAL), "in-vitro").otherwise("preclinical")
-    return F.when(found(text, P.PRECLINICAL), bench).when(found(text, P.CLINICAL), "clinical").when(found(text, P.REVIEW), "review").otherwise("unknown")
+def evidence_level(text: Column, hinted: Column | None = None) -> Column:
+    bench = F.when(found(text, P.IN_VITRO, hinted) & ~found(text, P.ANIMAL, hinted), "in-vitro").otherwise("preclinical")
+    return F.when(found(text, P.PRECLINICAL, hinted), bench).when(found(text, P.CLINICAL, hinted), "clinical").when(found(text, P.REVIEW, hinted), "review").otherwise("unknown")
 
 
-def non_mammalian(text: Column) -> Column:
-    return found(text, P.NON_MAMMALIAN) & ~found(text, P.HUMAN)
+def non_mammalian(text: Column, hinted: Column | None = None) -> Column:
+    return found(text, P.NON_MAMMALIAN, hinted) & ~found(text, P.HUMAN, hinted)
 
 
 def article_class(title: Column, url: Column, doi: Column | None = None) -> Column:
@@ -91,7 +101,7 @@ def article_class(title: Column, url: Column, doi: Column | None = None) -> Colu
     )
 
 
-_COMPILED = {n: re.compile(P.ascii(getattr(P, n))) for n in ("RESPONSE", "MEDIAN", "HAZARD", "P_VALUE", "MONEY", "UPFRONT", "MILESTONE", "ROUND", "OFFERING", "MERGER", "ACQUIRED_TRAIT", "ACQUIRES", "LICENSE")}
+_COMPILED = {n: P.Guarded(getattr(P, n)) for n in ("RESPONSE", "MEDIAN", "HAZARD", "P_VALUE", "MONEY", "UPFRONT", "MILESTONE", "ROUND", "OFFERING", "MERGER", "ACQUIRED_TRAIT", "ACQUIRES", "LICENSE")}
 # How a median's name begins or what it holds, and its metric.
 _METRICS = (("pfs", "PFS"), ("progression", "PFS"), ("os", "OS"), ("overall", "OS"), ("dor", "DOR"), ("duration", "DOR"))
 
@@ -154,33 +164,34 @@ def deal(text: str, has_company: bool) -> dict | None:
 
 
 def _measured(texts: pd.Series, has_company: pd.Series) -> pd.DataFrame:
-    rows = [{"results": trial_results(t or ""), "deal": deal(t or "", bool(h))} for t, h in zip(texts, has_company, strict=True)]
-    return pd.DataFrame(rows, columns=["results", "deal"])
+    rows = [{"results": trial_results(t or ""), "deal": deal(t or "", bool(h)), "hints": P.hints(t or "")} for t, h in zip(texts, has_company, strict=True)]
+    return pd.DataFrame(rows, columns=["results", "deal", "hints"])
 
 
 def measures(text: Column, has_company: Column) -> Column:
-    """struct(results, deal) of a text."""
+    """struct(results, deal, hints) of a text."""
     return F.pandas_udf(_measured, MEASURES)(text, has_company)
 
 
-def events(text: Column, facts: dict[str, Column], major_journal: Column, preprint: Column) -> Column:
+def events(text: Column, facts: dict[str, Column], major_journal: Column, preprint: Column, hinted: Column | None = None) -> Column:
     """Event names of an item, distinct. ``facts``: regulatory, outcome, phase, deal."""
     action = F.transform(facts["regulatory"], lambda f: F.when(f["action"] == "approval", "approval").when(f["action"].contains("complete response"), "crl").when(f["action"].startswith("filing"), "filing").otherwise("designation"))
-    third = F.coalesce(facts["phase"], F.lit("")).rlike(r"(?i)phase\s?(3|III)") | text.rlike(r"(?i)phase\s?(3|III)")
+    named = F.when(may(P.HUMAN, hinted), text.rlike(r"(?i)phase\s?(3|III)")).otherwise(False)
+    third = F.coalesce(facts["phase"], F.lit("")).rlike(r"(?i)phase\s?(3|III)") | named
     d = facts["deal"]
     size = F.greatest(F.coalesce(d["total_usd_m"], F.lit(0.0)), F.coalesce(d["upfront_usd_m"], F.lit(0.0)))
     large = lambda kind, name: F.when(size >= config.LARGE_DEAL_USD_M[kind], f"{name}-large").otherwise(name)
     dealt = F.when(d["type"] == "M&A", large("ma", "ma")).when(d["type"] == "license", large("license", "license")).when(d["type"] == "IPO", "ipo").when(d.isNotNull(), large("financing", "financing"))
     flags = F.array(
         F.when(facts["outcome"].isNotNull(), F.when(third, "phase3-readout").otherwise("phase-readout")),
-        F.when(found(text, P.SAFETY), "safety-hold"),
+        F.when(found(text, P.SAFETY, hinted), "safety-hold"),
         dealt,
-        F.when(found(text, P.DISTRESS), "distress"),
-        F.when(found(text, P.PERSONNEL), "personnel"),
-        F.when(found(text, P.OPINION), "opinion"),
+        F.when(found(text, P.DISTRESS, hinted), "distress"),
+        F.when(found(text, P.PERSONNEL, hinted), "personnel"),
+        F.when(found(text, P.OPINION, hinted), "opinion"),
         F.when(major_journal, "major-journal-primary"),
         F.when(preprint, "preprint"),
-        F.when(found(text, P.PHASE_3_START), "phase3-start"),
+        F.when(found(text, P.PHASE_3_START, hinted), "phase3-start"),
     )
     return F.array_distinct(F.filter(F.concat(action, flags), lambda e: e.isNotNull()))
 
@@ -190,9 +201,9 @@ def extract(items: DataFrame, major: Collection[str] = config.MAJOR_JOURNALS) ->
     ``major`` sources, unless they are notices or comments, earn the event of a major journal."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("body", F.lit("")))
     out = items.withColumn("text_", text).withColumn("m_", measures(F.col("text_"), F.col("has_company")))
-    t = F.col("text_")
-    out = out.withColumns({"phase": phase(t), "enrollment": enrollment(t), "outcome": outcome(t), "regulatory": regulatory(t), "evidence_level": evidence_level(t), "non_mammalian": non_mammalian(t)})
-    out = out.withColumns({"nct": nct_ids(t, F.col("nct_ids")), "results": F.col("m_.results"), "deal": F.col("m_.deal"), "article_class": article_class(F.col("title"), F.col("canonical_url"), F.col("doi"))})
+    t, hinted = F.col("text_"), F.col("m_.hints")
+    out = out.withColumns({"phase": phase(t, hinted), "enrollment": enrollment(t, hinted), "outcome": outcome(t, hinted), "regulatory": regulatory(t, hinted), "evidence_level": evidence_level(t, hinted), "non_mammalian": non_mammalian(t, hinted)})
+    out = out.withColumns({"nct": nct_ids(t, F.col("nct_ids"), hinted=hinted), "results": F.col("m_.results"), "deal": F.col("m_.deal"), "article_class": article_class(F.col("title"), F.col("canonical_url"), F.col("doi"))})
     facts = {n: F.col(n) for n in ("regulatory", "outcome", "phase", "deal")}
     journal = F.col("source_id").isin(*major) & (F.col("source_kind") == "journal") & ~F.col("article_class").isin("notice", "news-comment")
-    return out.withColumn("events", events(t, facts, journal, F.col("source_kind") == "preprint")).drop("text_", "m_")
+    return out.withColumn("events", events(t, facts, journal, F.col("source_kind") == "preprint", hinted)).drop("text_", "m_")

@@ -1,6 +1,9 @@
 """The patterns of facts and events. They are written with \\b; ``ascii`` makes the boundary an ASCII one, as
 the JVM's is not."""
 
+import re
+from functools import lru_cache
+
 AGENCY = "(?:FDA|EMA|CHMP|MHRA|PMDA|NMPA|European Commission)"
 NCT = r"(?i)\bNCT\s?0?\d{7,8}\b"
 PHASE = r"(?i)\b(?:phase|ph\.?)\s?(1/2|2/3|1b/2|I/II|II/III|Ib/II|[1-4]|I{1,3}V?|IV)\s?([ab])?\b"
@@ -70,6 +73,95 @@ NEWS_PATH = r"(?i)/(?:content/article|news|newsroom|careers|blogs?|podcasts?|opi
 
 _WORD = "[A-Za-z0-9_]"
 
+#: What a text must hold for a pattern to match at all: of every group one string, in the text as it is or in lower case. Most
+#: texts lack most facts, and looking for a few strings takes a small part of the time of a pattern with boundaries.
+#: A string that begins with ~ is a pattern itself, one that starts with its own text.
+EXACT = {
+    FILING: (("BLA", "NDA", "MAA", "IND", "510(k)", "PMA", "filed for ", "submitted "),),
+    RESPONSE_LETTER: (("complete response letter", "CRL"),),
+    MONEY: (("$", "€", "£"),),
+    P_VALUE: (("<", "=", ">"),),
+    ROUND: (("Series", "seed ", "crossover"),),
+}
+_AGENCIES = ("fda", "ema", "chmp", "mhra", "pmda", "nmpa", "european commission")
+LOWER = {
+    NCT: (("nct",),),
+    PHASE: ((r"~ph(?<![a-z0-9_]ph)(?:ase|\.)?\s?[1-4i]",),),
+    ENROLLED: (("=", "enrolled", "randomi", "treated", "dosed"),),
+    RESPONSE: (("%",), ("orr", "response")),
+    MEDIAN: (("median",),),
+    HAZARD: ((r"~h(?:r|azard ratio)\s?(?:of|=|:)?\s?\d?\.\d",),),
+    HIT: (("primary", "statistically significant"), ("met", "achieved", "hit", "statistically significant")),
+    MISS: (("missed", "failed to ", "did not ", "fell short of", "no statistically significant", "flopped", "fell flat", "discontinu"),),
+    SAFETY: ((r"~grade\s?[3-5]", "clinical hold", "boxed warning", "death in ", "deaths in ", "death among ", "deaths among "),),
+    APPROVAL: ((*_AGENCIES, "approval", "marketing authori", "regulatory"), ("approv", "clear", "authori", "licen", "nod")),
+    DESIGNATION: (("breakthrough therapy", "fast track", "orphan drug", "~rmat(?<![a-z0-9_]rmat)(?![a-z0-9_])", "~prime(?<![a-z0-9_]prime)(?![a-z0-9_])", "priority review", "accelerated approval"),),
+    COMMITTEE: (("advisory committee", "adcomm", "odac"),),
+    OFFERING: (("~ipo(?<![a-z0-9_]ipo)(?![a-z0-9_])", "initial public offering", "priced its", "nasdaq debut", "listed on"),),
+    MERGER: (("acqui", "to buy", "buyout", "merge", "takeover", "tender offer", "definitive"),),
+    ACQUIRED_TRAIT: (("acquired",),),
+    ACQUIRES: (("acqui",),),
+    LICENSE: (("licens", "licenc", "rights", "collaboration"),),
+    DISTRESS: (("lay off", "laying off", "layoff", "restructur", "% of", "winding down", "chapter 11", "discontinu"),),
+    PERSONNEL: (("ceo", "cfo", "cso", "cmo", "coo", "chief executive", "chief medical", "chief scientific", "president"), ("name", "appoint", "hire", "step", "depart", "resign", "succeed")),
+    OPINION: (("opinion", "commentary", "editorial", "roundup", "q&a", "interview", "viewpoint", "perspective", "chutes & ladders", "newsletter"),),
+    PRECLINICAL: (("in mice", "in mouse", "murine", "mouse model", "rodent", "in vitro", "cell line", "organoid", "zebrafish", "c. elegans", "drosophila", "preclinical", "non-human primate"),),
+    IN_VITRO: (("in vitro", "cell line", "organoid"),),
+    ANIMAL: (("mice", "mouse", "murine", "rodent"),),
+    NON_MAMMALIAN: (
+        (
+            "apis cerana", "apis mellifera", "honeybee", "drosophila", "fruit fly", "c. elegans", "caenorhabditis", "nematode", "zebrafish", "danio rerio", "yeast", "s. cerevisiae", "saccharomyces",
+            "arabidopsis", "e. coli", "planaria", "killifish", "xenopus", "sugarcane", "maize", "zea mays", "oryza sativa", "sorghum", "barley", "cassava", "soybean", "meristem", "chloroplast",
+            "photosynthesis", "cyanobacteri", "chlamydomonas",
+        ),
+    ),
+    HUMAN: (("patients", "clinical trial", "phase"),),
+    CLINICAL: (("patients", "participants", "randomi", "phase", "enrolled", "volunteers", "cohort of"),),
+    REVIEW: (("review", "meta-analysis", "perspective", "commentary"),),
+    PHASE_3_START: (("phase",), ("initiat", "start", "begin", "dosed the first", "first patient")),
+}
+#: Letters beyond ASCII that Python's matcher takes for i, s or k without regard to case: a text that has one is not passed over.
+ODD = "İıſK"
+
+
+def _holds(low: str, groups: tuple) -> bool:
+    return all(any(re.search(h[1:], low) if h[0] == "~" else h in low for h in group) for group in groups)
+
+
+@lru_cache(maxsize=4)
+def lowered(text: str) -> str | None:
+    """Null for a text that may match without regard to case where its lower case does not."""
+    return None if not text.isascii() and any(c in text for c in ODD) else text.lower()
+
+
+#: The patterns that columns use; their places are the bits of ``hints``.
+HINTED = (
+    NCT, PHASE, ENROLLED, HIT, MISS, SAFETY, APPROVAL, RESPONSE_LETTER, FILING, DESIGNATION, COMMITTEE, DISTRESS, PERSONNEL, OPINION, PRECLINICAL, IN_VITRO, ANIMAL, NON_MAMMALIAN, HUMAN, CLINICAL,
+    REVIEW, PHASE_3_START,
+)
+
+
+def hints(text: str) -> int:
+    """A bit for each of ``HINTED`` that the text may match."""
+    low = text.lower()
+    return sum(1 << i for i, p in enumerate(HINTED) if _holds(text, EXACT.get(p, ())) and _holds(low, LOWER.get(p, ())))
+
+
+class Guarded:
+    """A compiled pattern that looks first whether a text can match."""
+
+    def __init__(self, pattern: str):
+        self.compiled, self.exact, self.lower = re.compile(ascii(pattern)), EXACT.get(pattern, ()), LOWER.get(pattern, ())
+
+    def may(self, text: str) -> bool:
+        return _holds(text, self.exact) and (not self.lower or (low := lowered(text)) is None or _holds(low, self.lower))
+
+    def search(self, text: str) -> re.Match | None:
+        return self.compiled.search(text) if self.may(text) else None
+
+    def finditer(self, text: str):
+        return self.compiled.finditer(text) if self.may(text) else iter(())
+
 
 def ascii(pattern: str) -> str:
     """The pattern with boundaries between ASCII word characters and others."""
