@@ -60,3 +60,20 @@ def test_the_text_of_shingles_is_made_once(spark):
     from tidewrack.functions.text import shingles, tokenize
 
     assert str(shingles(tokenize(F.col("title"), keep_stopwords=True))).count("regexp_replace") == str(tokenize(F.col("title"), keep_stopwords=True)).count("regexp_replace")
+
+
+def test_links_of_components_and_twins_are_enough(spark):
+    """Equal URLs as stars give the clusters of all pairs, with fewer rows; pairs are judged where they meet, each once."""
+    from datetime import datetime, timedelta
+
+    from tidewrack.operators import clusters
+
+    rows = [
+        (f"i{n:02}", f"one two three {'four' if n % 7 else 'seven'} five six {'x' * (n % 3)}", f"https://x/{n % 3}" if n % 5 else None, datetime(2026, 8, 1) + timedelta(hours=31 * n) if n % 4 else None,
+         ("news", "journal")[n % 2], ["co:a", "nct:1"][: n % 3], f"g{n % 3}", n / 50, n) for n in range(40)
+    ]
+    items = clusters.prepared(spark.createDataFrame(rows, "item_id string, title string, canonical_url string, published_at timestamp, source_kind string, keys array<string>, publisher_group string, authority double, body_length int"))
+    every, few = clusters.links(items).cache(), clusters.links(items, every=False).cache()
+    assert every.select("a", "b").distinct().count() == every.count() and every.filter("a >= b").count() == 0
+    assert few.filter("shared_url AND title_jaccard IS NULL").count() < every.filter("shared_url").count()
+    assert sorted(map(tuple, clusters.clusters(items, every).collect())) == sorted(map(tuple, clusters.clusters(items, few).collect()))
