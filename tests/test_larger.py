@@ -77,3 +77,12 @@ def test_links_of_components_and_twins_are_enough(spark):
     assert every.select("a", "b").distinct().count() == every.count() and every.filter("a >= b").count() == 0
     assert few.filter("shared_url AND title_jaccard IS NULL").count() < every.filter("shared_url").count()
     assert sorted(map(tuple, clusters.clusters(items, every).collect())) == sorted(map(tuple, clusters.clusters(items, few).collect()))
+
+
+def test_revenue_is_the_exact_sum(spark, tmp_path):
+    one = lambda name, **columns: pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    one("region", r_regionkey=[0], r_name=["R"])
+    one("nation", n_nationkey=[0], n_name=["N"], n_regionkey=[0])
+    one("customer", c_custkey=[1], c_nationkey=[0])
+    one("orders", o_orderkey=list(range(10)), o_custkey=[1] * 10, o_totalprice=[0.1] * 10)  # 0.9999999999999999 in doubles
+    assert {r.price for r in QUERIES["star_rollup"](spark, str(tmp_path)).collect()} == {1}

@@ -287,11 +287,12 @@ UNION ALL SELECT 'except all', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT
 
 
 def star_rollup(spark, sf_dir: str) -> DataFrame:
-    """Revenue by region and nation with subtotals: one fact scan, dimensions broadcast by their size."""
+    """Revenue by region and nation with subtotals: one fact scan, dimensions broadcast by their size. Prices add up as decimals, so
+    that no order of rows moves the sum over a whole number."""
     t = lambda n: table(spark, sf_dir, n)
     dim = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = t("orders").join(dim, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.floor(F.sum("o_totalprice")).alias("price"))
+    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.floor(F.sum(F.col("o_totalprice").cast("decimal(28,6)"))).cast("long").alias("price"))
 
 
 STAR_ROLLUP = """
