@@ -86,3 +86,14 @@ def test_revenue_is_the_exact_sum(spark, tmp_path):
     one("customer", c_custkey=[1], c_nationkey=[0])
     one("orders", o_orderkey=list(range(10)), o_custkey=[1] * 10, o_totalprice=[0.1] * 10)  # 0.9999999999999999 in doubles
     assert {r.price for r in QUERIES["star_rollup"](spark, str(tmp_path)).collect()} == {1}
+
+
+def test_pages_without_escaped_markup_are_not_sent_to_be_decoded_whole(spark):
+    from pyspark.sql import functions as F
+
+    from tidewrack.functions import markup
+
+    sent = []
+    pages = spark.createDataFrame([("<p>a &amp; b</p>",), ("&lt;p&gt;c&lt;/p&gt;",), (None,)], "html string")
+    found = pages.select("html", markup.html_to_text(F.col("html"), lambda c: sent.append(c) or markup.decode_references(c)).alias("text"), sent[0].alias("sent"))
+    assert [tuple(r) for r in found.collect()] == [("<p>a &amp; b</p>", "a & b", None), ("&lt;p&gt;c&lt;/p&gt;", "c", "&lt;p&gt;c&lt;/p&gt;"), (None, None, None)]

@@ -67,7 +67,8 @@ def decode_references(c: Column) -> Column:
 
 def html_to_text(c: Column, decode=decode_references) -> Column:
     """Escaped markup is decoded first; dropped elements go with their content, separating tags become spaces."""
-    c = F.when(c.contains("&lt;") | c.contains("&gt;"), decode(c)).otherwise(c)
+    # Only what holds escaped markup is sent to be decoded: whole pages are large.
+    c = F.coalesce(decode(F.when(c.contains("&lt;") | c.contains("&gt;"), c)), c)
     c = F.regexp_replace(c, rf"(?is)<({DROPPED})\b[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, rf"(?i)<({VOID})\b[^>]*/?>", " ")
     c = F.regexp_replace(c, rf"(?i)</?({SEPARATING})\b[^>]*>", " ")
